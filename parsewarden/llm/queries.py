@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parsewarden.llm import quality_rules, sentencepiece_codec, token_counts, token_files, url_filters, warc_revisits
+from parsewarden.llm import chunk_dedup, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters, warc_revisits
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_warc_revisits": warc_revisits.op2_warc_revisits,
+    "op3_chunk_dedup": chunk_dedup.op3_chunk_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_url_filters": url_filters.op5_url_filters,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
