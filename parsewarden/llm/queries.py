@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parsewarden.llm import chunk_dedup, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters, warc_revisits
+from parsewarden.llm import chunk_dedup, ngram_join, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters, warc_revisits
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chunk_dedup": chunk_dedup.op3_chunk_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_url_filters": url_filters.op5_url_filters,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_files": token_files.op10_token_files,
 }
