@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parsewarden.llm import chunk_dedup, ngram_join, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters, warc_revisits
+from parsewarden.llm import chunk_dedup, latent_decontamination, ngram_join, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters, warc_revisits
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_latent_decontamination": latent_decontamination.op7_latent_decontamination,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_files": token_files.op10_token_files,
 }
