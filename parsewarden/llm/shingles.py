@@ -47,16 +47,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], A-Z as a-z."""
+    p, inverse = powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[data] * p[: len(data)], dtype=np.uint64)])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * FACTORS[60])
+
+
 def _hashes_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of data and where they start."""
     space = SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     edge = np.concatenate([edge if space[0] else np.concatenate([[0], edge]), [] if space[-1] else [len(data)]]).astype(np.int64)
     starts, ends = edge[0::2], edge[1::2]
-    p, inverse = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[data] * p[: len(data)], dtype=np.uint64)])
-    h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * FACTORS[60]
-    return mix(h), starts
+    return span_hashes(data, starts, ends), starts
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
