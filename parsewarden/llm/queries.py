@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parsewarden.llm import chunk_dedup, latent_decontamination, ngram_join, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters, warc_revisits
+from parsewarden.llm import chunk_dedup, latent_decontamination, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, token_files, url_filters, warc_revisits
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_latent_decontamination": latent_decontamination.op7_latent_decontamination,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_files": token_files.op10_token_files,
 }
