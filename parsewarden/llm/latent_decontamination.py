@@ -1,21 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval, then word checks.
 
 Benchmark items are taken in blocks of at most ``block_items``; a block's vocabulary (the words of its items) bounds
-everything that is kept in memory, sent to the driver or to executors. For each block four passes over all documents,
+everything that is kept in memory, sent to the driver or to executors. For each block three passes over all documents,
 row by row and without a shuffle of texts:
 
 1. Document frequencies of the vocabulary over all passages (stretches of ``half`` words) of all documents. Words in
    more than ``common`` of the passages get no weight, but for the rarest few of each item.
-2. and 3. Randomised SVD of the TF-IDF matrix A of all passages, with the items as further rows of the same total weight:
-   B = A'G for random signs G drawn from each passage, Q = orth(B), C = A'(AQ); the right singular vectors are Q times
-   the eigenvectors of Q'C. B and C are one array a task, summed by blocks of rows.
-4. Windows of two neighbouring passages against all items of the block by cosine, between the images in the latent
+2. Randomised SVD of the TF-IDF matrix A of all passages, with the items as further rows of ``item_weight`` times the
+   total weight, in one pass: B = A'G for random signs G drawn from each passage. As BB' is A'A in expectation but for a factor, the left
+   singular vectors of B stand for the right ones of A. B is one array a task, summed by blocks of rows.
+3. Windows of two neighbouring passages against all items of the block by cosine, between the images in the latent
    space, over the norm of the window before projection, so that one shared rare word isn't enough. For each candidate
    the longest common subsequence of the item's words with the window, widened by the item's length on either side.
 
 An item has leaked into a document if ``strong`` of its words are in common in order, or ``weak`` of them and all of its
-answer: the words of the column ``answer``, else of the last sentence of the item. This finds paraphrases that keep the
-answer.
+answer: the words of the column ``answer``, else of the last sentence of the item, or the last ``answer_words`` words if
+it has fewer. This finds paraphrases that keep the answer.
 
 Defined results: null or empty texts and items without words match nothing; repeated rows are each searched; rows are
 told apart by id and text; null ids are returned as null; an empty table on either side gives an empty result; other
@@ -38,7 +38,7 @@ from parsewarden.llm.ngram_join import few_tasks
 from parsewarden.llm.shingles import SLICE, mix, word_hashes
 
 ROWS_A_BLOCK = 256
-#: Punctuation of ASCII, to white space.
+#: Punctuation of ASCII, to white space. Words have their A-Z lower-cased where they are hashed.
 PLAIN = bytes(32 if 33 <= i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 127 else i for i in range(256))
 RESULT = "doc_id long, item_id long, cosine double, lcs int, n_item_words int, answer_found boolean"
 
@@ -48,24 +48,26 @@ class Settings:
     half: int = 32
     rank: int = 224
     oversample: int = 16
-    common: float = 0.02
+    common: float = 0.002
     rarest: int = 8
     cosine: float = 0.25
     strong: float = 0.7
-    weak: float = 0.5
+    weak: float = 0.6
+    item_weight: float = 16.0
+    answer_words: int = 5
     block_items: int = 224
 
 
-def plain(text: str) -> bytes:
-    return text.lower().encode().translate(PLAIN)
+def plain(text: str | bytes) -> bytes:
+    return (text.encode() if isinstance(text, str) else text).translate(PLAIN)
 
 
-def words_of(texts: list[str | None]):
+def words_of(texts: pa.Array):
     """Indexes of the texts, their word hashes and the offsets of the texts among these, about SLICE bytes at a time."""
     at: list[int] = []
     own: list[bytes] = []
     total = 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(texts.cast(pa.binary()).to_pylist()):
         if t:
             at.append(i)
             own.append(plain(t))
@@ -85,11 +87,12 @@ class Items:
     terms: np.ndarray  # sorted word hashes
 
     @staticmethod
-    def of(rows: list[tuple[int, str, str | None]]) -> Items:
+    def of(rows: list[tuple[int, str, str | None]], answer_words: int) -> Items:
         answer = [a if a else next((x for x in reversed(re.split(r"[.!?\n]+", t)) if plain(x).split()), "") for _, t, a in rows]
         hashed = lambda texts: (lambda h, at: [h[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)])(*word_hashes([plain(t) for t in texts]))
         words = hashed([t for _, t, _ in rows])
-        return Items([i for i, _, _ in rows], words, hashed(answer), np.unique(np.array([w for x in words for w in x], np.uint64)))
+        answers = [a if len(a) >= answer_words or given else w[-answer_words:] for a, w, (_, _, given) in zip(hashed(answer), words, rows, strict=True)]
+        return Items([i for i, _, _ in rows], words, answers, np.unique(np.array([w for x in words for w in x], np.uint64)))
 
 
 class Lookup:
@@ -135,7 +138,7 @@ def over_corpus(docs: DataFrame, rows: int, width: int, step) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(((rows + ROWS_A_BLOCK - 1) // ROWS_A_BLOCK * ROWS_A_BLOCK, width))
         for b in batches:
-            for _, words, offsets in words_of(b.column(0).to_pylist()):
+            for _, words, offsets in words_of(b.column(0)):
                 step(words, offsets, total)
         blocks = total.reshape(-1, ROWS_A_BLOCK * width)
         used = np.flatnonzero(blocks.any(axis=1))
@@ -159,16 +162,27 @@ def add_by_term(total: np.ndarray, term: np.ndarray, rows: np.ndarray) -> None:
 
 
 def weighted(words: np.ndarray, offsets: np.ndarray, look: Lookup, weight: np.ndarray, half: int):
-    """Of the words with weight the passage, the term and the weight; the first passages of texts."""
+    """First passages of texts; of the words with weight the passage, the term, the weight and the place."""
     first, of = passages(offsets, half)
     at, term = look(words)
-    w = weight[term]
-    keep = w > 0
-    return first, of[at[keep]], term[keep], w[keep], at[keep]
+    return first, of[at], term, weight[term], at
 
 
-def fit(docs: DataFrame, items: Items, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the terms, and their latent vectors (terms x rank)."""
+@dataclass
+class Space:
+    """Terms with weight (sorted hashes), their weights and latent vectors (terms x rank)."""
+
+    terms: np.ndarray
+    weight: np.ndarray
+    latent: np.ndarray
+
+    def numbers(self, words: list[int]) -> np.ndarray:
+        """Distinct numbers of those words that are terms."""
+        return np.unique(Lookup(self.terms)(np.array(words, np.uint64))[1])
+
+
+def weights(docs: DataFrame, items: Items, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that get a weight, and it: inverse document frequency over all passages."""
     look, n = Lookup(items.terms), len(items.terms)
 
     def count(words, offsets, total):
@@ -179,49 +193,40 @@ def fit(docs: DataFrame, items: Items, s: Settings) -> tuple[np.ndarray, np.ndar
         total[0, 1] += first[-1]
 
     seen = over_corpus(docs, n, 2, count)
-    df, all_passages = seen[:, 0], seen[0, 1]
-    idf = np.log((1 + all_passages) / (1 + df)) + 1e-3
-    weight = np.where(df > s.common * all_passages, 0, idf)
-    numbers = [np.unique(np.searchsorted(items.terms, np.array(x, np.uint64))) for x in items.words]
-    for x in numbers:
-        rare = x[np.argsort(df[x], kind="stable")[: s.rarest]]
-        weight[rare] = idf[rare]
+    df, every = seen[:, 0], seen[0, 1]
+    keep = df <= s.common * every
+    for x in items.words:
+        own = np.unique(np.searchsorted(items.terms, np.array(x, np.uint64)))
+        keep[own[np.argsort(df[own], kind="stable")[: s.rarest]]] = True
+    return items.terms[keep], (np.log((1 + every) / (1 + df)) + 1e-3)[keep]
+
+
+def fit(docs: DataFrame, items: Items, s: Settings) -> Space:
+    terms, weight = weights(docs, items, s)
+    look, n = Lookup(terms), len(terms)
     width = min(s.rank + s.oversample, n)
 
-    def by_passage(words, offsets):
+    def project(words, offsets, total):
         _, of, term, w, at = weighted(words, offsets, look, weight, s.half)
         used, passage = np.unique(of, return_inverse=True)
-        norm = np.sqrt(np.bincount(passage, w * w, minlength=len(used)))
-        return used, passage, term, (w / norm[passage]).astype(np.float32) if len(w) else w.astype(np.float32), at
-
-    def project(words, offsets, total):
-        used, passage, term, w, at = by_passage(words, offsets)
         if len(used):
+            norm = np.sqrt(np.bincount(passage, w * w, minlength=len(used)))
             name = np.zeros(len(used), np.uint64)
             np.add.at(name, passage, mix(words[at]))
-            add_by_term(total, term, signs(mix(name), width)[passage] * w[:, None])
+            add_by_term(total, term, signs(mix(name), width)[passage] * (w / norm[passage]).astype(np.float32)[:, None])
             total[0, width] += len(used)
 
-    rows = np.zeros((len(numbers), n))
-    for i, x in enumerate(numbers):
-        rows[i, x] = weight[x] / max(1e-9, np.sqrt((weight[x] ** 2).sum()))
     seen = over_corpus(docs, n, width + 1, project)
-    share = max(1.0, seen[0, width]) / max(1, len(numbers))  # squared weight of an item's row
-    g = np.random.default_rng(1).choice([-1.0, 1.0], (len(numbers), width))
-    q, _ = np.linalg.qr(seen[:, :width] + np.sqrt(share) * rows.T @ g)
-    narrow = q.astype(np.float32)
-
-    def again(words, offsets, total):
-        used, passage, term, w, _ = by_passage(words, offsets)
-        if len(used):
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(passage) != 0]))
-            image = np.add.reduceat(narrow[term] * w[:, None], begin, axis=0)
-            add_by_term(total, term, image[passage] * w[:, None])
-
-    c = over_corpus(docs, n, width, again) + share * rows.T @ (rows @ q)
-    gram = q.T @ c
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    return weight, (q @ vector[:, np.argsort(-value)[: s.rank]]).astype(np.float32)
+    space = Space(terms, weight, np.empty(0))
+    own = [x for x in map(space.numbers, items.words) if len(x)]
+    rows = np.zeros((len(own), n))
+    for i, x in enumerate(own):
+        rows[i, x] = weight[x] / np.sqrt((weight[x] ** 2).sum())
+    share = max(1.0, seen[0, width]) / max(1, len(own))  # squared weight of an item's row, if all items weigh as all passages
+    g = np.random.default_rng(1).choice([-1.0, 1.0], (len(own), width))
+    left, _, _ = np.linalg.svd(seen[:, :width] + np.sqrt(s.item_weight * share) * rows.T @ g, full_matrices=False)
+    space.latent = left[:, : s.rank].astype(np.float32)
+    return space
 
 
 def common_length(item: list[int], text: list[int]) -> int:
@@ -238,13 +243,17 @@ def common_length(item: list[int], text: list[int]) -> int:
 
 
 class Searcher:
-    def __init__(self, items: Items, weight: np.ndarray, latent: np.ndarray, s: Settings):
-        self.items, self.weight, self.latent, self.s = items, weight, latent, s
-        self.look = Lookup(items.terms)
-        image = np.zeros((len(items.ids), latent.shape[1]), np.float32)
+    def __init__(self, items: Items, space: Space, s: Settings):
+        self.items, self.weight, self.latent, self.s = items, space.weight, space.latent, s
+        self.look = Lookup(space.terms)
+        image = np.zeros((len(items.ids), space.latent.shape[1]), np.float32)
+        self.least = np.zeros(len(items.ids), np.int64)
         for i, x in enumerate(items.words):
-            t = np.unique(np.searchsorted(items.terms, np.array(x, np.uint64)))
-            image[i] = weight[t] @ latent[t]
+            t = space.numbers(x)
+            image[i] = space.weight[t] @ space.latent[t]
+            # words with weight that a common subsequence long enough must hold; half of them in one window
+            kept = len(self.look(np.array(x, np.uint64))[0])
+            self.least[i] = max(0, int(np.ceil(s.weak * len(x))) - (len(x) - kept)) // 2
         norm = np.linalg.norm(image, axis=1, keepdims=True)
         self.image = (image / np.where(norm > 0, norm, 1)).astype(np.float32)
 
@@ -257,16 +266,18 @@ class Searcher:
         used = of[begin]
         vector = np.add.reduceat(self.latent[term] * w[:, None].astype(np.float32), begin, axis=0)
         square = np.add.reduceat(w * w, begin)
+        count = np.diff([*begin, len(of)])
         text = np.searchsorted(first, used, side="right") - 1
         # a window is a passage and the next, or the one before and a passage where only one of them has words with weight
         follows = np.concatenate([(np.diff(used) == 1) & (np.diff(text) == 0), [False]])
         pair = np.flatnonzero(follows)
         vector, square = np.concatenate([vector, vector[pair] + vector[pair + 1]]), np.concatenate([square, square[pair] + square[pair + 1]])
+        count = np.concatenate([count, count[pair] + count[pair + 1]])
         start, text = np.concatenate([used, used[pair]]), np.concatenate([text, text[pair]])
         long = np.concatenate([np.ones(len(used), np.int64), np.full(len(pair), 2)])
         for k in range(0, len(start), 8192):
             cosine = vector[k : k + 8192] @ self.image.T / np.sqrt(square[k : k + 8192])[:, None]
-            for i, j in zip(*np.nonzero(cosine >= self.s.cosine), strict=True):
+            for i, j in zip(*np.nonzero((cosine >= self.s.cosine) & (count[k : k + 8192, None] >= self.least)), strict=True):
                 yield int(text[k + i]), int(start[k + i] - first[text[k + i]]), int(long[k + i]), int(j), float(cosine[i, j])
 
     def leaks(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, int, bool]]:
@@ -287,14 +298,14 @@ class Searcher:
         return found
 
 
-def search(docs: DataFrame, items: Items, weight: np.ndarray, latent: np.ndarray, s: Settings) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((items, weight, latent, s))
+def search(docs: DataFrame, items: Items, space: Space, s: Settings) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((items, space, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*sent.value)
         for b in batches:
             out = []
-            for at, words, offsets in words_of(b.column(2).to_pylist()):
+            for at, words, offsets in words_of(b.column(2)):
                 out += [(at[t], i, *x) for (t, i), x in searcher.leaks(words, offsets).items()]
             rows = pa.array([x[0] for x in out], pa.int64())
             own = searcher.items
@@ -311,10 +322,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     out, block = None, []
 
     def searched() -> DataFrame | None:
-        items = Items.of(block)
+        items = Items.of(block, settings.answer_words)
         if not len(items.terms):
             return out
-        found = search(docs, items, *fit(docs, items, settings), settings)
+        found = search(docs, items, fit(docs, items, settings), settings)
         return out.union(found) if out is not None else found
 
     for r in rows.toLocalIterator():
