@@ -11,8 +11,12 @@ def rounded(x: Column, digits: int = 4) -> Column:
 
 
 def safe_mean(x: Column, digits: int = 4) -> Column:
-    """Aggregate: mean of the rounded values that are not null, rounded; null of none."""
-    return F.bround(F.avg(F.bround(x, digits)), digits)
+    """Aggregate: mean of the rounded values that are not null, rounded; null of none.
+
+    Rounded values are summed as whole numbers, so the sum is exact and doesn't depend on the order of rows.
+    """
+    scale = 10**digits
+    return F.bround(F.try_divide(F.sum(F.round(F.bround(x, digits) * scale).cast("long")).cast("double"), F.count(x) * F.lit(float(scale))), digits)
 
 
 def failure_limit(pages: Column, fraction: float, minimum: int) -> Column:

@@ -93,17 +93,26 @@ primary_table AS (
   SELECT doc_id, count(*) AS total_tables, count(*) FILTER (page_no IS NULL) AS tables_without_page FROM primary_table GROUP BY ALL
 )
 """
+
+
+def _half_even(c: str) -> str:
+    """Mean of whole numbers of ten-thousandths, to a whole number of them, ties to even."""
+    s, n = f"{c}_sum", f"{c}_n"
+    return f"(({s} // {n}) + CASE WHEN 2 * ({s} % {n}) > {n} OR (2 * ({s} % {n}) = {n} AND ({s} // {n}) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 10000.0::DOUBLE"
+
+
 DOCS = r"""
 page AS (
   SELECT v.* FROM verdict v JOIN page_counts c USING (doc_id) WHERE page_number <= least(primary_pages, reference_pages)
 ), sums AS (
   SELECT doc_id, count(*) AS pages, count(*) FILTER (status = 'PASS') AS pass_pages, count(*) FILTER (status = 'REVIEW') AS review_pages,
     count(*) FILTER (status = 'FAIL') AS failed_pages, list_sort(list_distinct(list(page_type) FILTER (page_type <> 'LOW_TEXT_OR_UNKNOWN'))) AS kinds,
-    round_even(avg(round_even(CASE WHEN usable THEN cov END, 4)), 4) AS average_token_coverage, round_even(avg(round_even(ratio, 4)), 4) AS average_character_length_ratio
+    sum(round(round_even(CASE WHEN usable THEN cov END, 4) * 10000)::BIGINT) AS cov_sum, count(CASE WHEN usable THEN cov END) AS cov_n,
+    sum(round(round_even(ratio, 4) * 10000)::BIGINT) AS ratio_sum, count(ratio) AS ratio_n
   FROM page GROUP BY doc_id
 ), doc AS (
   SELECT c.doc_id, reference_pages > 0 AND primary_pages = reference_pages AS page_count_match, coalesce(pass_pages, 0) AS pass_pages,
-    coalesce(review_pages, 0) AS review_pages, coalesce(failed_pages, 0) AS failed_pages, average_token_coverage, average_character_length_ratio,
+    coalesce(review_pages, 0) AS review_pages, coalesce(failed_pages, 0) AS failed_pages, """ + _half_even("cov") + " AS average_token_coverage, " + _half_even("ratio") + r""" AS average_character_length_ratio,
     CASE WHEN reference_pages = 0 THEN 'REVIEW' WHEN coalesce(pages, 0) = 0 THEN 'FAIL'
       WHEN failed_pages >= greatest(2, ceil(pages * 0.2::DOUBLE)) THEN 'FAIL' WHEN primary_pages <> reference_pages THEN 'REVIEW'
       WHEN failed_pages + review_pages > 0 THEN 'REVIEW' ELSE 'PASS' END AS status,
@@ -163,3 +172,24 @@ ORACLES = {
     "ord_path_sort": "WITH p AS (SELECT doc_id, source, source || '/' || CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a-1' ELSE 'a.b' END || '/f' || doc_id || '.pdf' AS path FROM documents) SELECT doc_id, path, (row_number() OVER (PARTITION BY source ORDER BY string_split(path, '/')))::INT AS number FROM p",
     "ing_status_counts": "SELECT count(*) AS total, count(*) FILTER (doc_id % 7 <> 0) AS successful, count(*) FILTER (doc_id % 7 = 0) AS failed FROM documents",
 }
+
+
+TURNS = "t AS (SELECT 'c' || conv_id AS source_file, turn::INT AS turn, (turn + 1)::INT AS page_number, role, text FROM conversations WHERE conv_id % 10 <> 7)"
+ORACLES |= {
+    "adp_pages_union": f"WITH {TURNS} SELECT 'docling' AS parser_name, source_file, page_number, text, '# ' || text AS markdown, '' AS metadata FROM t"
+    " UNION ALL SELECT 'pdfplumber', source_file, page_number, text, NULL, 'height=792.0,width=612.0' FROM t"
+    " UNION ALL SELECT 'pymupdf', source_file, page_number, text, NULL, 'height=792.0,image_count=1,width=612.0' FROM t"
+    " UNION ALL SELECT 'unstructured', s.source_file, s.p::INT, CASE WHEN trim(text) <> '' THEN text ELSE '' END, NULL, '' FROM (SELECT source_file, unnest(range(1, max(page_number) FILTER (turn % 6 <> 5) + 1)) AS p FROM t GROUP BY 1) s LEFT JOIN (FROM t WHERE turn % 6 <> 5) u ON u.source_file = s.source_file AND u.page_number = s.p"
+    " UNION ALL SELECT 'llamaparse', source_file, page_number, CASE WHEN turn % 4 <> 0 THEN text ELSE '' END, CASE WHEN turn % 4 <> 1 THEN role END, CASE WHEN turn % 4 <> 3 THEN 'n=' || turn ELSE '' END FROM t",
+    "adp_elements_union": f"WITH {TURNS} SELECT 'docling' AS parser_name, source_file, turn AS element_index, role AS type, substr(text, 1, 20) AS text, CASE WHEN turn % 5 <> 0 THEN page_number END AS page_number, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS x0, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS y0, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS x1, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS y1, 'hierarchy_level=' || turn AS metadata FROM t WHERE turn % 4 <> 0 AND length(text) > 0"
+    " UNION ALL SELECT 'pdfplumber', source_file, turn, 'word', role, page_number, 1, 2, 3, 4, '' FROM t"
+    " UNION ALL SELECT 'pymupdf', source_file, turn, 'text_block', text, page_number, 1, 2, 3, NULL, 'block_number=' || turn || ',block_type=0' FROM t WHERE turn % 4 < 2 AND trim(text) <> ''"
+    " UNION ALL SELECT 'unstructured', source_file, turn, CASE WHEN turn % 4 = 1 THEN 'Table' ELSE 'NarrativeText' END, text, CASE WHEN turn % 6 <> 5 THEN page_number END, CASE WHEN turn % 2 = 0 THEN 1 END, CASE WHEN turn % 2 = 0 THEN 6 END, CASE WHEN turn % 2 = 0 THEN 5 END, CASE WHEN turn % 2 = 0 THEN 8 END, 'lang=eng' FROM t"
+    " UNION ALL SELECT 'llamaparse', source_file, 0, CASE WHEN turn % 3 = 1 THEN 'table' ELSE 'text' END, CASE WHEN turn % 2 = 0 AND text <> '' THEN text ELSE role END, page_number, CASE WHEN turn % 5 <> 2 THEN 1 END, CASE WHEN turn % 5 <> 2 THEN 2 END, CASE WHEN turn % 5 <> 2 THEN 4 END, CASE WHEN turn % 5 <> 2 THEN 6 END, 'item_index=0' || CASE WHEN turn % 2 = 1 THEN ',level=' || turn ELSE '' END FROM t WHERE page_number % 4 <> 0",
+    "adp_tables_union": f"WITH {TURNS}, r AS (SELECT *, 'a¦' || role || '¶b' AS rows, '| a | ' || role || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| b |  |' AS md FROM t)"
+    " SELECT 'docling' AS parser_name, source_file, turn AS table_index, 'h¦i¶' || rows AS rows, CASE WHEN turn % 5 <> 0 THEN page_number END AS page_number, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS x0, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS y0, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS x1, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS y1, '|h|' AS markdown, '<table/>' AS html FROM r WHERE turn % 2 = 0"
+    " UNION ALL SELECT 'pdfplumber', source_file, turn, rows, page_number, 1, 2, 3, 4, md, NULL FROM r WHERE turn % 3 = 0"
+    " UNION ALL SELECT 'pymupdf', source_file, turn, rows, page_number, 1, 2, 3, 4, md, NULL FROM r WHERE turn % 3 = 0"
+    " UNION ALL SELECT 'unstructured', source_file, turn, role || '¦x|y', CASE WHEN turn % 6 <> 5 THEN page_number END, NULL, NULL, NULL, NULL, '| ' || role || ' | x\\|y |' || chr(10) || '| --- | --- |', '<table><tr><td>' || role || '</td><td>x|y</td></tr></table>' FROM r WHERE turn % 4 = 1"
+    " UNION ALL SELECT 'llamaparse', source_file, 0, rows, page_number, CASE WHEN turn % 5 <> 2 THEN 1 END, CASE WHEN turn % 5 <> 2 THEN 2 END, CASE WHEN turn % 5 <> 2 THEN 4 END, CASE WHEN turn % 5 <> 2 THEN 6 END, role, NULL FROM r WHERE turn % 3 = 1 AND page_number % 4 <> 0",
+}

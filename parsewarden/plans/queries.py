@@ -14,7 +14,9 @@ from parsewarden.operators.coverage import token_coverage_by_shuffle, with_token
 from parsewarden.operators.profile import profile_pages
 from parsewarden.operators.rules import validate_pages
 from parsewarden.plans import fixtures
+from parsewarden.plans.adapter_fixtures import every_parser
 from parsewarden.plans.fixtures import table
+from parsewarden.sources.adapters import parse_results_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,3 +236,40 @@ def ing_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_report_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = rollup.document_report(documents(spark, sf_dir, pages=True))
     return own.select("doc_id", to_json(F.col("report")).alias("report"))
+
+
+def map_text(m: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+def corners() -> list[Column]:
+    return [F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+
+
+@query
+def adp_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = every_parser(spark, sf_dir).results
+    return own.select("parser_name", "source_file", "success", F.length("text").alias("text_length"), F.length("markdown").alias("markdown_length"), map_text(F.col("metadata")).alias("metadata"), "error")
+
+
+@query
+def adp_pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = every_parser(spark, sf_dir).pages
+    return own.select("parser_name", "source_file", "page_number", "text", "markdown", F.coalesce(map_text(F.col("metadata")), F.lit("")).alias("metadata"))
+
+
+@query
+def adp_elements_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = every_parser(spark, sf_dir).elements
+    return own.select("parser_name", "source_file", "element_index", "type", "text", "page_number", *corners(), F.coalesce(map_text(F.col("metadata")), F.lit("")).alias("metadata"))
+
+
+@query
+def adp_tables_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = every_parser(spark, sf_dir).tables
+    return own.select("parser_name", "source_file", "table_index", rows_text(F.col("rows")).alias("rows"), "page_number", *corners(), "markdown", "html")
+
+
+@query
+def adp_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_results_json(every_parser(spark, sf_dir))
