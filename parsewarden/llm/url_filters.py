@@ -72,8 +72,8 @@ RULES = (
 )
 #: For URLs that no such rule fits: hosts whose labels name spam.
 PATTERNS = (
-    Pattern("cheap-pills.", r"\A(?:.*\.)?cheap-pills\.", ("cheap", "pills")),
-    Pattern("spam-farm.", r"\A(?:.*\.)?spam-farm\.", ("spam", "farm")),
+    Pattern("cheap-pills.", r"\A(?:[^\n]*\.)?cheap-pills\.", ("cheap", "pills")),
+    Pattern("spam-farm.", r"\A(?:[^\n]*\.)?spam-farm\.", ("spam", "farm")),
 )
 
 
