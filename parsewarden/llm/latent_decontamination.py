@@ -38,7 +38,7 @@ from parsewarden.llm.ngram_join import few_tasks
 from parsewarden.llm.shingles import SLICE, mix, word_hashes
 
 ROWS_A_BLOCK = 256
-#: Punctuation of ASCII, to white space. Words have their A-Z lower-cased where they are hashed.
+#: Punctuation of ASCII, to white space. Words have their A-Z lower-cased where they are hashed, other letters before.
 PLAIN = bytes(32 if 33 <= i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 127 else i for i in range(256))
 RESULT = "doc_id long, item_id long, cosine double, lcs int, n_item_words int, answer_found boolean"
 
@@ -59,7 +59,8 @@ class Settings:
 
 
 def plain(text: str | bytes) -> bytes:
-    return (text.encode() if isinstance(text, str) else text).translate(PLAIN)
+    data = text.encode() if isinstance(text, str) else text
+    return (data if data.isascii() else data.decode().lower().encode()).translate(PLAIN)
 
 
 def words_of(texts: pa.Array):
