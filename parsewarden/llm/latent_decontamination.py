@@ -50,7 +50,7 @@ class Settings:
     oversample: int = 16
     common: float = 0.002
     rarest: int = 8
-    cosine: float = 0.25
+    cosine: float = 0.2
     strong: float = 0.7
     weak: float = 0.6
     item_weight: float = 16.0
