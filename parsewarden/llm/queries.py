@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parsewarden.llm import chunk_dedup, latent_decontamination, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, token_files, url_filters, warc_revisits
+from parsewarden.llm import chunk_dedup, latent_decontamination, ngram_join, oracles, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, token_files, url_filters, warc_revisits
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_token_files": token_files.op10_token_files,
 }
-ORACLES = {"op2_warc_revisits": warc_revisits.ORACLE, "op5_url_filters": url_filters.ORACLE}
+ORACLES = {
+    "op2_warc_revisits": warc_revisits.ORACLE,
+    "op5_url_filters": url_filters.ORACLE,
+    "op6_ngram_join": oracles.NGRAM_JOIN,
+    "op8_suffix_dedup": oracles.SUFFIX_DEDUP,
+}

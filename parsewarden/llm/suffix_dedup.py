@@ -3,15 +3,16 @@
 1. ``anchors`` picks positions of each text by winnowing: of any ``length - GRAM + 1`` neighbouring GRAMs the one of
    smallest hash. Equal strings of ``length`` bytes pick equal anchors, so each is found at an anchor that it contains.
 2. ``shared_bits``: one aggregation of (40 bits of) the hashes of all anchors, combined in each batch before the shuffle,
-   tells which are in two documents. A bitmap of 2^26 bits keeps them: fixed in size, it lets false ones pass, no true one.
-3. Anchors that pass come with their context, the bytes of all strings of ``length`` bytes around them. Contexts are
-   classed by (anchor, context) with the smallest id of each class: a combining aggregation, so a passage in a third of
-   all documents costs a row a task. Where the class has a smaller id, the whole context is covered.
-4. Anchors with several contexts: ``partial_repeats`` cuts each distinct context down to the stretch that may repeat, builds
-   the suffix array of all distinct stretches (``suffix_groups``), and finds runs of suffixes that agree on ``length``
-   bytes. The smallest id in a run says which starts of a context are covered. An anchor of more than ``most_contexts``
-   contexts would be too much for one task: its strings are grouped one by one instead, in an aggregation.
-5. Spans go back to the documents by a join on (anchor, context), which adaptive execution splits where one is hot.
+   tells which are in two documents. A bitmap of 2^27 bits keeps them: fixed in size, it lets false ones pass, no true one.
+3. Anchors that pass come with their context, the bytes of all strings of ``length`` bytes around them. All occurrences of
+   an anchor meet in a task, sorted by anchor. Of each distinct context the smallest id counts; where an occurrence has a
+   larger one, its whole context is covered. A task sends the bytes of a context once.
+4. Anchors with several contexts: ``starts_again`` cuts each distinct context down to the stretch that may repeat, builds
+   the suffix array of the distinct stretches (``suffix_groups``), and finds runs of suffixes that agree on ``length``
+   bytes. The smallest id in a run says which starts of a context are covered.
+5. Anchors that occur more than ``hot_after`` times, as in a passage that a third of all documents hold, would crowd a
+   task. Their contexts are classed by an aggregation that combines before its shuffle, and spans go back by a join that
+   adaptive execution splits; if one has more than ``most_contexts`` contexts, its strings are grouped one by one.
 
 Defined results: a null text counts as empty; rows without id are never cut and never cut others; rows of one id never
 cut each other, and equal rows are cut alike; texts shorter than ``length`` stay; an empty table gives an empty result;
@@ -20,7 +21,7 @@ further columns stay where texts are replaced.
 
 from __future__ import annotations
 
-import gc
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, delete_path, fresh_path, row_key, table
+from parsewarden.llm.common import checkpointed, delete_path, fresh_path, release, row_key, table
 from parsewarden.llm.shingles import BYTE_VALUE, SLICE, mix, powers
 from parsewarden.llm.spans import merged, without_spans
 from parsewarden.llm.suffix_groups import suffix_array
 
-GRAM = 16
-MAP_BITS = 26
+GRAM = 24
+MAP_BITS = 27
 SHORT_BITS = 40
-#: Bytes of distinct stretches in one suffix array.
-ARRAY_BYTES = 1 << 20
+#: Contexts that go into one suffix array, besides the rest of an anchor's.
+ROWS_A_CALL = 20_000
+#: Contexts that a task remembers to have sent.
+MOST_SENT = 1_000_000
 
 
 def sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
@@ -113,8 +116,8 @@ def bit_of(short: np.ndarray) -> np.ndarray:
     return (mix(short) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def shared_bits(docs: DataFrame, length: int) -> np.ndarray:
-    """Bitmap of the anchors that are in several documents."""
+def shared_bits(docs: DataFrame, length: int, hot_after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the anchors that are in several documents, and of those that occur more than hot_after times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,26 +129,33 @@ def shared_bits(docs: DataFrame, length: int) -> np.ndarray:
                 short, doc = short[order], doc[order]
                 begin = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.empty(0, np.int64)
                 lo, hi = (op.reduceat(doc, begin) if len(begin) else doc for op in (np.minimum, np.maximum))
-                yield pa.RecordBatch.from_arrays([pa.array(short[begin]), pa.array(lo), pa.array(hi)], names=["f", "lo", "hi"])
+                n = np.diff([*begin, len(short)])
+                yield pa.RecordBatch.from_arrays([pa.array(short[begin]), pa.array(lo), pa.array(hi), pa.array(n, pa.int64())], names=["f", "lo", "hi", "n"])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = bit_of(b.column(0).to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(k >> 6), pa.array((np.uint64(1) << (k & 63).astype(np.uint64)).view(np.int64))], names=["w", "x"])
+            x = np.uint64(1) << (k & 63).astype(np.uint64)
+            y = np.where(b.column(1).to_numpy() > hot_after, x, np.uint64(0))
+            yield pa.RecordBatch.from_arrays([pa.array(k >> 6), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["w", "x", "y"])
 
-    found = docs.mapInArrow(run, "f long, lo long, hi long").groupBy("f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("f")
-    words = found.mapInArrow(bits, "w long, x long").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[words.column("w").to_numpy()] = words.column("x").to_numpy().view(np.uint64)
-    return out
+    found = docs.mapInArrow(run, "f long, lo long, hi long, n long").groupBy("f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("lo < hi").select("f", "n")
+    words = found.mapInArrow(bits, "w long, x long, y long").groupBy("w").agg(F.bit_or("x").alias("x"), F.bit_or("y").alias("y")).toArrow()
+    out = np.zeros((2, 1 << (MAP_BITS - 6)), np.uint64)
+    for k, c in enumerate("xy"):
+        out[k, words.column("w").to_numpy()] = words.column(c).to_numpy().view(np.uint64)
+    return out[0], out[1]
+
+
+OCCURRENCES = "fp long, ctx long, id long, row long, s int, e int, at int, part binary"
 
 
 def occurrences(docs: DataFrame, length: int, bitmap: np.ndarray) -> DataFrame:
-    """Anchors that pass the bitmap: fp, ctx (hashes), id, row, s and e of the context, and its bytes."""
+    """OCCURRENCES: anchors that pass the bitmap: fp, ctx (hashes), id, row, s and e of the context, and its bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sent.value
+        seen, sent_parts = sent.value, set()
         for b in batches:
             for at, own in batches_of_bytes(b.column(2), length):
                 whole, begin, place, text, h, (sums, inverse) = anchors(own, length)
@@ -155,91 +165,164 @@ def occurrences(docs: DataFrame, length: int, bitmap: np.ndarray) -> DataFrame:
                 s, e = np.maximum(begin[text], place - (length - GRAM)), np.minimum(begin[text + 1] - 1, place + length)
                 ctx = window_hashes(sums, inverse, s, e) ^ mix((place - s).astype(np.uint64))
                 rows = pa.array(at[text])
-                parts = pa.array([whole[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array((s - begin[text]).astype(np.int32)), pa.array((e - begin[text]).astype(np.int32)), parts], names=["fp", "ctx", "id", "row", "s", "e", "part"])
+                # a task sends the bytes of a context once
+                parts = [None if c in sent_parts or sent_parts.add(c) else whole[x:y] for c, x, y in zip((h ^ ctx).tolist(), s.tolist(), e.tolist(), strict=True)]
+                if len(sent_parts) > MOST_SENT:
+                    sent_parts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array((s - begin[text]).astype(np.int32)), pa.array((e - begin[text]).astype(np.int32)), pa.array((place - s).astype(np.int32)), pa.array(parts, pa.binary())], names=["fp", "ctx", "id", "row", "s", "e", "at", "part"])
 
-    return docs.mapInArrow(run, "fp long, ctx long, id long, row long, s int, e int, part binary")
+    return docs.mapInArrow(run, OCCURRENCES)
 
 
-def starts_again(parts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
+def starts_again(parts: list[bytes], at: list[int], fps: list[int], ids: np.ndarray, length: int) -> list[np.ndarray]:
     """For each part the starts in it of strings of length bytes that also start in a part of smaller id.
 
-    Hashes of the strings pick the stretch of each part that may repeat; its suffix array decides.
+    parts come sorted by their anchor's hash, fps; their anchor is at the offset ``at``, and all those strings hold it.
+    Hashes of the strings pick the stretch of each part that may repeat; equal stretches of an anchor are one, with the
+    smallest id. The suffix array of the distinct stretches of anchors that have several decides, with the bytes of the
+    anchor as a single one. Equal suffixes stand in order of their strings, so those of one anchor stand together.
     """
     none = np.empty(0, np.int64)
     out = [none] * len(parts)
     whole = b"".join(parts)
     data = np.frombuffer(whole, np.uint8)
-    begin = np.cumsum([0, *[len(p) for p in parts]])
+    sizes = np.array([len(p) for p in parts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
     sums, inverse = prefix_sums(data)
-    at = np.concatenate([np.arange(b, e - length + 1) for b, e in zip(begin[:-1], begin[1:], strict=True)] or [none])
-    of = np.searchsorted(begin, at, side="right") - 1
-    _, inv, many = np.unique(window_hashes(sums, inverse, at, at + length), return_inverse=True, return_counts=True)
+    count = np.maximum(0, sizes - length + 1)
+    of = np.repeat(np.arange(len(parts)), count)
+    place = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    _, inv, many = np.unique(window_hashes(sums, inverse, place, place + length), return_inverse=True, return_counts=True)
     twice = many[inv] > 1
-    at, of = at[twice], of[twice]
-    if not len(at):
+    place, of = place[twice], of[twice]
+    if not len(place):
         return out
     edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    lo, hi, own = at[edge], np.concatenate([at[edge[1:] - 1], at[-1:]]) + length, of[edge]
-    stretches: dict[bytes, list[int]] = {}
-    for k, (x, y) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-        stretches.setdefault(whole[x:y], []).append(k)
-    keys = list(stretches)
-    least = np.array([min(ids[own[k]] for k in stretches[x]) for x in keys])
-    text = b"".join(keys)
-    where = np.cumsum([0, *[len(x) for x in keys]])
+    own = of[edge].tolist()
+    lo, hi = (place[edge] - begin[own]).tolist(), (np.concatenate([place[edge[1:] - 1], place[-1:]]) + length - begin[own]).tolist()
+    stretches: dict[tuple[int, int, bytes], list[int]] = {}
+    for k, i in enumerate(own):
+        stretches.setdefault((fps[i], at[i] - lo[k], parts[i][lo[k] : hi[k]]), []).append(k)
+    distinct = Counter(fp for fp, _, _ in stretches)
+    keys = [x for x in stretches if distinct[x[0]] > 1]
+    short = length - GRAM + 1
+    where = np.cumsum([0, *[len(x) - GRAM + 1 for _, _, x in keys]])
+    text = b"".join(x[:y] + b"\xff" + x[y + GRAM :] for _, y, x in keys)
     order = suffix_array(text, where[:-1].tolist())
     string = np.searchsorted(where, order, side="right") - 1
-    full = order + length <= where[string + 1]
+    middle = where[:-1] + np.array([y for _, y, _ in keys], np.int64)
+    full = (order + short <= where[string + 1]) & (order <= middle[string]) if len(order) else np.empty(0, bool)
     order, string = order[full], string[full]
-    values = np.frombuffer(text, np.uint8)
-    same = np.ones(len(order) - 1, bool)
-    for k in range(length):
-        same &= values[order[1:] + k] == values[order[:-1] + k]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    smallest = np.repeat(np.minimum.reduceat(least[string], first), np.diff([*first, len(order)]))
-    by_string = np.argsort(string, kind="stable")
-    cut = np.searchsorted(string[by_string], np.arange(len(keys) + 1))
-    for j, x in enumerate(keys):
-        mine = by_string[cut[j] : cut[j + 1]]
-        starts, low = order[mine] - where[j], smallest[mine]
-        for k in stretches[x]:
-            i = own[k]
-            out[i] = np.sort(starts[low < ids[i]]) + (lo[k] - begin[i])
+    starts_in: dict[tuple[int, int, bytes], tuple[np.ndarray, np.ndarray]] = {}
+    if len(order):
+        values, name = np.frombuffer(text, np.uint8), np.array([fp for fp, _, _ in keys], np.int64)
+        same = name[string[1:]] == name[string[:-1]]
+        for k in range(short):
+            same &= values[order[1:] + k] == values[order[:-1] + k]
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        least = np.array([min(ids[own[k]] for k in stretches[x]) for x in keys])
+        smallest = np.repeat(np.minimum.reduceat(least[string], first), np.diff([*first, len(order)]))
+        by_string = np.lexsort((order, string))
+        cut = np.searchsorted(string[by_string], np.arange(len(keys) + 1))
+        for j, x in enumerate(keys):
+            mine = by_string[cut[j] : cut[j + 1]]
+            starts_in[x] = (order[mine] - where[j], smallest[mine])
+    for x, members in stretches.items():
+        if x in starts_in:
+            starts, low = starts_in[x]
+        else:
+            starts = np.arange(len(x[2]) - length + 1)
+            low = np.full(len(starts), min(ids[own[k]] for k in members))
+        for k in members:
+            out[own[k]] = starts[low < ids[own[k]]] + lo[k]
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by their first column, about ROWS_A_CALL at a time, equal ones together."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        for start in range(0, b.num_rows, ROWS_A_CALL):
+            part = b.slice(start, ROWS_A_CALL)
+            key = part.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            held.append(part.slice(0, last))
+            total += last
+            if total >= ROWS_A_CALL and last:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
+            held.append(part.slice(last))
+            total += part.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def repeats_by_anchor(occ: DataFrame, length: int) -> DataFrame:
+    """__id, __row, s and e of covered spans: all occurrences of an anchor meet in one task, sorted by it."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        fp, ctx, ids = (t.column(c).to_numpy() for c in ("fp", "ctx", "id"))
+        order = np.lexsort((ids, ctx, fp))
+        fp, ctx, ids = fp[order], ctx[order], ids[order]
+        new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])
+        first, of = np.flatnonzero(new), np.cumsum(new) - 1
+        # contexts, with the smallest id of each; those of anchors that have several
+        own, least = fp[first], ids[first]
+        near = np.concatenate([[False], own[1:] == own[:-1], [False]])
+        several = np.flatnonzero(near[1:] | near[:-1])
+        known = np.flatnonzero(t.column("part").is_valid().to_numpy()[order])
+        held, where = np.unique(of[known], return_index=True)
+        rows = t.select(["at", "part"]).take(pa.array(order[known[where[np.searchsorted(held, several)]]]))
+        parts = rows.column("part").to_pylist()
+        found = starts_again(parts, rows.column("at").to_pylist(), own[several].tolist(), least[several], length)
+        s, e = (t.column(c).to_numpy()[order] for c in ("s", "e"))
+        later = ids > least[of]
+        out_at, out_s, out_e = [np.flatnonzero(later)], [s[later]], [e[later]]
+        ends = np.concatenate([first[1:], [len(fp)]])
+        for k, x in zip(several.tolist(), found, strict=True):
+            if len(x):
+                a, b = merged(x, x + length)
+                for i in range(first[k], ends[k]):
+                    if later[i]:
+                        break
+                    out_at.append(np.full(len(a), i))
+                    out_s.append(s[i] + a)
+                    out_e.append(s[i] + b)
+        at = pa.array(order[np.concatenate(out_at)])
+        flat = lambda c: t.column(c).take(at).combine_chunks()
+        numbers = [pa.array(np.concatenate(x).astype(np.int32)) for x in (out_s, out_e)]
+        return pa.RecordBatch.from_arrays([flat("id"), flat("row"), *numbers], names=["__id", "__row", "s", "e"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            yield solve(t)
+
+    return occ.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "__id long, __row long, s int, e int")
+
+
 def partial_repeats(classes: DataFrame, length: int) -> DataFrame:
     """fp, ctx and spans (in the context) of classes of anchors with several contexts. classes: fp, ctx, m, part."""
 
-    def solve(keys: list[tuple[int, int]], parts: list[bytes], ids: list[int]) -> pa.RecordBatch:
-        fps, ctxs, spans = [], [], []
-        for (fp, ctx), x in zip(keys, starts_again(parts, np.array(ids, np.int64), length), strict=True):
-            if len(x):
-                s, e = merged(x, x + length)
-                fps.append(fp)
-                ctxs.append(ctx)
-                spans.append([{"s": int(a), "e": int(b)} for a, b in zip(s, e, strict=True)])
-        return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(ctxs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["fp", "ctx", "spans"])
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        fp = rows.column("fp").to_numpy()
+        # an anchor of one context repeats nowhere else
+        near = np.concatenate([[False], fp[1:] == fp[:-1], [False]])
+        keep = np.flatnonzero(near[1:] | near[:-1])
+        rows = rows.take(pa.array(keep))
+        found = starts_again(rows.column("part").to_pylist(), rows.column("at").to_pylist(), fp[keep].tolist(), rows.column("m").to_numpy(), length)
+        some = [i for i, x in enumerate(found) if len(x)]
+        spans = [[{"s": int(a), "e": int(b)} for a, b in zip(*merged(found[i], found[i] + length), strict=True)] for i in some]
+        own = rows.select(["fp", "ctx"]).take(pa.array(some, pa.int64())).combine_chunks()
+        flat = lambda c: own.column(c).combine_chunks()
+        return pa.RecordBatch.from_arrays([flat("fp"), flat("ctx"), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["fp", "ctx", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple[int, int]] = []
-        parts: list[bytes] = []
-        ids: list[int] = []
-        total = 0
-        for b in batches:
-            for fp, ctx, m, part in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if total >= ARRAY_BYTES and fp != keys[-1][0]:
-                    yield solve(keys, parts, ids)
-                    keys, parts, ids, total = [], [], [], 0
-                keys.append((fp, ctx))
-                parts.append(part)
-                ids.append(m)
-                total += len(part)
-        if keys:
-            yield solve(keys, parts, ids)
+        for t in whole_groups(batches):
+            yield solve(t)
 
-    return classes.repartition("fp").sortWithinPartitions("fp").select("fp", "ctx", "m", "part").mapInArrow(run, "fp long, ctx long, spans array<struct<s:int,e:int>>")
+    own = classes.filter(F.length("part") >= length).repartition("fp").sortWithinPartitions("fp").select("fp", "ctx", "m", "at", "part")
+    return own.mapInArrow(run, "fp long, ctx long, spans array<struct<s:int,e:int>>")
 
 
 def partial_repeats_by_string(classes: DataFrame, length: int) -> DataFrame:
@@ -250,25 +333,33 @@ def partial_repeats_by_string(classes: DataFrame, length: int) -> DataFrame:
     return found.groupBy("fp", "ctx").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + length).alias("e")))).alias("spans"))
 
 
-def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50, most_contexts: int = 50_000) -> DataFrame:
-    """__id, __row and __spans (byte offsets, may overlap) of each row that has any."""
-    docs = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(text).alias("row"), F.col(f"`{text}`").alias("t"))
-    bitmap = shared_bits(docs, length)
-    gc.collect()
-    occ = occurrences(docs, length, bitmap)
-    classes = occ.groupBy("fp", "ctx").agg(F.min("id").alias("m"), F.max("id").alias("most"), F.first("part").alias("part"))
-    path = fresh_path(df.sparkSession, "contexts")
+def repeats_by_class(occ: DataFrame, length: int, most_contexts: int) -> DataFrame:
+    """As repeats_by_anchor, for anchors that occur too often to meet in one task: contexts are classed by aggregation."""
+    spark = occ.sparkSession
+    classes = occ.groupBy("fp", "ctx").agg(F.min("id").alias("m"), F.max("id").alias("most"), F.first("at").alias("at"), F.first("part", ignorenulls=True).alias("part"))
+    path = fresh_path(spark, "contexts")
     classes.write.parquet(path)
-    classes = df.sparkSession.read.schema(classes.schema).parquet(path)
-    several = classes.groupBy("fp").agg(F.count("*").alias("n"), F.min("m").alias("lo"), F.max("most").alias("hi")).filter("n > 1 and lo < hi").select("fp", "n")
-    several = classes.join(several, "fp").filter(F.length("part") >= length)
-    partial = partial_repeats(several.filter(F.col("n") <= most_contexts), length).union(partial_repeats_by_string(several.filter(F.col("n") > most_contexts), length))
+    classes = spark.read.schema(classes.schema).parquet(path)
+    crowded = classes.groupBy("fp").count().filter(F.col("count") > most_contexts).select("fp")
+    own = classes.filter(F.length("part") >= length)
+    partial = partial_repeats(own.join(crowded, "fp", "left_anti"), length).union(partial_repeats_by_string(own.join(crowded, "fp"), length))
     whole = classes.filter("m < most").select("fp", "ctx", "m")
     known = checkpointed(whole.join(partial, ["fp", "ctx"], "full").select("fp", "ctx", "m", "spans"))
-    delete_path(df.sparkSession, path)
+    delete_path(spark, path)
     shift = F.transform("spans", lambda x: F.struct((F.col("s") + x["s"]).alias("s"), (F.col("s") + x["e"]).alias("e")))
-    found = occ.drop("part").join(known, ["fp", "ctx"]).withColumn("own", F.when(F.col("id") > F.col("m"), F.array(F.struct("s", "e"))).otherwise(shift)).filter(F.col("own").isNotNull())
-    return found.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.flatten(F.collect_set("own")).alias("__spans"))
+    found = occ.drop("at", "part").join(known, ["fp", "ctx"]).withColumn("own", F.when(F.col("id") > F.col("m"), F.array(F.struct("s", "e"))).otherwise(shift)).filter(F.col("own").isNotNull())
+    return found.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.explode("own").alias("x")).select("__id", "__row", "x.s", "x.e")
+
+
+def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50, hot_after: int = 1_000_000, most_contexts: int = 50_000) -> DataFrame:
+    """__id, __row and __spans (byte offsets, may overlap) of each row that has any."""
+    docs = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(text).alias("row"), F.col(f"`{text}`").alias("t"))
+    bitmap, hot = shared_bits(docs, length, hot_after)
+    release(df.sparkSession)
+    found = repeats_by_anchor(occurrences(docs, length, bitmap & ~hot), length)
+    if hot.any():
+        found = found.union(repeats_by_class(occurrences(docs, length, hot), length, most_contexts))
+    return found.groupBy("__id", "__row").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
 
 
 def suffix_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50) -> DataFrame:
