@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from parsewarden.llm.common import checkpointed
 
 
+#: Edges from which a round takes more tasks than the session has cores.
+EDGES_A_TASK = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """node and component (smallest node reachable) of every node of edges (a, b: longs, either order).
 
@@ -17,21 +21,38 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     logarithm of the longest path. Each round is checkpointed; one row with a count and a checksum tells whether edges
     have changed.
     """
+    spark = edges.sparkSession
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     nodes = e.select("u").union(e.select(F.col("v"))).distinct()
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(e)
     for _ in range(max_rounds):
+        # few edges in few tasks: else each exchange of each round writes files for all of its partitions
+        tasks = max(spark.sparkContext.defaultParallelism, before[0] // EDGES_A_TASK)
+        e = e.coalesce(tasks)
         # large star: larger neighbours of u point at the smallest of u's neighbourhood
-        both = e.union(e.select(F.col("v"), F.col("u")))
+        both = e.union(e.select(F.col("v"), F.col("u"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         # small star: smaller neighbours of u, and u, point at the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = checkpointed(small.filter("u <> v").distinct())
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        e = checkpointed(small.filter("u <> v").coalesce(tasks).distinct())
         if (now := state(e)) == before:
             break
         before = now
     least = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(least, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", F.col("u")).alias("component"))
+
+
+def merged_components(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of what found (node, component) was made from and further edges (a, b).
+
+    Edges are drawn between components first, so of a dense group only those that join something are left.
+    """
+    ids = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    found = checkpointed(found.select("node", "component").union(ids))
+    end = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = edges.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    more = components(between).select(F.col("node").alias("component"), F.col("component").alias("c"))
+    return found.join(more, "component", "left").select("node", F.coalesce("c", "component").alias("component"))

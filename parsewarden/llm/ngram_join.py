@@ -9,11 +9,14 @@ only in which order the shingles of a set stand.
 2. ``shared_prefixes``: of a set of n shingles the first n - ceil(3n/4) + 1 are its prefix; sets that link share one.
    Documents of identical prefix and size are one group, and only groups are indexed. One shuffle by shingle brings the
    groups of each prefix shingle together in a sorted stream; shingles of one group end there, so nothing is collected.
-3. Documents of one set are one class, known by its smallest id. In ``link``, round 1 pairs each group with the hub
-   (smallest group of a shingle) that it shares most prefix shingles with, and the classes of a group with its first.
-   Verified pairs make components.
-   Round 2 takes the shingles whose groups aren't yet in one component and pairs groups of different components that pass
-   the size and the position filter. Pairs within a component need no check: they add no link between components.
+3. Documents of one set are one class, known by its smallest id. In ``link``, round 1 pairs the groups of each shingle
+   that only two have, each group with the hub (smallest group of a shingle) that it shares most prefix shingles with,
+   and the classes of a group with its first. Verified pairs make components.
+   A star round takes the shingles whose groups aren't yet in one component: each such group meets a few hubs more, so
+   groups of near copies grow together by a number of pairs in proportion to rows. The last round pairs all groups of
+   different components that share one of those left and pass the size and the position filter, and a bound by the parity bitmaps of their sets, which is exact
+   too and leaves few pairs of a large group of near copies that don't link. Pairs within a component need no
+   check: they add no link between components.
 4. ``verified`` expands pairs to classes, joins whole texts and counts intersections.
 
 Defined results: a null or empty text, or one without words, has 0 shingles and is its own component; fewer words than
@@ -31,14 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, delete_path, fresh_path, table
-from parsewarden.llm.components import components
+from parsewarden.llm.common import checkpointed, delete_path, fresh_path, release, table
+from parsewarden.llm.components import components, merged_components
 from parsewarden.llm.shingles import shingle_sets
 
 CELL_BITS = 20
 BLOCK_CELLS = 1024
 BITMAP_BITS = 24
-SHARED = "token long, gid long, n int, pos int, hub long, hub_n int, hub_pos int, doc_id long, hi long, lo long"
+#: Rows of a batch whose texts are taken apart together.
+ROWS_AT_ONCE = 1000
+#: 64-bit words of the parity bitmap of a set.
+PARITY_WORDS = 16
+SHARED = "token long, gid long, n int, pos int, hub long, hub_n int, hub_pos int, big boolean, doc_id long, hi long, lo long, bits array<long>"
 
 
 def summed_blocks(counts: DataFrame) -> dict[int, np.ndarray]:
@@ -81,6 +88,12 @@ def needed(n: int) -> int:
     return (3 * n + 3) // 4
 
 
+def parity_bits(s: np.ndarray) -> list[int]:
+    """Bit k tells whether an odd number of shingles hash to k: two sets differ in as many shingles as bits, or more."""
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> None:
     """Write SHARED: for each prefix shingle of several groups a row for each of them but the hub, and a row a document."""
     spark = docs.sparkSession
@@ -89,9 +102,9 @@ def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> No
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = sent.value, set()
         shift = np.uint64(64 - CELL_BITS)
-        for b in batches:
+        for b in (x.slice(k, ROWS_AT_ONCE) for x in batches for k in range(0, x.num_rows, ROWS_AT_ONCE)):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            sizes, his, los, gids = [0] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
+            sizes, his, los, gids, bits = [0] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
             tokens, owners, owner_n, lengths = [], [], [], []
             for i, s in shingle_sets(texts, n):
                 if not len(s) or ids[i] is None:
@@ -100,7 +113,7 @@ def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> No
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 prefix = s[np.lexsort((s, ranks[s >> shift]))[: len(s) - needed(len(s)) + 1]]
                 gid = np.frombuffer(xxhash.xxh3_64_digest(prefix.tobytes() + len(s).to_bytes(8, "little")), np.int64)[0].item()
-                sizes[i], gids[i] = len(s), gid
+                sizes[i], gids[i], bits[i] = len(s), gid, parity_bits(s)
                 his[i], los[i] = np.frombuffer(digest, np.int64).tolist()
                 if gid not in seen:
                     seen.add(gid)
@@ -108,28 +121,27 @@ def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> No
                     owners.append(gid)
                     owner_n.append(len(s))
                     lengths.append(len(prefix))
-            none = pa.nulls(len(ids), pa.int64())
             spread = [xxhash.xxh3_64_intdigest(str(x).encode()) - (1 << 63) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int64()), pa.array(gids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64())], names=["token", "gid", "at", "doc_id", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int64()), pa.array(gids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=[*INDEXED])
             if tokens:
                 each = np.asarray(lengths)
                 pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 at = (np.repeat(np.asarray(owner_n, np.int64), each) << 32) | pos | (1 << 31)
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.asarray(owners, np.int64), each)), pa.array(at), none, none, none], names=["token", "gid", "at", "doc_id", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.asarray(owners, np.int64), each)), pa.array(at), none, none, none, pa.nulls(len(at), pa.list_(pa.int64()))], names=[*INDEXED])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by token. hub: the smallest group of a run of tokens, as far as it stands in one batch."""
         held: tuple[int, int, int] | None = None  # last token so far, its hub and that one's place
         for b in batches:
-            token, gid, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            index = at & (1 << 31) != 0
-            rest = ~index
-            if rest.any():
-                own = b.filter(pa.array(rest))
+            index = b.column(2).to_numpy() & (1 << 31) != 0
+            if not index.all():
+                own = b.filter(pa.array(~index))
                 none32, none64 = pa.nulls(own.num_rows, pa.int32()), pa.nulls(own.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2).cast(pa.int32()), none32, none64, none32, none32, own.column(3), own.column(4), own.column(5)], names=NAMES)
-            token, gid, at = token[index], gid[index].astype(np.int64), at[index]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2).cast(pa.int32()), none32, none64, none32, none32, pa.nulls(own.num_rows, pa.bool_()), *own.columns[3:7]], names=NAMES)
+            # rows of documents may lack a group; only those of the index can be taken as numbers
+            own = b.filter(pa.array(index))
+            token, gid, at = (own.column(i).to_numpy() for i in range(3))
             if not len(token):
                 continue
             first = np.concatenate([[True], token[1:] != token[:-1]])
@@ -139,20 +151,25 @@ def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> No
             hub_at = np.zeros(len(begin), np.int64)
             is_hub = gid == hub[run]
             hub_at[run[is_hub]] = at[is_hub]
-            if held and held[0] == token[0]:
+            went_on = bool(held and held[0] == token[0])
+            if went_on:
                 hub[0], hub_at[0] = held[1], held[2]
             held = (token[-1], hub[-1], hub_at[-1])
+            # two groups in all, as far as this batch shows: their pair is all that the shingle can give
+            big = np.add.reduceat((gid != hub[run]).astype(np.int64), begin) != 1
+            big[0], big[-1] = big[0] or went_on, True
             other = np.flatnonzero(gid != hub[run])
             if len(other):
                 h, n_, p_ = hub[run[other]], hub_at[run[other]] >> 32, hub_at[run[other]] & (2**31 - 1)
                 none = pa.nulls(len(other), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(token[other]), pa.array(gid[other]), pa.array((at[other] >> 32).astype(np.int32)), pa.array((at[other] & (2**31 - 1)).astype(np.int32)), pa.array(h), pa.array(n_.astype(np.int32)), pa.array(p_.astype(np.int32)), none, none, none], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(token[other]), pa.array(gid[other]), pa.array((at[other] >> 32).astype(np.int32)), pa.array((at[other] & (2**31 - 1)).astype(np.int32)), pa.array(h), pa.array(n_.astype(np.int32)), pa.array(p_.astype(np.int32)), pa.array(big[run[other]]), none, none, none, pa.nulls(len(other), pa.list_(pa.int64()))], names=NAMES)
 
-    own = docs.mapInArrow(emit, "token long, gid long, at long, doc_id long, hi long, lo long")
+    own = docs.mapInArrow(emit, ", ".join(f"{k} {t}" for k, t in INDEXED.items()))
     own.repartition("token").sortWithinPartitions("token").mapInArrow(meet, SHARED).write.parquet(path)
     sent.destroy()
 
 
+INDEXED = {"token": "long", "gid": "long", "at": "long", "doc_id": "long", "hi": "long", "lo": "long", "bits": "array<long>"}
 NAMES = [x.split()[0] for x in SHARED.split(", ")]
 
 
@@ -179,7 +196,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.uint64)
-        for b in batches:
+        for b in (x.slice(k, ROWS_AT_ONCE) for x in batches for k in range(0, x.num_rows, ROWS_AT_ONCE)):
             tb = b.column(3).to_pylist()
             distinct = {t: i for i, t in enumerate(dict.fromkeys(tb))}
             right = dict(shingle_sets(list(distinct), n))
@@ -193,49 +210,112 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, n: int = 5) -> DataFrame:
+def labels_of(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """gid and label: the component of the classes of each group; null if they are in several."""
+    own = classes.join(found, classes["class_id"] == found["node"], "left").select("gid", F.coalesce("component", "class_id").alias("c"))
+    label = F.when(F.min("c") == F.max("c"), F.min("c"))
+    return checkpointed(own.groupBy("gid").agg(label.alias("label")))
+
+
+def differ(a: str, b: str):
+    return F.col(a).isNull() | F.col(b).isNull() | (F.col(a) != F.col(b))
+
+
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with label, of those shingles alone whose groups aren't all in one component."""
+    own = members.join(labels, "gid")
+    range_ = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(F.col("label").isNull()).alias("none"))
+    return own.join(range_.filter("none > 0 or lo < hi").select("token"), "token").select("token", "gid", "n", "pos", "label")
+
+
+def star_pairs(members: DataFrame, salt: int, families: int = 4) -> DataFrame:
+    """Pairs (gid, hub) of different labels, one for each group and family of shingles at most.
+
+    Each shingle has one hub, the member of smallest hash salted by its family. members: token, gid, n, pos, label.
+    """
+    family = F.pmod(F.xxhash64("token", F.lit(salt)), F.lit(families))
+    own = members.withColumn("family", family)
+    as_hub = F.struct(F.col("gid").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"))
+    hubs = own.groupBy("token").agg(F.min_by(as_hub, F.xxhash64("gid", F.col("family") + families * (salt + 1))).alias("h")).select("token", "h.*")
+    met = own.join(hubs, "token").filter(F.col("gid") != F.col("hub")).filter(differ("label", "hub_label")).filter(passes("n", "pos", "hub_n", "hub_pos"))
+    met = met.groupBy("gid", "family", "hub").agg(F.count("*").alias("c"))
+    return met.groupBy("gid", "family").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")).select("gid", "hub").distinct()
+
+
+def met_pairs(members: DataFrame, parity: DataFrame) -> DataFrame:
+    """All pairs (gid, gid_b) of different labels that share a shingle of their prefixes and pass all filters.
+
+    parity: gid and bits (null: not known), for a bound on the difference of two sets: that of n and m shingles that link
+    is n + m - 2 ceil(3 (n + m) / 7) at most.
+    """
+    members = members.join(parity, "gid")
+    words = [f"w{k}" for k in range(PARITY_WORDS)]
+    members = members.select("token", "gid", "n", "pos", "label", *[F.get("bits", F.lit(k)).alias(w) for k, w in enumerate(words)])
+    # both sides are the same plan, so their exchange runs once
+    x, y = members.alias("x"), members.alias("y")
+    unlike = F.expr(" + ".join(f"bit_count(x.{w} ^ y.{w})" for w in words))
+    both = F.col("x.n") + F.col("y.n")
+    near = F.coalesce(unlike <= both - 2 * F.floor((3 * both + 6) / 7), F.lit(True))
+    met = x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.gid") < F.col("y.gid")) & differ("x.label", "y.label") & passes("x.n", "x.pos", "y.n", "y.pos") & near)
+    return met.select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("gid_b")).distinct()
+
+
+def link(docs: DataFrame, n: int = 5, star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     path = fresh_path(spark, "prefixes")
     shared_prefixes(docs, n, frequency_ranks(docs, n), path)
+    release(spark)
     every = spark.read.schema(SHARED).parquet(path)
-    rows = every.filter("hub is null").select("doc_id", "n", "hi", "lo", "gid")
+    rows = every.filter("hub is null").select("doc_id", "n", "hi", "lo", "gid", "bits")
     shared = every.filter("hub is not null")
-    classes = checkpointed(rows.filter("gid is not null").groupBy("n", "hi", "lo", "gid").agg(F.min("doc_id").alias("class_id")))
-    groups = checkpointed(classes.groupBy("gid").agg(F.min("class_id").alias("rep"), F.count("*").alias("size")))
+    classes = checkpointed(rows.filter("gid is not null").groupBy("n", "hi", "lo", "gid").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits")))
+    groups = checkpointed(classes.groupBy("gid").agg(F.min("class_id").alias("rep"), F.count("*").alias("size"), F.first("bits").alias("bits")))
     rep = lambda gid, name: groups.select(F.col("gid").alias(gid), F.col("rep").alias(name))
 
-    met = shared.filter(passes("n", "pos", "hub_n", "hub_pos")).groupBy("gid", "hub").agg(F.count("*").alias("c"))
-    best = met.groupBy("gid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    pairs = best.join(rep("gid", "a"), "gid").join(rep("hub", "b"), "hub").select("a", "b")
+    met = checkpointed(shared.groupBy("gid", "hub").agg(F.count_if(passes("n", "pos", "hub_n", "hub_pos")).alias("c"), F.count_if(passes("n", "pos", "hub_n", "hub_pos") & ~F.col("big")).alias("alone"), F.bool_or("big").alias("big")))
+    best = met.filter("c > 0").groupBy("gid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    first = best.select("gid", "hub").union(met.filter("alone > 0").select("gid", "hub")).distinct()
+    pairs = first.join(rep("gid", "a"), "gid").join(rep("hub", "b"), "hub").select("a", "b")
     inner = classes.join(groups.filter("size > 1"), "gid").filter("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))
     links = checkpointed(verified(pairs.union(inner), docs, n))
     found = checkpointed(components(links))
-
-    # round 2: a group's label is the component of its classes; null if they are in several
-    own = classes.join(found, classes["class_id"] == found["node"], "left").select("gid", F.coalesce("component", "class_id").alias("c"))
-    label = checkpointed(own.groupBy("gid").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).select("gid", F.when(F.col("lo_c") == F.col("hi_c"), F.col("lo_c")).alias("label")))
-    marked = shared.join(label, "gid").join(label.select(F.col("gid").alias("hub"), F.col("label").alias("hub_label")), "hub")
-    apart = F.col("label").isNull() | F.col("hub_label").isNull() | (F.col("label") != F.col("hub_label"))
-    open_tokens = marked.filter(apart).select("token").distinct()
-    members = marked.join(open_tokens, "token")
-    members = members.select("token", "gid", "n", "pos", "label").union(members.select("token", F.col("hub").alias("gid"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos"), F.col("hub_label").alias("label"))).distinct()
-    members = checkpointed(members)
-    other = members.select("token", *[F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "label")])
-    apart = F.col("label").isNull() | F.col("label_b").isNull() | (F.col("label") != F.col("label_b"))
-    met = members.join(other, "token").filter((F.col("gid") < F.col("gid_b")) & apart & passes("n", "pos", "n_b", "pos_b")).select("gid", "gid_b").distinct()
+    labels = labels_of(classes, found)
+
+    # shingles of three groups or more, or of a group of several sets, that hold an open pair
+    several = groups.filter("size > 1").select("gid")
+    crowd = met.filter("big").select("gid", "hub").union(met.join(several, "gid", "left_semi").select("gid", "hub")).union(met.join(several.select(F.col("gid").alias("hub")), "hub", "left_semi").select("gid", "hub")).distinct()
+    crowd = crowd.join(labels, "gid").join(labels.select(F.col("gid").alias("hub"), F.col("label").alias("hub_label")), "hub").filter(differ("label", "hub_label")).select("gid", "hub")
+    slim = shared.select("token", "gid", "n", "pos", "hub", "hub_n", "hub_pos")
+    tokens = slim.join(crowd, ["gid", "hub"], "left_semi").select("token").distinct()
+    both = F.array(F.struct("gid", "n", "pos"), F.struct(F.col("hub").alias("gid"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")))
+    slim.join(tokens, "token", "left_semi").select("token", F.explode(both).alias("x")).select("token", "x.*").distinct().write.parquet(f"{path}-open")
+    members = spark.read.schema("token long, gid long, n int, pos int").parquet(f"{path}-open")
+    release(spark)
+    for salt in range(star_rounds):
+        stars = star_pairs(members.join(labels, "gid"), salt)
+        pairs = checkpointed(stars.join(rep("gid", "a"), "gid").join(rep("hub", "b"), "hub").select("a", "b"))
+        if pairs.isEmpty():
+            break
+        links = checkpointed(verified(pairs, docs, n))
+        found = checkpointed(merged_components(found, links))
+        labels = labels_of(classes, found)
+
+    parity = groups.select("gid", F.when(F.col("size") == 1, F.col("bits")).alias("bits"))
+    met = met_pairs(still_open(members, labels), parity)
     side = lambda name: classes.select(F.col("gid").alias(f"gid{name}"), F.col("class_id").alias("b" if name else "a"))
     pairs = met.join(side(""), "gid").join(side("_b"), "gid_b").select("a", "b")
     # classes of one group whose pair with its first did not link
-    rest = classes.join(label.filter("label is null"), "gid").select("gid", "class_id")
-    pairs = pairs.union(rest.select("gid", F.col("class_id").alias("a")).join(rest.select("gid", F.col("class_id").alias("b")), "gid").filter("a < b").select("a", "b"))
-    more = verified(checkpointed(pairs), docs, n)
-    found = components(links.union(more))
+    rest = classes.join(labels.filter("label is null"), "gid").select("gid", "class_id")
+    pairs = checkpointed(pairs.union(rest.select("gid", F.col("class_id").alias("a")).join(rest.select("gid", F.col("class_id").alias("b")), "gid").filter("a < b").select("a", "b")))
+    if not pairs.isEmpty():
+        found = merged_components(found, checkpointed(verified(pairs, docs, n)))
 
     out = rows.join(classes, (rows["n"] == classes["n"]) & (rows["hi"] == classes["hi"]) & (rows["lo"] == classes["lo"]), "left").select("doc_id", rows["n"].cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.join(found, out["class_id"] == found["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = checkpointed(out)
     delete_path(spark, path)
+    delete_path(spark, f"{path}-open")
     return out
 
 
