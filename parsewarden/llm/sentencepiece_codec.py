@@ -185,7 +185,7 @@ def verify(path: str, texts: list[str]) -> list[str]:
     return [t for t, i, d in zip(texts, lists, own.decode(lists), strict=True) if i != theirs.encode(t) or d != theirs.decode(i)]
 
 
-def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rows_a_batch: int = 1000) -> DataFrame:
+def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rows_a_batch: int = 250) -> DataFrame:
     """keep, ids (array), n_tokens, ids_crc32 and decoded text of every row. No shuffle."""
     added = ("ids", "n_tokens", "ids_crc32", "decoded")
     if set(keep) & set(added):
