@@ -1,17 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval, then word checks.
 
-Benchmark items are taken in blocks of at most ``block_items``; a block's vocabulary (the words of its items) bounds
+An item longer than a window is looked for by its parts: overlapping stretches of at most a window, so that each has the
+length of what it is compared with. Benchmark items are taken in blocks of at most ``block_items`` parts (an item of more
+is a block of its own, whose rank is the number of its parts); a block's vocabulary (the words of its items) bounds
 everything that is kept in memory, sent to the driver or to executors. For each block three passes over all documents,
 row by row and without a shuffle of texts:
 
 1. Document frequencies of the vocabulary over all passages (stretches of ``half`` words) of all documents. Words in
-   more than ``common`` of the passages get no weight, but for the rarest few of each item.
-2. Randomised SVD of the TF-IDF matrix A of all passages, with the items as further rows of ``item_weight`` times the
+   more than ``common`` of the passages get no weight, but for the rarest few of each part.
+2. Randomised SVD of the TF-IDF matrix A of all passages, with the parts as further rows of ``item_weight`` times the
    total weight, in one pass: B = A'G for random signs G drawn from each passage. As BB' is A'A in expectation but for a factor, the left
    singular vectors of B stand for the right ones of A. B is one array a task, summed by blocks of rows.
-3. Windows of two neighbouring passages against all items of the block by cosine, between the images in the latent
+3. Windows of two neighbouring passages against all parts of the block by cosine, between the images in the latent
    space, over the norm of the window before projection, so that one shared rare word isn't enough. For each candidate
-   the longest common subsequence of the item's words with the window, widened by the item's length on either side.
+   the longest common subsequence of the whole item's words with the window, widened by the item's length on either side.
 
 An item has leaked into a document if ``strong`` of its words are in common in order, or ``weak`` of them and all of its
 answer: the words of the column ``answer``, else of the last sentence of the item, or the last ``answer_words`` words if
@@ -80,20 +82,31 @@ def words_of(texts: pa.Array):
         yield at, *word_hashes(own)
 
 
+def stretches(n: int, half: int) -> list[tuple[int, int]]:
+    """Parts of an item of n words: all of it if it fits into a window, else pairs of neighbours of an even number of stretches."""
+    if n <= 2 * half:
+        return [(0, n)]
+    m = 2 * -(-n // (2 * half))
+    cuts = [n * i // m for i in range(m + 1)]
+    return list(zip(cuts, cuts[2:], strict=False))
+
+
 @dataclass
 class Items:
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
     terms: np.ndarray  # sorted word hashes
+    parts: list[tuple[int, list[int]]]  # number of the item, words
 
     @staticmethod
-    def of(rows: list[tuple[int, str, str | None]], answer_words: int) -> Items:
+    def of(rows: list[tuple[int, str, str | None]], answer_words: int, half: int) -> Items:
         answer = [a if a else next((x for x in reversed(re.split(r"[.!?\n]+", t)) if plain(x).split()), "") for _, t, a in rows]
         hashed = lambda texts: (lambda h, at: [h[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)])(*word_hashes([plain(t) for t in texts]))
         words = hashed([t for _, t, _ in rows])
         answers = [a if len(a) >= answer_words or given else w[-answer_words:] for a, w, (_, _, given) in zip(hashed(answer), words, rows, strict=True)]
-        return Items([i for i, _, _ in rows], words, answers, np.unique(np.array([w for x in words for w in x], np.uint64)))
+        parts = [(k, x[i:j]) for k, x in enumerate(words) for i, j in stretches(len(x), half)]
+        return Items([i for i, _, _ in rows], words, answers, np.unique(np.array([w for x in words for w in x], np.uint64)), parts)
 
 
 class Lookup:
@@ -196,7 +209,7 @@ def weights(docs: DataFrame, items: Items, s: Settings) -> tuple[np.ndarray, np.
     seen = over_corpus(docs, n, 2, count)
     df, every = seen[:, 0], seen[0, 1]
     keep = df <= s.common * every
-    for x in items.words:
+    for _, x in items.parts:
         own = np.unique(np.searchsorted(items.terms, np.array(x, np.uint64)))
         keep[own[np.argsort(df[own], kind="stable")[: s.rarest]]] = True
     return items.terms[keep], (np.log((1 + every) / (1 + df)) + 1e-3)[keep]
@@ -205,7 +218,8 @@ def weights(docs: DataFrame, items: Items, s: Settings) -> tuple[np.ndarray, np.
 def fit(docs: DataFrame, items: Items, s: Settings) -> Space:
     terms, weight = weights(docs, items, s)
     look, n = Lookup(terms), len(terms)
-    width = min(s.rank + s.oversample, n)
+    rank = max(s.rank, len(items.parts))
+    width = min(rank + s.oversample, n)
 
     def project(words, offsets, total):
         _, of, term, w, at = weighted(words, offsets, look, weight, s.half)
@@ -219,14 +233,14 @@ def fit(docs: DataFrame, items: Items, s: Settings) -> Space:
 
     seen = over_corpus(docs, n, width + 1, project)
     space = Space(terms, weight, np.empty(0))
-    own = [x for x in map(space.numbers, items.words) if len(x)]
+    own = [x for x in (space.numbers(words) for _, words in items.parts) if len(x)]
     rows = np.zeros((len(own), n))
     for i, x in enumerate(own):
         rows[i, x] = weight[x] / np.sqrt((weight[x] ** 2).sum())
-    share = max(1.0, seen[0, width]) / max(1, len(own))  # squared weight of an item's row, if all items weigh as all passages
+    share = max(1.0, seen[0, width]) / max(1, len(own))  # squared weight of a part's row, if all parts weigh as all passages
     g = np.random.default_rng(1).choice([-1.0, 1.0], (len(own), width))
     left, _, _ = np.linalg.svd(seen[:, :width] + np.sqrt(s.item_weight * share) * rows.T @ g, full_matrices=False)
-    space.latent = left[:, : s.rank].astype(np.float32)
+    space.latent = left[:, :rank].astype(np.float32)
     return space
 
 
@@ -247,9 +261,10 @@ class Searcher:
     def __init__(self, items: Items, space: Space, s: Settings):
         self.items, self.weight, self.latent, self.s = items, space.weight, space.latent, s
         self.look = Lookup(space.terms)
-        image = np.zeros((len(items.ids), space.latent.shape[1]), np.float32)
-        self.least = np.zeros(len(items.ids), np.int64)
-        for i, x in enumerate(items.words):
+        self.of = np.array([k for k, _ in items.parts])
+        image = np.zeros((len(items.parts), space.latent.shape[1]), np.float32)
+        self.least = np.zeros(len(items.parts), np.int64)
+        for i, (_, x) in enumerate(items.parts):
             t = space.numbers(x)
             image[i] = space.weight[t] @ space.latent[t]
             # words with weight that a common subsequence long enough must hold; half of them in one window
@@ -259,7 +274,7 @@ class Searcher:
         self.image = (image / np.where(norm > 0, norm, 1)).astype(np.float32)
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray):
-        """Text, number of its window's first passage, item and cosine of each candidate."""
+        """Text, number of its window's first passage, its passages, item and cosine (of the item's nearest part) of each candidate."""
         first, of, term, w, _ = weighted(words, offsets, self.look, self.weight, self.s.half)
         if not len(of):
             return
@@ -278,14 +293,20 @@ class Searcher:
         long = np.concatenate([np.ones(len(used), np.int64), np.full(len(pair), 2)])
         for k in range(0, len(start), 8192):
             cosine = vector[k : k + 8192] @ self.image.T / np.sqrt(square[k : k + 8192])[:, None]
+            nearest: dict[tuple[int, int], float] = {}
             for i, j in zip(*np.nonzero((cosine >= self.s.cosine) & (count[k : k + 8192, None] >= self.least)), strict=True):
-                yield int(text[k + i]), int(start[k + i] - first[text[k + i]]), int(long[k + i]), int(j), float(cosine[i, j])
+                at = int(i), int(self.of[j])
+                nearest[at] = max(nearest.get(at, -1.0), float(cosine[i, j]))
+            for (i, item), c in nearest.items():
+                yield int(text[k + i]), int(start[k + i] - first[text[k + i]]), int(long[k + i]), item, c
 
     def leaks(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, int, bool]]:
         """By text and item: cosine, common length and whether the answer is there, of its best window."""
         found: dict[tuple[int, int], tuple[float, int, bool]] = {}
         for text, passage, long, item, cosine in self.candidates(words, offsets):
             own, n = self.items.words[item], len(self.items.words[item])
+            if found.get((text, item), (0, 0, False))[1:] == (n, True):
+                continue
             lo = max(offsets[text], offsets[text] + passage * self.s.half - n)
             hi = min(offsets[text + 1], offsets[text] + (passage + long) * self.s.half + n)
             near = words[lo:hi].tolist()
@@ -320,19 +341,21 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(text).alias("__row"), F.col(f"`{text}`").alias("text"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), "text", answer.alias("a")).orderBy("i", "text")
-    out, block = None, []
+    out, block, size = None, [], 0
 
     def searched() -> DataFrame | None:
-        items = Items.of(block, settings.answer_words)
+        items = Items.of(block, settings.answer_words, settings.half)
         if not len(items.terms):
             return out
         found = search(docs, items, fit(docs, items, settings), settings)
         return out.union(found) if out is not None else found
 
     for r in rows.toLocalIterator():
+        n = len(stretches(len(plain(r["text"]).split()), settings.half))
+        if block and size + n > settings.block_items:
+            out, block, size = searched(), [], 0
         block.append((r["i"], r["text"], r["a"]))
-        if len(block) == settings.block_items:
-            out, block = searched(), []
+        size += n
     if block:
         out = searched()
     if out is None:

@@ -30,6 +30,42 @@ def test_planted_items_are_found_and_clean_texts_left(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, (i - 1000) // 10) for i, _ in leaks}
 
 
+def rare(seed, n):
+    import random
+
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [65, 300, 2000])
+def test_long_items_of_rare_words_are_found(spark, n):
+    own = rare(n, n)
+    changed = [f"other{k}" if k % 10 in (2, 5, 8) and k < n - 6 else x for k, x in enumerate(own)]
+    weak = [f"other{k}" if k % 20 in (2, 5, 8, 11, 13, 16, 19) and k < n - 6 else x for k, x in enumerate(own)]
+    broken = [x if k % 2 else f"other{k}" for k, x in enumerate(own)]
+    docs = [(i, " ".join([cases.words(i, 45), " ".join(x), cases.words(100 + i, 45)])) for i, x in enumerate((own, changed, weak, broken, own[: n // 2]))]
+    # so many passages that all words of the item are rare enough to have weight
+    docs += [(100 + i, cases.words(200 + i, 40_000)) for i in range(4)]
+    items = [(7, f"{' '.join(own[:-5])}. {' '.join(own[-5:])}"), (8, cases.words(9001, 20)), (9, " ".join(rare(1, 700)))]
+    found = ld.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(0, 7), (1, 7), (2, 7)]
+
+
+def test_parts_cover_an_item_and_fit_into_a_window():
+    for n in range(1, 700):
+        parts = ld.stretches(n, 32)
+        assert max(j - i for i, j in parts) <= 64 and {k for i, j in parts for k in range(i, j)} == set(range(n))
+        assert sorted(k for i, j in parts[::2] for k in range(i, j)) == list(range(n))
+
+
+def test_an_item_of_more_parts_than_a_block_is_found(spark):
+    own = rare(5, 1000)
+    docs = [(0, " ".join(own))] + [(100 + i, cases.words(200 + i, 150)) for i in range(20)]
+    items = [(1, cases.words(9001, 20)), (7, " ".join(own)), (8, cases.words(9002, 20))]
+    found = ld.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), settings=ld.Settings(block_items=5))
+    assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(0, 7)]
+
+
 def test_blocks_of_items_find_the_same(spark):
     items, docs, leaks = planted(spark)
     df = spark.createDataFrame(docs + leaks, "doc_id long, text string")
