@@ -8,7 +8,7 @@ comes from four shifts and additions of whole arrays.
 A chunk is a repeat if a document of smaller id has one of the same 128-bit digest. The smallest id of each digest comes
 from one aggregation that combines before its shuffle, so a chunk that a third of all documents share costs a row for
 each task; the join back is an ordinary one, which adaptive execution splits where a digest is hot. Runs of repeats of at
-least ``min_run_bytes`` are removed, so chance repeats of a phrase stay.
+least ``min_run_bytes`` are removed, so chance repeats of a phrase stay, and documents of nothing but repeats, however short.
 
 Defined results: a null text counts as empty; rows without id are never cut and never cut others; rows of one id never
 cut each other, and equal rows are cut alike; an empty table gives an empty result; further columns stay where texts are
@@ -33,6 +33,8 @@ LOOK_BACK = 16
 #: Never in UTF-8; stands between texts, and its gear value is 0.
 GAP = b"\xff" * LOOK_BACK
 BATCH_BYTES = 1 << 22
+#: Of the query and the pipeline: a passage of 51 words loses the chunks at its edges, and what is left is often under 100.
+MIN_RUN_BYTES = 50
 
 
 def gear_table(seed: int = 7) -> np.ndarray:
@@ -109,7 +111,7 @@ def chunk_rows(texts: list[str | None], bits: int, min_bytes: int, max_bytes: in
 
 
 def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max_bytes: int) -> DataFrame:
-    """A row for each chunk: __id, __row, s, e (byte offsets), digest."""
+    """A row for each chunk: __id, __row, s, e (byte offsets; the end of a text is -e), digest."""
     own = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("__id"), row_key(text).alias("__row"), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +120,7 @@ def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max
             for i, at, own in chunk_rows(b.column(2).to_pylist(), bits, min_bytes, max_bytes):
                 of += [i] * len(own)
                 starts += at[:-1]
-                ends += at[1:]
+                ends += [*at[1:-1], -at[-1]]
                 digests += own
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], names=["__id", "__row", "s", "e", "digest"])
@@ -136,16 +138,17 @@ def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", bi
     # a run begins where no repeat ends, and ends where the last repeat before the next beginning does
     begins = F.filter(F.transform(c, lambda x, i: F.when((i > 0) & (F.get(c, i - 1)["e"] == x["s"]), F.lit(None)).otherwise(x["s"])), lambda x: x.isNotNull())
     finish = F.filter(F.transform(c, lambda x, i: F.when(F.get(c, i + 1)["s"] == x["e"], F.lit(None)).otherwise(x["e"])), lambda x: x.isNotNull())
-    runs = F.filter(F.transform(F.arrays_zip(begins.alias("s"), finish.alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))), lambda x: x["e"] - x["s"] >= min_run_bytes)
+    long = F.filter(F.arrays_zip(begins.alias("s"), finish.alias("e")), lambda x: (F.abs(x["e"]) - x["s"] >= min_run_bytes) | ((x["s"] == 0) & (x["e"] < 0)))
+    runs = F.transform(long, lambda x: F.struct(x["s"].alias("s"), F.abs(x["e"]).alias("e")))
     return own.select("__id", "__row", runs.alias("__spans")).filter(F.size("__spans") > 0)
 
 
 def chunk_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """df with the repeats cut out of its texts."""
-    return without_spans(df, repeated_spans(df, text, id_col, **how), text, id_col, replace=True)
+    return without_spans(df, repeated_spans(df, text, id_col, **{"min_run_bytes": MIN_RUN_BYTES, **how}), text, id_col, replace=True)
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_spans(docs, repeated_spans(docs), "text", "doc_id")
+    return without_spans(docs, repeated_spans(docs, min_run_bytes=MIN_RUN_BYTES), "text", "doc_id")

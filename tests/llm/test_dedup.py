@@ -177,3 +177,19 @@ def test_chunk_spans_match_brute_force(spark):
         if runs:
             want[i] = runs
     assert {r["__id"]: [tuple(x) for x in r["__spans"]] for r in cd.repeated_spans(df).collect()} == want
+
+
+def test_short_copies_are_cut(spark, tmp_path):
+    short = [cases.words(50 + i, 3 + i)[:90] for i in range(8)]
+    passages = [cases.words(80 + i, 14 + i) for i in range(16)]
+    docs = [(i, t) for i, t in enumerate(short + [f"{cases.words(200 + i, 40)} {t}" for i, t in enumerate(passages)])]
+    docs += [(100 + i, t) for i, t in enumerate(short)] + [(200 + i, f"{t} {cases.words(400 + i, 40)}") for i, t in enumerate(passages)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    runs = {r["__id"]: [tuple(x) for x in r["__spans"]] for r in cd.repeated_spans(df, min_run_bytes=0).collect()}
+    want = {i: [x for x in s if x[1] - x[0] >= 50 or x == (0, len(dict(docs)[i].encode()))] for i, s in runs.items()}
+    # copies under 50 bytes that are whole documents, and runs of 50 to 99 bytes within others
+    assert min(x[1] - x[0] for s in want.values() for x in s) < 50 and any(50 <= x[1] - x[0] < 100 for i, s in want.items() if i >= 200 for x in s)
+    own = {r["doc_id"]: r for r in cd.op3_chunk_dedup(spark, cases.write(spark, tmp_path, documents=df)).collect()}
+    assert {i: r["n_removed"] for i, r in own.items() if r["n_removed"]} == {i: sum(b - a for a, b in s) for i, s in want.items() if s}
+    texts = {r["doc_id"]: r["text"] for r in cd.chunk_dedup(df).collect()}
+    assert all(texts[100 + i] == "" and texts[i] == short[i] for i in range(8))
