@@ -78,6 +78,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndar
     low = (h >> np.uint64(32)).astype(np.uint32)
     worst = np.uint32(2**32 - 1)
     low[low == worst] -= np.uint32(1)
+    # 0 marks closed windows below
+    low[low == 0] = 1
     # no GRAM that meets a gap counts, and no window that does
     w = length - GRAM + 1
     ends = begin[1:] - 1

@@ -193,3 +193,19 @@ def test_short_copies_are_cut(spark, tmp_path):
     assert {i: r["n_removed"] for i, r in own.items() if r["n_removed"]} == {i: sum(b - a for a, b in s) for i, s in want.items() if s}
     texts = {r["doc_id"]: r["text"] for r in cd.chunk_dedup(df).collect()}
     assert all(texts[100 + i] == "" and texts[i] == short[i] for i in range(8))
+
+
+def test_every_string_has_an_anchor_where_hashes_begin_with_zeros(monkeypatch):
+    hashes = sd.window_hashes
+
+    def with_zeros(*how):
+        h = hashes(*how)
+        return np.where(h % np.uint64(7) == 0, h & np.uint64(2**32 - 1), h)
+
+    monkeypatch.setattr(sd, "window_hashes", with_zeros)
+    texts = [cases.words(i, 60).encode() for i in range(5)]
+    _, begin, places, _, h, _ = sd.anchors(texts, 50)
+    assert (h >> np.uint64(32) == 0).any()
+    for k, t in enumerate(texts):
+        for i in range(begin[k], begin[k] + len(t) - 49):
+            assert ((places >= i) & (places <= i + 50 - sd.GRAM)).any()
