@@ -7,7 +7,8 @@ comes from four shifts and additions of whole arrays.
 
 A chunk is a repeat if a document of smaller id has one of the same 128-bit digest. The smallest id of each digest comes
 from one aggregation that combines before its shuffle, so a chunk that a third of all documents share costs a row for
-each task; the join back is an ordinary one, which adaptive execution splits where a digest is hot. Runs of repeats of at
+each task. On the way back each of the fewer than ``HOT`` digests that hold more than one in ``HOT`` of all repeated chunks
+is looked up in a broadcast table, so that its rows don't meet in one task; the others are joined. Runs of repeats of at
 least ``min_run_bytes`` are removed, so chance repeats of a phrase stay, and documents of nothing but repeats, however short.
 
 Defined results: a null text counts as empty; rows without id are never cut and never cut others; rows of one id never
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import row_key, table
+from parsewarden.llm.common import checkpointed, row_key, sliced, table
 from parsewarden.llm.spans import without_spans
 
 #: Bytes that the hash looks back on; it has as many bits.
@@ -33,6 +34,8 @@ LOOK_BACK = 16
 #: Never in UTF-8; stands between texts, and its gear value is 0.
 GAP = b"\xff" * LOOK_BACK
 BATCH_BYTES = 1 << 22
+#: A digest is hot if it holds more than one in so many repeated chunks; there are fewer than so many.
+HOT = 1000
 #: Of the query and the pipeline: a passage of 51 words loses the chunks at its edges, and what is left is often under 100.
 MIN_RUN_BYTES = 50
 
@@ -115,7 +118,7 @@ def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max
     own = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("__id"), row_key(text).alias("__row"), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             of, starts, ends, digests = [], [], [], []
             for i, at, own in chunk_rows(b.column(2).to_pylist(), bits, min_bytes, max_bytes):
                 of += [i] * len(own)
@@ -131,8 +134,13 @@ def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max
 def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", bits: int = 5, min_bytes: int = 16, max_bytes: int = 256, min_run_bytes: int = 100) -> DataFrame:
     """__id, __row and __spans (runs of repeated chunks, as byte offsets) of each row that has any."""
     every = chunks(df, text, id_col, bits, min_bytes, max_bytes)
-    first = every.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).filter("first < last").select("digest", "first")
-    again = every.join(first, "digest").filter("first < __id").select("__id", "__row", "s", "e")
+    first = every.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n")).filter("first < last").select("digest", "first", "n")
+    first = checkpointed(first)
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = first.filter(F.col("n") * HOT > total)
+    looked_up = every.join(F.broadcast(hot.select("digest", F.col("first").alias("hot"))), "digest", "left")
+    own = looked_up.filter("hot is null").join(first.filter(F.col("n") * HOT <= total), "digest").filter("first < __id")
+    again = own.select("__id", "__row", "s", "e").union(looked_up.filter("hot < __id").select("__id", "__row", "s", "e"))
     own = again.groupBy("__id", "__row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("c"))
     c = F.col("c")
     # a run begins where no repeat ends, and ends where the last repeat before the next beginning does

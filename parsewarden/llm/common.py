@@ -2,48 +2,65 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a longest run of other characters than these six.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Hold Arrow batches of this session down to so many rows and bytes, as whole texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most, as whole texts can be long; sessions keep their own batch size."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the session has none, as in tests on one machine, a temporary folder is set.
+    Where the session has none, a local master, as in tests on one machine, gets a temporary folder; a cluster raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='parsewarden-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of each action within at its end: its result is kept elsewhere by then."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    with shuffles_deleted(spark):
+        return df.checkpoint(eager=True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -51,6 +68,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parsewarden-{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written to path as Parquet and read again."""
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's file system classes, so that any store works."""
     jvm = spark.sparkContext._jvm
@@ -58,11 +82,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more; else they stay until the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1.5)
+@contextmanager
+def temporary(spark: SparkSession, name: str) -> Iterator[str]:
+    """A fresh path that is deleted at the end, whatever happens."""
+    path = fresh_path(spark, name)
+    try:
+        yield path
+    finally:
+        delete_path(spark, path)
 
 
 def row_key(text: str | Column) -> Column:

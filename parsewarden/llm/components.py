@@ -41,6 +41,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if (now := state(e)) == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     least = e.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(least, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", F.col("u")).alias("component"))
 

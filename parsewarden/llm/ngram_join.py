@@ -34,15 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, delete_path, fresh_path, release, table
+from parsewarden.llm.common import checkpointed, sliced, table, temporary, written
 from parsewarden.llm.components import components, merged_components
 from parsewarden.llm.shingles import shingle_sets
 
 CELL_BITS = 20
 BLOCK_CELLS = 1024
 BITMAP_BITS = 24
-#: Rows of a batch whose texts are taken apart together.
-ROWS_AT_ONCE = 1000
+#: Pairs for which a text is copied once more.
+PAIRS_A_COPY = 1000
 #: 64-bit words of the parity bitmap of a set.
 PARITY_WORDS = 16
 SHARED = "token long, gid long, n int, pos int, hub long, hub_n int, hub_pos int, big boolean, doc_id long, hi long, lo long, bits array<long>"
@@ -59,17 +59,12 @@ def summed_blocks(counts: DataFrame) -> dict[int, np.ndarray]:
     return {r["block"]: np.frombuffer(r["data"], np.int64) for r in rows}
 
 
-def few_tasks(df: DataFrame, each_core: int = 2) -> DataFrame:
-    """df in fewer tasks, without a shuffle, for steps that keep an array a task."""
-    return df.coalesce(max(1, each_core * df.sparkSession.sparkContext.defaultParallelism))
-
-
 def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
     """For each cell its rank by the number of documents' shingles in it: 16 log2 of it, rounded down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             own = [s for _, s in shingle_sets(b.column(0).to_pylist(), n)]
             if own:
                 cells += np.bincount((np.concatenate(own) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
@@ -78,7 +73,7 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
 
     cells = np.zeros((1 << CELL_BITS) // BLOCK_CELLS * BLOCK_CELLS, np.int64)
-    for block, data in summed_blocks(few_tasks(docs.select("text")).mapInArrow(run, "block int, data binary")).items():
+    for block, data in summed_blocks(docs.select("text").mapInArrow(run, "block int, data binary")).items():
         cells[block * BLOCK_CELLS : (block + 1) * BLOCK_CELLS] = data
     return (16 * np.log2(cells + 1)).astype(np.uint16)
 
@@ -94,15 +89,15 @@ def parity_bits(s: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> None:
-    """Write SHARED: for each prefix shingle of several groups a row for each of them but the hub, and a row a document."""
+def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> DataFrame:
+    """SHARED, written to path: for each prefix shingle of several groups a row for each of them but the hub, and a row a document."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(ranks)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = sent.value, set()
         shift = np.uint64(64 - CELL_BITS)
-        for b in (x.slice(k, ROWS_AT_ONCE) for x in batches for k in range(0, x.num_rows, ROWS_AT_ONCE)):
+        for b in sliced(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             sizes, his, los, gids, bits = [0] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
             tokens, owners, owner_n, lengths = [], [], [], []
@@ -165,8 +160,9 @@ def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> No
                 yield pa.RecordBatch.from_arrays([pa.array(token[other]), pa.array(gid[other]), pa.array((at[other] >> 32).astype(np.int32)), pa.array((at[other] & (2**31 - 1)).astype(np.int32)), pa.array(h), pa.array(n_.astype(np.int32)), pa.array(p_.astype(np.int32)), pa.array(big[run[other]]), none, none, none, pa.nulls(len(other), pa.list_(pa.int64()))], names=NAMES)
 
     own = docs.mapInArrow(emit, ", ".join(f"{k} {t}" for k, t in INDEXED.items()))
-    own.repartition("token").sortWithinPartitions("token").mapInArrow(meet, SHARED).write.parquet(path)
+    every = written(own.repartition("token").sortWithinPartitions("token").mapInArrow(meet, SHARED), path)
     sent.destroy()
+    return every
 
 
 INDEXED = {"token": "long", "gid": "long", "at": "long", "doc_id": "long", "hi": "long", "lo": "long", "bits": "array<long>"}
@@ -191,12 +187,16 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     bitmap = ids.groupBy((F.col("h") % words).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(h div {words} as int)))").alias("bits"))
     own = docs.filter(F.col("doc_id").isNotNull()).withColumn("h", bit("doc_id"))
     own = own.join(F.broadcast(bitmap), (F.col("h") % words) == F.col("w")).filter(F.expr(f"(shiftright(bits, cast(h div {words} as int)) & 1L) = 1L")).select("doc_id", "text")
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # a hub that very many pairs have is dealt out: its text is copied once for each PAIRS_A_COPY of them
+    copies = checkpointed(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies")))
+    salted = pairs.join(copies, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies"))).drop("copies")
+    both = salted.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    right = own.join(copies, own["doc_id"] == copies["b"]).select("b", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    both = both.join(right, ["b", "salt"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.uint64)
-        for b in (x.slice(k, ROWS_AT_ONCE) for x in batches for k in range(0, x.num_rows, ROWS_AT_ONCE)):
+        for b in sliced(batches):
             tb = b.column(3).to_pylist()
             distinct = {t: i for i, t in enumerate(dict.fromkeys(tb))}
             right = dict(shingle_sets(list(distinct), n))
@@ -262,11 +262,12 @@ def met_pairs(members: DataFrame, parity: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, n: int = 5, star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of an equal set) and component_id of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "prefixes")
-    shared_prefixes(docs, n, frequency_ranks(docs, n), path)
-    release(spark)
-    every = spark.read.schema(SHARED).parquet(path)
+    with temporary(docs.sparkSession, "prefixes") as path:
+        return _link(docs, n, star_rounds, path)
+
+
+def _link(docs: DataFrame, n: int, star_rounds: int, path: str) -> DataFrame:
+    every = shared_prefixes(docs, n, frequency_ranks(docs, n), f"{path}/all")
     rows = every.filter("hub is null").select("doc_id", "n", "hi", "lo", "gid", "bits")
     shared = every.filter("hub is not null")
     classes = checkpointed(rows.filter("gid is not null").groupBy("n", "hi", "lo", "gid").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits")))
@@ -289,9 +290,7 @@ def link(docs: DataFrame, n: int = 5, star_rounds: int = 1) -> DataFrame:
     slim = shared.select("token", "gid", "n", "pos", "hub", "hub_n", "hub_pos")
     tokens = slim.join(crowd, ["gid", "hub"], "left_semi").select("token").distinct()
     both = F.array(F.struct("gid", "n", "pos"), F.struct(F.col("hub").alias("gid"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")))
-    slim.join(tokens, "token", "left_semi").select("token", F.explode(both).alias("x")).select("token", "x.*").distinct().write.parquet(f"{path}-open")
-    members = spark.read.schema("token long, gid long, n int, pos int").parquet(f"{path}-open")
-    release(spark)
+    members = written(slim.join(tokens, "token", "left_semi").select("token", F.explode(both).alias("x")).select("token", "x.*").distinct(), f"{path}/open")
     for salt in range(star_rounds):
         stars = star_pairs(members.join(labels, "gid"), salt)
         pairs = checkpointed(stars.join(rep("gid", "a"), "gid").join(rep("hub", "b"), "hub").select("a", "b"))
@@ -313,10 +312,7 @@ def link(docs: DataFrame, n: int = 5, star_rounds: int = 1) -> DataFrame:
 
     out = rows.join(classes, (rows["n"] == classes["n"]) & (rows["hi"] == classes["hi"]) & (rows["lo"] == classes["lo"]), "left").select("doc_id", rows["n"].cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.join(found, out["class_id"] == found["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = checkpointed(out)
-    delete_path(spark, path)
-    delete_path(spark, f"{path}-open")
-    return out
+    return checkpointed(out)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

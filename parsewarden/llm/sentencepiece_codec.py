@@ -8,9 +8,12 @@ BPE scores give an order of pieces, and the library wants an order of pairs: eac
 all pairs that make it up. Runs of the marker share one score, which SentencePiece breaks from the left; ranking pairs
 with the longer left part first does the same.
 
-Where no piece has the marker behind another character, no token reaches across the start of a run of markers. A batch
-then encodes its distinct stretches once, by ``encode_batch`` on several threads, and puts ids together by number;
-else whole texts are encoded. ``verify`` holds ids and decoded texts against the sentencepiece library on given texts.
+Where no piece has the marker behind another character, no token reaches across the start of a run of markers. Each
+worker then encodes a distinct stretch once, by ``encode_batch`` on several threads, and puts ids together by number
+(``pieces``); else whole texts are encoded. Decoding takes the bytes of each id from a table and joins them; texts with
+unknown or control ids, or bytes that are no UTF-8, are decoded one by one. ``verify`` holds ids and decoded texts against the
+sentencepiece library (which sums Unigram scores in single precision: where two paths tie but for rounding, as over runs
+of spaces, it may take the other); a codec is verified on ``PROBES`` when a worker makes it, and one that isn't at parity is refused.
 
 Defined results: a null text counts as empty, which has no ids and decodes to the empty text; repeated rows are each
 encoded; an empty table gives an empty result; other columns are passed on if named in ``keep``, and a clash with the
@@ -19,8 +22,6 @@ added names raises ValueError. Long texts are split into stretches, so memory is
 
 from __future__ import annotations
 
-import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,17 +29,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsewarden.llm.common import table
+from parsewarden.llm.common import sliced, table
+from parsewarden.llm.pieces import PieceTable, by_bytes, flat_ids, library
 from parsewarden.llm.token_files import crc32_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-THREADS = 2
+#: A character that Unicode keeps out of texts.
+NO_TEXT = "\ufdd0"
+#: What SentencePiece decodes an unknown id to.
+UNKNOWN_TEXT = " \u2047 "
+PROBES = ("Hello world", " two  spaces ", "\ttab\n\nlines\n", "a▁b ▁", "x\u3000y \u3000", "ﬁ ① ½ é é 日本語 😀", "don't 3.14, <s> </s> <0x0A>", "aaaaaaaaa 000000", "   ", "qqzz \x00\x7f")
 
 
 @dataclass
@@ -119,73 +126,151 @@ def merges_of(m: Model) -> list[tuple[str, str]]:
 class Codec:
     """Encodes and decodes like the model file that it was built from."""
 
-    def __init__(self, path: str):
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    def __init__(self, path: str, most: int = 1 << 20):
+        t = library()
+        from tokenizers import AddedToken, Regex, models, normalizers, pre_tokenizers
 
         m = self.model = read_model(path)
         unk = m.pieces[m.unk_id][0]
         if m.kind == BPE:
             own = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(m.pieces)}, merges=merges_of(m), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
-            own = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
-        self.stretches = not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
-        before = ([normalizers.Precompiled(m.charsmap)] if m.charsmap else []) + ([normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()] if m.remove_extra else [])
+            # other pieces must not match text: they get names that no text has; bytes come from unknown stretches, see _encode
+            own = models.Unigram([(p, s) if kind in (NORMAL, USER) else (f"{NO_TEXT}{i}", 0.0) for i, (p, s, kind) in enumerate(m.pieces)], m.unk_id, False)
+        usable = [p for p, _, kind in m.pieces if kind in (NORMAL, USER)]
+        # unknown characters in a row share an id, so a run of them must not reach across a marker
+        self.stretches = MARK in usable and not any(MARK in p.lstrip(MARK) for p in usable)
+        before = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
+        if m.remove_extra:
+            before += [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(rf"[ {MARK}]+\z"), "")]
         self.before = normalizers.Sequence(before) if before else None
-        mark = ([normalizers.Prepend(MARK)] if m.dummy_prefix else []) + [normalizers.Replace(" ", MARK)]
-        split = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
-        self.tokenizer, self.plain = Tokenizer(own), Tokenizer(own)
-        self.tokenizer.normalizer = normalizers.Sequence([*before, *mark])
-        for t in (self.tokenizer, self.plain):
-            if self.stretches:
-                t.pre_tokenizer = split
-            t.add_tokens([AddedToken(p, normalized=False, special=False) for p, _, kind in m.pieces if kind == USER])
-        self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), *([decoders.ByteFallback()] if m.byte_fallback else []), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
-        self.find = re.compile(f"{MARK}*[^{MARK}]*").findall
+        self.plain = t.Tokenizer(own)
+        if self.stretches:
+            self.plain.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+"), "merged_with_next")
+        self.plain.add_tokens([AddedToken(p, normalized=False, special=False) for p, _, kind in m.pieces if kind == USER])
+        self.table = PieceTable(self._encode, most)
+        self.id_of_byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
+        self.bytes_of = pa.array([self._bytes(p, kind) for p, _, kind in m.pieces], pa.binary())
+        # a text loses the marker that it begins with; of a marker alone more may go, see decode_slowly
+        strips = m.dummy_prefix or m.remove_extra
+        self.marked = np.array([strips and kind not in (BYTE, UNKNOWN, CONTROL) and p[:1] == MARK for p, _, kind in m.pieces])
+        self.bare = np.array([m.remove_extra and p == MARK for p, _, _ in m.pieces])
+        self.slow = np.array([kind in (UNKNOWN, CONTROL) for _, _, kind in m.pieces])
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        marked = [x.replace(" ", MARK) for x in texts]
+        if self.model.kind == BPE or not self.model.byte_fallback:
+            return [e.ids for e in self.plain.encode_batch_fast(marked, add_special_tokens=False)]
+        out = []
+        for x, e in zip(marked, self.plain.encode_batch(marked, add_special_tokens=False), strict=True):
+            each = [[i] if i != self.model.unk_id else [self.id_of_byte[b] for b in x[s:t].encode()] for i, (s, t) in zip(e.ids, e.offsets, strict=True)]
+            out.append([i for ids in each for i in ids])
+        return out
+
+    def _bytes(self, piece: str, kind: int) -> bytes:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return {CONTROL: "", UNKNOWN: UNKNOWN_TEXT}.get(kind, piece.replace(MARK, " ")).encode()
+
+    def _prepared(self, text: str | None) -> bytes:
+        """What the model sees, with spaces for markers."""
+        text = self.before.normalize_str(text) if text and self.before else text
+        return ((" " if self.model.dummy_prefix else "") + text).replace(MARK, " ").encode() if text else b""
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets of the texts."""
-        seen: dict[str, int] = {}
-        order: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            text = self.before.normalize_str(text) if text and self.before else text
-            if not text:
+        prepared = [self._prepared(t) for t in texts]
+        if not self.stretches:
+            ids, n = flat_ids(self._encode([p.decode() for p in prepared]))
+            return ids, np.concatenate([[0], np.cumsum(n)])
+        data = np.frombuffer(b"".join(prepared), np.uint8)
+        begin = np.cumsum([0, *map(len, prepared)])
+        space = data == 0x20
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        starts[begin[:-1][begin[:-1] < len(data)]] = True
+        starts = np.flatnonzero(starts)
+        ids, n = self.table.ids(self.table.numbers(data, np.diff(np.append(starts, len(data)))))
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, begin)]
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """Texts of the ids between the offsets at."""
+        values = self.bytes_of.take(pa.array(ids, pa.int32()))
+        ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+        data = values.buffers()[2].to_pybytes() if len(values) else b""
+        slow = np.concatenate([[0], np.cumsum(self.slow[ids])])[at]
+        first = np.append(ids, 0)[at[:-1]]
+        marked, bare = self.marked[first] & (np.diff(at) > 0), self.bare[first]
+        out = []
+        for k, (i, j) in enumerate(zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist(), strict=True)):
+            own = data[i:j]
+            if slow[k + 1] == slow[k] and not bare[k]:
+                try:
+                    out.append(own[1 if marked[k] else 0 :].decode())
+                    continue
+                except UnicodeDecodeError:
+                    pass
+            out.append(self.decode_slowly(ids[at[k] : at[k + 1]].tolist()))
+        return out
+
+    def decode_slowly(self, ids: list[int]) -> str:
+        """Byte pieces in a row make characters, and U+FFFD for each byte that belongs to none."""
+        out: list[str] = []
+        held, seen = b"", False
+
+        def flush() -> None:
+            nonlocal held
+            while held:
+                n = next((n for n in (1, 2, 3, 4) if is_character(held[:n])), 0)
+                out.append(held[:n].decode() if n else "\ufffd")
+                held = held[max(1, n) :]
+
+        for i in ids:
+            piece, _, kind = self.model.pieces[i]
+            if kind == BYTE:
+                held += self._bytes(piece, kind)
                 continue
-            text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-            own = self.find(text)[:-1] if self.stretches else [text]
-            sizes[i] = len(own)
-            order += [seen.setdefault(x, len(seen)) for x in own]
-        encoded = [e.ids for e in self.plain.encode_batch_fast(list(seen), add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int32, int(lengths.sum()))
-        starts, at = np.concatenate([[0], np.cumsum(lengths)])[:-1], np.asarray(order, np.int64)
-        each = lengths[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
-        return ids, ends[np.concatenate([[0], np.cumsum(sizes)])]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            flush()
+            if kind == CONTROL:
+                continue
+            # at the beginning a piece loses one marker; only where extra spaces go, the next one may lose one too
+            if self.marked[i] and not seen and not any(out):
+                piece, seen = piece[1:], not self.model.remove_extra
+            out.append(UNKNOWN_TEXT if kind == UNKNOWN else piece.replace(MARK, " "))
+        flush()
+        return "".join(out)
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def is_character(data: bytes) -> bool:
+    try:
+        return len(data.decode()) == 1
+    except UnicodeDecodeError:
+        return False
 
 
-def verify(path: str, texts: list[str]) -> list[str]:
-    """The texts whose ids or decoded text differ from those of the sentencepiece library."""
+def differing(own: Codec, path: str, texts: list[str]) -> list[str]:
     import sentencepiece
 
-    own, theirs = codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
     ids, at = own.encode(texts)
     lists = [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)]
-    return [t for t, i, d in zip(texts, lists, own.decode(lists), strict=True) if i != theirs.encode(t) or d != theirs.decode(i)]
+    return [t for t, i, d in zip(texts, lists, own.decode(ids, at), strict=True) if i != theirs.encode(t) or d != theirs.decode(i)]
+
+
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    own = Codec(path)
+    if wrong := differing(own, path, list(PROBES)):
+        raise ValueError(f"the model in {path} is not rebuilt faithfully: {wrong[:3]!r}")
+    return own
+
+
+def verify(path: str, texts: list[str]) -> list[str]:
+    """The texts whose ids or decoded text differ from those of the sentencepiece library."""
+    return differing(codec(path), path, texts)
 
 
-def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rows_a_batch: int = 250) -> DataFrame:
+def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), batch_bytes: int = 1 << 21) -> DataFrame:
     """keep, ids (array), n_tokens, ids_crc32 and decoded text of every row. No shuffle."""
     added = ("ids", "n_tokens", "ids_crc32", "decoded")
     if set(keep) & set(added):
@@ -195,12 +280,13 @@ def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, rows_a_batch):
-                b = whole.slice(start, rows_a_batch)
+        for whole in sliced(batches):
+            sizes = pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+            for start, end in by_bytes(sizes, batch_bytes):
+                b = whole.slice(start, end - start)
                 ids, at = c.encode(b.column(b.num_columns - 1).to_pylist())
                 cut = [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-                decoded = c.decode([x.tolist() for x in cut])
+                decoded = c.decode(ids, at)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(at)), pa.array([crc32_of(x) for x in cut], pa.int64()), pa.array(decoded, pa.string())], names=[*keep, *added])
 

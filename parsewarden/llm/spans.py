@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsewarden.llm.common import row_key
+from parsewarden.llm.common import row_key, sliced
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +46,7 @@ def without_spans(df: DataFrame, spans: DataFrame, text: str, id_col: str, repla
     at = keep.index(text) if replace else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, cuts = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
             numbers, hashes, left = [], [], b.column(at).to_pylist() if replace else []
             for i, (t, c) in enumerate(zip(texts, cuts, strict=True)):

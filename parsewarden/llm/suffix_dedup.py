@@ -2,17 +2,20 @@
 
 1. ``anchors`` picks positions of each text by winnowing: of any ``length - GRAM + 1`` neighbouring GRAMs the one of
    smallest hash. Equal strings of ``length`` bytes pick equal anchors, so each is found at an anchor that it contains.
-2. ``shared_bits``: one aggregation of (40 bits of) the hashes of all anchors, combined in each batch before the shuffle,
-   tells which are in two documents. A bitmap of 2^27 bits keeps them: fixed in size, it lets false ones pass, no true one.
-3. Anchors that pass come with their context, the bytes of all strings of ``length`` bytes around them. All occurrences of
-   an anchor meet in a task, sorted by anchor. Of each distinct context the smallest id counts; where an occurrence has a
-   larger one, its whole context is covered. A task sends the bytes of a context once.
-4. Anchors with several contexts: ``starts_again`` cuts each distinct context down to the stretch that may repeat, builds
-   the suffix array of the distinct stretches (``suffix_groups``), and finds runs of suffixes that agree on ``length``
-   bytes. The smallest id in a run says which starts of a context are covered.
-5. Anchors that occur more than ``hot_after`` times, as in a passage that a third of all documents hold, would crowd a
-   task. Their contexts are classed by an aggregation that combines before its shuffle, and spans go back by a join that
-   adaptive execution splits; if one has more than ``most_contexts`` contexts, its strings are grouped one by one.
+   The context of an anchor is the bytes of all strings of ``length`` bytes around it. Long texts are taken in pieces that
+   overlap by ``length - 1`` bytes, so that memory is bounded and each string lies within a piece.
+2. ``classes``: anchors, without their bytes, are sorted by (anchor, context, id) over range partitions, so even an anchor
+   that a third of all documents have spreads over tasks. Occurrences of one context are one class; of them those of the
+   smallest id stay, the others are covered by it as a whole. Anchors of one class are done. What a partition hands on to
+   the next is one row, which tells rows of a class that goes on there whose smallest id came before.
+3. ``contexts``: what is left of anchors with several classes gets its bytes, by one join with the texts. Two contexts
+   that share a string agree on ``length - GRAM`` bytes around the anchor in all, so on half of it on the left or on the
+   right: each is dealt out by either half with the anchor, a core of 35 bytes, whose bytes themselves are the key.
+4. ``starts_again``: contexts of a core are cut down to the stretches that may repeat; the suffix array of the distinct
+   stretches (``suffix_groups``) brings suffixes that agree on ``length`` bytes together, and the smallest id of such a
+   run says which starts are covered.
+
+Every size takes the same path. A core's contexts meet in one task, one for each distinct context that no other equals.
 
 Defined results: a null text counts as empty; rows without id are never cut and never cut others; rows of one id never
 cut each other, and equal rows are cut alike; texts shorter than ``length`` stay; an empty table gives an empty result;
@@ -21,26 +24,27 @@ further columns stay where texts are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, delete_path, fresh_path, release, row_key, table
-from parsewarden.llm.shingles import BYTE_VALUE, SLICE, mix, powers
+from parsewarden.llm.common import checkpointed, row_key, sliced, table, temporary, written
+from parsewarden.llm.shingles import BYTE_VALUE, mix, powers
 from parsewarden.llm.spans import merged, without_spans
 from parsewarden.llm.suffix_groups import suffix_array
 
-GRAM = 24
-MAP_BITS = 27
-SHORT_BITS = 40
-#: Contexts that go into one suffix array, besides the rest of an anchor's.
+GRAM = 20
+#: Bytes that are hashed at once: arrays of 8 bytes each fit into a cache.
+SLICE = 1 << 17
+#: Pieces of a longer text.
+PIECE = 1 << 22
+#: Contexts that go into one suffix array, besides the rest of a core's.
 ROWS_A_CALL = 20_000
-#: Contexts that a task remembers to have sent.
-MOST_SENT = 1_000_000
 
 
 def sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
@@ -58,22 +62,32 @@ def window_hashes(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, end
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(sums: np.ndarray, inverse: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n bytes at each place that has as many."""
+    count = max(0, len(sums) - n)
+    h = sums[n:] - sums[:count]
+    h *= inverse[:count]
+    h += np.uint64(n)
+    return mix(h)
+
+
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p, inverse = powers(len(data) + 1)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[data] * p[: len(data)], dtype=np.uint64)]), inverse
+    out = np.empty(len(data) + 1, np.uint64)
+    out[0] = 0
+    np.cumsum(BYTE_VALUE[data] * p[: len(data)], out=out[1:])
+    return out, inverse
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """The texts (of length bytes at least) with gaps between them, where each starts, and of each anchor its place, text and hash.
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Where each text (of length bytes at least) starts, with gaps between them, and of each anchor its place, text and hash.
 
     Also the prefix sums of the data, for further hashes.
     """
     gap = b"\xff"
-    whole = gap.join([*texts, b""])
-    data = np.frombuffer(whole, np.uint8)
+    data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
     sums, inverse = prefix_sums(data)
-    at = np.arange(max(0, len(data) - GRAM + 1))
-    h = window_hashes(sums, inverse, at, at + GRAM)
+    h = gram_hashes(sums, inverse, GRAM)
     begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
     low = (h >> np.uint64(32)).astype(np.uint32)
     worst = np.uint32(2**32 - 1)
@@ -87,155 +101,233 @@ def anchors(texts: list[bytes], length: int) -> tuple[bytes, np.ndarray, np.ndar
         x = ends - e
         low[x[(x >= 0) & (x < len(low))]] = worst
     least = sliding(low, w, np.minimum)
-    mark = np.zeros(len(low) + 1, np.int32)
-    np.add.at(mark, np.maximum(0, np.minimum(ends - length + 1, len(low))), 1)
-    np.add.at(mark, np.minimum(ends + 1, len(low)), -1)
-    open_ = np.cumsum(mark)[:-1] == 0
-    least[~open_] = 0
+    for e in range(length):
+        x = ends - e
+        least[x[(x >= 0) & (x < len(least))]] = 0
     back = sliding(least[::-1], w, np.maximum)[::-1]
     places = np.flatnonzero((back == low) & (low != worst) & (back > 0))
-    return whole, begin, places, np.searchsorted(begin, places, side="right") - 1, h[places], (sums, inverse)
+    return begin, places, np.searchsorted(begin, places, side="right") - 1, h[places], (sums, inverse)
 
 
-def batches_of_bytes(column: pa.Array, length: int):
-    """Rows and bytes of the texts of length bytes at least, about SLICE bytes at a time."""
+def batches_of_bytes(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Rows, offsets and bytes of the texts of length bytes at least, or of their pieces, about SLICE bytes at a time."""
     at: list[int] = []
+    offset: list[int] = []
     own: list[bytes] = []
     total = 0
     for i, t in enumerate(column.cast(pa.binary()).to_pylist()):
-        if t and len(t) >= length:
-            at.append(i)
-            own.append(t)
-            total += len(t)
-            if total >= SLICE:
-                yield np.array(at), own
-                at, own, total = [], [], 0
+        for k in range(0, max(1, len(t or b"") - length + 1), PIECE):
+            if t and len(t) >= length:
+                at.append(i)
+                offset.append(k)
+                own.append(t[k : k + PIECE + length - 1])
+                total += len(own[-1])
+                if total >= SLICE:
+                    yield np.array(at), np.array(offset), own
+                    at, offset, own, total = [], [], [], 0
     if own:
-        yield np.array(at), own
+        yield np.array(at), np.array(offset), own
 
 
-def bit_of(short: np.ndarray) -> np.ndarray:
-    return (mix(short) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+OCCURRENCES = "fp long, ctx long, id long, row long, s int, e int, at int"
+NAMES = [x.split()[0] for x in OCCURRENCES.split(", ")]
+FOUND = f"kind int, part int, {OCCURRENCES}"
+#: Kinds of FOUND: a span that is covered, a context to look into, a row of the class that a partition begins with, and
+#: the first and the last class of a partition.
+COVERED, OPEN, PENDING, FIRST, LAST = range(5)
 
 
-def shared_bits(docs: DataFrame, length: int, hot_after: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the anchors that are in several documents, and of those that occur more than hot_after times."""
+def occurrences(docs: DataFrame, length: int) -> DataFrame:
+    """OCCURRENCES: hashes of each anchor and its context, id and row, s and e of the context, and the anchor's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            for at, own in batches_of_bytes(b.column(2), length):
-                _, _, _, text, h, _ = anchors(own, length)
-                short, doc = (h >> np.uint64(64 - SHORT_BITS)).astype(np.int64), ids[at[text]]
-                order = np.argsort(short, kind="stable")
-                short, doc = short[order], doc[order]
-                begin = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.empty(0, np.int64)
-                lo, hi = (op.reduceat(doc, begin) if len(begin) else doc for op in (np.minimum, np.maximum))
-                n = np.diff([*begin, len(short)])
-                yield pa.RecordBatch.from_arrays([pa.array(short[begin]), pa.array(lo), pa.array(hi), pa.array(n, pa.int64())], names=["f", "lo", "hi", "n"])
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = bit_of(b.column(0).to_numpy().astype(np.uint64))
-            x = np.uint64(1) << (k & 63).astype(np.uint64)
-            y = np.where(b.column(1).to_numpy() > hot_after, x, np.uint64(0))
-            yield pa.RecordBatch.from_arrays([pa.array(k >> 6), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["w", "x", "y"])
+        for b in sliced(batches):
+            for at, offset, own in batches_of_bytes(b.column(2), length):
+                begin, place, text, h, (sums, inverse) = anchors(own, length)
+                s, e = np.maximum(begin[text], place - (length - GRAM)), np.minimum(begin[text + 1] - 1, place + length)
+                ctx = window_hashes(sums, inverse, s, e) ^ mix((place - s).astype(np.uint64))
+                rows, shift = pa.array(at[text]), offset[text] - begin[text]
+                numbers = [pa.array(x.astype(np.int32)) for x in (s + shift, e + shift, place - s)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), *numbers], names=NAMES)
 
-    found = docs.mapInArrow(run, "f long, lo long, hi long, n long").groupBy("f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter("lo < hi").select("f", "n")
-    words = found.mapInArrow(bits, "w long, x long, y long").groupBy("w").agg(F.bit_or("x").alias("x"), F.bit_or("y").alias("y")).toArrow()
-    out = np.zeros((2, 1 << (MAP_BITS - 6)), np.uint64)
-    for k, c in enumerate("xy"):
-        out[k, words.column("w").to_numpy()] = words.column(c).to_numpy().view(np.uint64)
-    return out[0], out[1]
+    return docs.mapInArrow(run, OCCURRENCES)
 
 
-OCCURRENCES = "fp long, ctx long, id long, row long, s int, e int, at int, part binary"
+def found_rows(kind: int, part: int, rows: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+    n = rows.num_rows
+    columns = [rows.column(c) for c in NAMES]
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    if kind == COVERED:
+        columns[:2] = [pa.nulls(n, pa.int64())] * 2
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), *columns], names=["kind", "part", *NAMES])
 
 
-def occurrences(docs: DataFrame, length: int, bitmap: np.ndarray) -> DataFrame:
-    """OCCURRENCES: anchors that pass the bitmap: fp, ctx (hashes), id, row, s and e of the context, and its bytes."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+def classes(occ: DataFrame) -> DataFrame:
+    """FOUND of the occurrences, by one shuffle; see the module."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sent_parts = sent.value, set()
+        part = TaskContext.get().partitionId()
+        last: tuple[int, int] | None = None  # anchor and context of the row before
+        least = 0  # smallest id of that class
+        count, opening, pending = 0, True, True  # classes of that anchor; is it the first anchor here; is it the first class
+        held: list[pa.RecordBatch] = []  # rows of smallest id of the only class of that anchor
+        tail: pa.RecordBatch | None = None
         for b in batches:
-            for at, own in batches_of_bytes(b.column(2), length):
-                whole, begin, place, text, h, (sums, inverse) = anchors(own, length)
-                k = bit_of(h >> np.uint64(64 - SHORT_BITS))
-                keep = np.flatnonzero(seen[k >> 6] >> (k & 63).astype(np.uint64) & np.uint64(1))
-                place, text, h = place[keep], text[keep], h[keep]
-                s, e = np.maximum(begin[text], place - (length - GRAM)), np.minimum(begin[text + 1] - 1, place + length)
-                ctx = window_hashes(sums, inverse, s, e) ^ mix((place - s).astype(np.uint64))
-                rows = pa.array(at[text])
-                # a task sends the bytes of a context once
-                parts = [None if c in sent_parts or sent_parts.add(c) else whole[x:y] for c, x, y in zip((h ^ ctx).tolist(), s.tolist(), e.tolist(), strict=True)]
-                if len(sent_parts) > MOST_SENT:
-                    sent_parts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array((s - begin[text]).astype(np.int32)), pa.array((e - begin[text]).astype(np.int32)), pa.array((place - s).astype(np.int32)), pa.array(parts, pa.binary())], names=["fp", "ctx", "id", "row", "s", "e", "at", "part"])
-
-    return docs.mapInArrow(run, OCCURRENCES)
+            if not b.num_rows:
+                continue
+            fp, ctx, ids = (b.column(i).to_numpy() for i in range(3))
+            if last is None:
+                yield found_rows(FIRST, part, b.slice(0, 1))
+                last, least, count = (int(fp[0]), int(ctx[0])), int(ids[0]), 1
+            prior_fp, prior_ctx = np.concatenate([[last[0]], fp[:-1]]), np.concatenate([[last[1]], ctx[:-1]])
+            new_anchor = fp != prior_fp
+            new_class = new_anchor | (ctx != prior_ctx)
+            of, anchor = np.cumsum(new_class), np.cumsum(new_anchor)
+            smallest = np.concatenate([[least], ids[new_class]])[of]
+            many = np.bincount(anchor, new_class, anchor[-1] + 1)
+            many[0] += count
+            several = many > 1
+            several[0] |= opening
+            waits = pending & (of == 0)
+            later = ~waits & (ids > smallest)
+            mine = ~waits & ~later
+            yield found_rows(COVERED, part, b.filter(pa.array(later)))
+            yield found_rows(PENDING, part, b.filter(pa.array(waits)))
+            if several[0]:
+                yield from (found_rows(OPEN, part, x) for x in held)
+            if several[0] or len(many) > 1:
+                held = []
+            yield found_rows(OPEN, part, b.filter(pa.array(mine & several[anchor])))
+            if not several[-1]:
+                held.append(b.filter(pa.array(mine & (anchor == anchor[-1]))))
+            opening &= len(many) == 1
+            pending &= of[-1] == 0
+            last, least, count = (int(fp[-1]), int(ctx[-1])), int(smallest[-1]), int(many[-1])
+            tail = b.slice(b.num_rows - 1)
+        # the anchor may go on in the next partition
+        yield from (found_rows(OPEN, part, x) for x in held)
+        if tail is not None:
+            row = pa.RecordBatch.from_arrays([*tail.columns[:2], pa.array([least]), *tail.columns[3:]], names=NAMES)
+            yield found_rows(LAST, part, row)
+
+    return occ.repartitionByRange("fp", "ctx", "id").sortWithinPartitions("fp", "ctx", "id").mapInArrow(run, FOUND)
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """found, with each PENDING row COVERED or OPEN. What partitions hand on is a row each."""
+    spark = found.sparkSession
+    ends = found.filter(F.col("kind") >= FIRST).select("part", "kind", "fp", "ctx", "id").orderBy("part", "kind").collect()
+    handed, before = [], None
+    for first, last in zip(ends[::2], ends[1::2], strict=True):
+        name = first["fp"], first["ctx"]
+        least = before[1] if before and before[0] == name else first["id"]
+        handed.append((first["part"], least))
+        own = last["fp"], last["ctx"]
+        before = own, least if own == name else last["id"]
+    handed = F.broadcast(spark.createDataFrame(handed, "part int, least long"))
+    rest = found.filter(F.col("kind") == PENDING).join(handed, "part")
+    rest = rest.withColumn("kind", F.when(F.col("id") > F.col("least"), COVERED).otherwise(OPEN)).select(found.columns)
+    return found.filter(F.col("kind") < PENDING).union(rest)
+
+
+CORES = "core binary, id long, row long, s int, at int, part binary"
+
+
+def contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """CORES: for each open context one or two stretches of it with their core, where that is in it, and where they start."""
+    half = (length - GRAM) // 2
+    rest = length - GRAM - half
 
-
-def starts_again(parts: list[bytes], at: list[int], fps: list[int], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each part the starts in it of strings of length bytes that also start in a part of smaller id.
-
-    parts come sorted by their anchor's hash, fps; their anchor is at the offset ``at``, and all those strings hold it.
-    Hashes of the strings pick the stretch of each part that may repeat; equal stretches of an anchor are one, with the
-    smallest id. The suffix array of the distinct stretches of anchors that have several decides, with the bytes of the
-    anchor as a single one. Equal suffixes stand in order of their strings, so those of one anchor stand together.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            texts, spans = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()
+            of, core, starts, ats, parts = [], [], [], [], []
+            for i, (t, own) in enumerate(zip(texts, spans, strict=True)):
+                for x in own:
+                    s, e, a = x["s"], x["e"], x["s"] + x["at"]
+                    # strings with half of the rest or more before the anchor, then those with less
+                    for c, lo, hi in ((a - half, s, min(e, a + GRAM + rest)), (a, max(s, a - half + 1), e)):
+                        end = c + GRAM + (half if c < a else rest + 1)
+                        if c >= s and end <= e and hi - lo >= length:
+                            of.append(i)
+                            core.append(t[c:end])
+                            starts.append(lo)
+                            ats.append(c - lo)
+                            parts.append(t[lo:hi])
+            rows = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.binary()), b.column(0).take(rows), b.column(1).take(rows), pa.array(starts, pa.int32()), pa.array(ats, pa.int32()), pa.array(parts, pa.binary())], names=[x.split()[0] for x in CORES.split(", ")])
+
+    grouped = open_.groupBy("id", "row").agg(F.collect_set(F.struct("s", "e", "at")).alias("spans"))
+    return docs.join(grouped, ["id", "row"]).select("id", "row", "t", "spans").mapInArrow(run, CORES)
+
+
+def starts_again(parts: list[bytes], at: list[int], cores: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each part the starts in it of strings of length bytes, around its core, that also start in a part of smaller id.
+
+    parts come sorted by their core, which is at the offset ``at``, and those strings hold it. Hashes of the strings pick
+    the stretch of each part that may repeat, without deciding; equal stretches of a core are one, with the smallest id.
+    The suffix array of the distinct stretches decides, with the bytes of the core as a single one. Equal suffixes stand
+    in order of their strings, so those of one core stand together.
     """
     none = np.empty(0, np.int64)
     out = [none] * len(parts)
-    whole = b"".join(parts)
-    data = np.frombuffer(whole, np.uint8)
-    sizes = np.array([len(p) for p in parts], np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     begin = np.concatenate([[0], np.cumsum(sizes)])
     sums, inverse = prefix_sums(data)
+    h = gram_hashes(sums, inverse, length)
     count = np.maximum(0, sizes - length + 1)
     of = np.repeat(np.arange(len(parts)), count)
     place = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    _, inv, many = np.unique(window_hashes(sums, inverse, place, place + length), return_inverse=True, return_counts=True)
-    twice = many[inv] > 1
+    own_h = h[place]
+    order = np.argsort(own_h)
+    same = own_h[order[1:]] == own_h[order[:-1]]
+    twice = np.zeros(len(place), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
     place, of = place[twice], of[twice]
     if not len(place):
         return out
     edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     own = of[edge].tolist()
     lo, hi = (place[edge] - begin[own]).tolist(), (np.concatenate([place[edge[1:] - 1], place[-1:]]) + length - begin[own]).tolist()
-    stretches: dict[tuple[int, int, bytes], list[int]] = {}
+    stretches: dict[tuple[bytes, int, bytes], list[int]] = {}
     for k, i in enumerate(own):
-        stretches.setdefault((fps[i], at[i] - lo[k], parts[i][lo[k] : hi[k]]), []).append(k)
-    distinct = Counter(fp for fp, _, _ in stretches)
-    keys = [x for x in stretches if distinct[x[0]] > 1]
-    short = length - GRAM + 1
-    where = np.cumsum([0, *[len(x) - GRAM + 1 for _, _, x in keys]])
-    text = b"".join(x[:y] + b"\xff" + x[y + GRAM :] for _, y, x in keys)
-    order = suffix_array(text, where[:-1].tolist())
-    string = np.searchsorted(where, order, side="right") - 1
+        if lo[k] <= at[i] and at[i] + len(cores[i]) <= hi[k]:
+            stretches.setdefault((cores[i], at[i] - lo[k], parts[i][lo[k] : hi[k]]), []).append(k)
+    # a stretch that one id alone has, of a core with no other stretch, repeats nowhere
+    alone: dict[bytes, tuple[int, int]] = {}
+    for (core, _, _), members in stretches.items():
+        low, high = alone.get(core, (2**63 - 1, -(2**63)))
+        alone[core] = min(low, *(ids[own[k]] for k in members)), max(high, *(ids[own[k]] for k in members))
+    keys = [x for x in stretches if alone[x[0]][0] < alone[x[0]][1]]
+    if not keys:
+        return out
+    width = np.array([len(c) for c, _, _ in keys], np.int64)
+    where = np.cumsum([0, *[len(x) - len(c) + 1 for c, _, x in keys]])
+    text = b"".join(x[:y] + b"\xff" + x[y + len(c) :] for c, y, x in keys)
+    array = suffix_array(text, where[:-1].tolist())
+    string = np.searchsorted(where, array, side="right") - 1
+    # bytes of a string of length bytes, its core counting as one
+    short = length - width + 1
     middle = where[:-1] + np.array([y for _, y, _ in keys], np.int64)
-    full = (order + short <= where[string + 1]) & (order <= middle[string]) if len(order) else np.empty(0, bool)
-    order, string = order[full], string[full]
-    starts_in: dict[tuple[int, int, bytes], tuple[np.ndarray, np.ndarray]] = {}
-    if len(order):
-        values, name = np.frombuffer(text, np.uint8), np.array([fp for fp, _, _ in keys], np.int64)
-        same = name[string[1:]] == name[string[:-1]]
-        for k in range(short):
-            same &= values[order[1:] + k] == values[order[:-1] + k]
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        least = np.array([min(ids[own[k]] for k in stretches[x]) for x in keys])
-        smallest = np.repeat(np.minimum.reduceat(least[string], first), np.diff([*first, len(order)]))
-        by_string = np.lexsort((order, string))
-        cut = np.searchsorted(string[by_string], np.arange(len(keys) + 1))
-        for j, x in enumerate(keys):
-            mine = by_string[cut[j] : cut[j + 1]]
-            starts_in[x] = (order[mine] - where[j], smallest[mine])
-    for x, members in stretches.items():
-        if x in starts_in:
-            starts, low = starts_in[x]
-        else:
-            starts = np.arange(len(x[2]) - length + 1)
-            low = np.full(len(starts), min(ids[own[k]] for k in members))
-        for k in members:
+    full = (array + short[string] <= where[string + 1]) & (array <= middle[string]) & (middle[string] < array + short[string])
+    array, string = array[full], string[full]
+    values = np.frombuffer(text + b"\0" * length, np.uint8)
+    number: dict[bytes, int] = {}
+    name = np.array([number.setdefault(c, len(number)) for c, _, _ in keys], np.int64)
+    same = name[string[1:]] == name[string[:-1]]
+    for k in range(int(short.max())):
+        same &= (values[array[1:] + k] == values[array[:-1] + k]) | (k >= short[string[1:]])
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    least = np.array([min(ids[own[k]] for k in stretches[x]) for x in keys])
+    smallest = np.repeat(np.minimum.reduceat(least[string], first), np.diff([*first, len(array)])) if len(array) else least[:0]
+    by_string = np.lexsort((array, string))
+    cut = np.searchsorted(string[by_string], np.arange(len(keys) + 1))
+    for j, x in enumerate(keys):
+        mine = by_string[cut[j] : cut[j + 1]]
+        starts, low = array[mine] - where[j], smallest[mine]
+        for k in stretches[x]:
             out[own[k]] = starts[low < ids[own[k]]] + lo[k]
     return out
 
@@ -243,125 +335,61 @@ def starts_again(parts: list[bytes], at: list[int], fps: list[int], ids: np.ndar
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows that come sorted by their first column, about ROWS_A_CALL at a time, equal ones together."""
     held: list[pa.RecordBatch] = []
-    total = 0
-    for b in batches:
-        for start in range(0, b.num_rows, ROWS_A_CALL):
-            part = b.slice(start, ROWS_A_CALL)
-            key = part.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            held.append(part.slice(0, last))
-            total += last
-            if total >= ROWS_A_CALL and last:
-                yield pa.Table.from_batches(held)
-                held, total = [], 0
-            held.append(part.slice(last))
-            total += part.num_rows - last
+    total, last = 0, None
+    for b in sliced(batches, ROWS_A_CALL):
+        key = b.column(0)
+        begins = np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)) + 1
+        if held and key[0].as_py() != last:
+            begins = np.append(0, begins)
+        if total + b.num_rows >= ROWS_A_CALL and len(begins):
+            cut = int(begins[-1])
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, total, b = [], 0, b.slice(cut)
+        held.append(b)
+        total += b.num_rows
+        last = key[-1].as_py()
     if held:
         yield pa.Table.from_batches(held)
 
 
-def repeats_by_anchor(occ: DataFrame, length: int) -> DataFrame:
-    """__id, __row, s and e of covered spans: all occurrences of an anchor meet in one task, sorted by it."""
+def partial_repeats(rows: DataFrame, length: int) -> DataFrame:
+    """id, row, s and e of the spans of CORES that a context of smaller id covers."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        fp, ctx, ids = (t.column(c).to_numpy() for c in ("fp", "ctx", "id"))
-        order = np.lexsort((ids, ctx, fp))
-        fp, ctx, ids = fp[order], ctx[order], ids[order]
-        new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])
-        first, of = np.flatnonzero(new), np.cumsum(new) - 1
-        # contexts, with the smallest id of each; those of anchors that have several
-        own, least = fp[first], ids[first]
-        near = np.concatenate([[False], own[1:] == own[:-1], [False]])
-        several = np.flatnonzero(near[1:] | near[:-1])
-        known = np.flatnonzero(t.column("part").is_valid().to_numpy()[order])
-        held, where = np.unique(of[known], return_index=True)
-        rows = t.select(["at", "part"]).take(pa.array(order[known[where[np.searchsorted(held, several)]]]))
-        parts = rows.column("part").to_pylist()
-        found = starts_again(parts, rows.column("at").to_pylist(), own[several].tolist(), least[several], length)
-        s, e = (t.column(c).to_numpy()[order] for c in ("s", "e"))
-        later = ids > least[of]
-        out_at, out_s, out_e = [np.flatnonzero(later)], [s[later]], [e[later]]
-        ends = np.concatenate([first[1:], [len(fp)]])
-        for k, x in zip(several.tolist(), found, strict=True):
+        cores, ids = t.column("core").to_pylist(), t.column("id").to_numpy()
+        found = starts_again(t.column("part").to_pylist(), t.column("at").to_pylist(), cores, ids, length)
+        s = t.column("s").to_numpy()
+        at, starts, ends = [], [], []
+        for i, x in enumerate(found):
             if len(x):
                 a, b = merged(x, x + length)
-                for i in range(first[k], ends[k]):
-                    if later[i]:
-                        break
-                    out_at.append(np.full(len(a), i))
-                    out_s.append(s[i] + a)
-                    out_e.append(s[i] + b)
-        at = pa.array(order[np.concatenate(out_at)])
-        flat = lambda c: t.column(c).take(at).combine_chunks()
-        numbers = [pa.array(np.concatenate(x).astype(np.int32)) for x in (out_s, out_e)]
-        return pa.RecordBatch.from_arrays([flat("id"), flat("row"), *numbers], names=["__id", "__row", "s", "e"])
+                at.append(np.full(len(a), i))
+                starts.append(a + s[i])
+                ends.append(b + s[i])
+        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        own = t.select(["id", "row"]).take(pa.array(flat(at), pa.int64())).combine_chunks()
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own.columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(flat(starts).astype(np.int32)), pa.array(flat(ends).astype(np.int32))], names=["id", "row", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             yield solve(t)
 
-    return occ.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, "__id long, __row long, s int, e int")
-
+    return rows.repartition("core").sortWithinPartitions("core").mapInArrow(run, "id long, row long, s int, e int")
 
-def partial_repeats(classes: DataFrame, length: int) -> DataFrame:
-    """fp, ctx and spans (in the context) of classes of anchors with several contexts. classes: fp, ctx, m, part."""
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        fp = rows.column("fp").to_numpy()
-        # an anchor of one context repeats nowhere else
-        near = np.concatenate([[False], fp[1:] == fp[:-1], [False]])
-        keep = np.flatnonzero(near[1:] | near[:-1])
-        rows = rows.take(pa.array(keep))
-        found = starts_again(rows.column("part").to_pylist(), rows.column("at").to_pylist(), fp[keep].tolist(), rows.column("m").to_numpy(), length)
-        some = [i for i, x in enumerate(found) if len(x)]
-        spans = [[{"s": int(a), "e": int(b)} for a, b in zip(*merged(found[i], found[i] + length), strict=True)] for i in some]
-        own = rows.select(["fp", "ctx"]).take(pa.array(some, pa.int64())).combine_chunks()
-        flat = lambda c: own.column(c).combine_chunks()
-        return pa.RecordBatch.from_arrays([flat("fp"), flat("ctx"), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["fp", "ctx", "spans"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
-            yield solve(t)
 
-    own = classes.filter(F.length("part") >= length).repartition("fp").sortWithinPartitions("fp").select("fp", "ctx", "m", "at", "part")
-    return own.mapInArrow(run, "fp long, ctx long, spans array<struct<s:int,e:int>>")
-
-
-def partial_repeats_by_string(classes: DataFrame, length: int) -> DataFrame:
-    """As partial_repeats, for anchors of so many contexts that one task can't hold them: a row for each string."""
-    each = classes.select("fp", "ctx", "m", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - (length - 1)), lambda i: F.substring("part", i, length))).alias("at", "string"))
-    least = each.groupBy("string").agg(F.min("m").alias("least"), F.max("m").alias("most")).filter("least < most")
-    found = each.join(least.select("string", "least"), "string").filter("least < m")
-    return found.groupBy("fp", "ctx").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + length).alias("e")))).alias("spans"))
-
-
-def repeats_by_class(occ: DataFrame, length: int, most_contexts: int) -> DataFrame:
-    """As repeats_by_anchor, for anchors that occur too often to meet in one task: contexts are classed by aggregation."""
-    spark = occ.sparkSession
-    classes = occ.groupBy("fp", "ctx").agg(F.min("id").alias("m"), F.max("id").alias("most"), F.first("at").alias("at"), F.first("part", ignorenulls=True).alias("part"))
-    path = fresh_path(spark, "contexts")
-    classes.write.parquet(path)
-    classes = spark.read.schema(classes.schema).parquet(path)
-    crowded = classes.groupBy("fp").count().filter(F.col("count") > most_contexts).select("fp")
-    own = classes.filter(F.length("part") >= length)
-    partial = partial_repeats(own.join(crowded, "fp", "left_anti"), length).union(partial_repeats_by_string(own.join(crowded, "fp"), length))
-    whole = classes.filter("m < most").select("fp", "ctx", "m")
-    known = checkpointed(whole.join(partial, ["fp", "ctx"], "full").select("fp", "ctx", "m", "spans"))
-    delete_path(spark, path)
-    shift = F.transform("spans", lambda x: F.struct((F.col("s") + x["s"]).alias("s"), (F.col("s") + x["e"]).alias("e")))
-    found = occ.drop("at", "part").join(known, ["fp", "ctx"]).withColumn("own", F.when(F.col("id") > F.col("m"), F.array(F.struct("s", "e"))).otherwise(shift)).filter(F.col("own").isNotNull())
-    return found.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.explode("own").alias("x")).select("__id", "__row", "x.s", "x.e")
-
-
-def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50, hot_after: int = 1_000_000, most_contexts: int = 50_000) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50) -> DataFrame:
     """__id, __row and __spans (byte offsets, may overlap) of each row that has any."""
+    if length < GRAM + 2:
+        raise ValueError(f"strings must have {GRAM + 2} bytes at least")
+    spark = df.sparkSession
     docs = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(text).alias("row"), F.col(f"`{text}`").alias("t"))
-    bitmap, hot = shared_bits(docs, length, hot_after)
-    release(df.sparkSession)
-    found = repeats_by_anchor(occurrences(docs, length, bitmap & ~hot), length)
-    if hot.any():
-        found = found.union(repeats_by_class(occurrences(docs, length, hot), length, most_contexts))
-    return found.groupBy("__id", "__row").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
+    with temporary(spark, "classes") as path:
+        found = settled(written(classes(occurrences(docs, length)), path))
+        open_ = found.filter(F.col("kind") == OPEN).select("id", "row", "s", "e", "at")
+        spans = found.filter(F.col("kind") == COVERED).select("id", "row", "s", "e").union(partial_repeats(contexts(docs, open_, length), length))
+        spans = spans.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
+        return checkpointed(spans)
 
 
 def suffix_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50) -> DataFrame:

@@ -1,9 +1,10 @@
 """Token counts of whole texts, by batches of about equal bytes in Arrow functions that return lengths only.
 
-Texts longer than ``piece_bytes`` are cut where a run of ASCII white space begins. This is a safe boundary for
-tokenizers that drop white space: no token, normal form or special string reaches across it. A stretch without
-white space is never cut, however long it is. Pieces are packed, longest first, into batches of ``batch_bytes``, so
-that one long text doesn't hold up a batch of short ones, and memory is bounded by a batch and one such stretch.
+Texts are taken in batches of ``batch_bytes`` bytes of UTF-8. Where a tokenizer drops white space (``pieces.boundaries``
+tells from its description), a text longer than ``batch_bytes`` is split there, at safe boundaries: no token, normal form
+or special string reaches across one. Each worker encodes a distinct piece once, so a batch costs the library its new
+pieces alone. For other tokenizers texts are encoded whole. Memory is bounded by a batch, the pieces remembered, and the
+longest stretch that can't be split.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); an empty table gives an empty result; repeated rows
 are counted one by one; of other columns only those named in ``keep`` are passed on, and a clash with the added names
@@ -12,80 +13,56 @@ raises ValueError.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsewarden.llm.common import table
+from parsewarden.llm.common import sliced, table
+from parsewarden.llm.pieces import TextTokens, by_bytes, text_tokens
+from parsewarden.llm.shingles import SPACE
 
 ADDED = ("n_bytes", "n_tokens", "over_limit")
 
 
-@lru_cache(maxsize=4)
-def load_tokenizer(path: str):
-    """One tokenizer for each worker and file, without truncation or padding."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok
-
-
-def split_safely(text: str, piece_chars: int) -> list[str]:
-    """Pieces of about piece_chars that begin with white space (but for the first); joined they are the text."""
-    pieces, start = [], 0
-    while len(text) - start > piece_chars:
-        at = start + piece_chars
-        cut = max(text.rfind(c, start + 1, at) for c in " \n\t\r")
-        if cut < 0:
-            found = [x for c in " \n\t\r" if (x := text.find(c, at)) >= 0]
-            if not found:
-                break
-            cut = min(found)
-        pieces.append(text[start:cut])
-        start = cut
-    pieces.append(text[start:])
-    return pieces
-
-
-def pack_by_bytes(sizes: list[int], batch_bytes: int) -> list[list[int]]:
-    """Indexes of pieces in batches of about batch_bytes, longest pieces first."""
-    batches, own, total = [], [], 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        if own and total + sizes[i] > batch_bytes:
-            batches.append(own)
-            own, total = [], 0
-        own.append(i)
-        total += sizes[i]
-    if own:
-        batches.append(own)
-    return batches
-
-
-def count_tokens(texts: list[str | None], tok, piece_chars: int = 16_384, batch_bytes: int = 1 << 20) -> np.ndarray:
-    """Tokens of each text, null as empty, as tok gives them without added special tokens."""
-    pieces: list[str] = []
+def split_safely(text: bytes, most: int) -> list[bytes]:
+    """Parts of about most bytes, cut at ASCII white space alone; joined they are the text."""
+    if len(text) <= most:
+        return [text]
+    space = np.flatnonzero(SPACE[np.frombuffer(text, np.uint8)])
+    cuts, last = [0], 0
+    while len(text) - last > most:
+        # the last white space that keeps the part short enough, else the next there is
+        k = int(np.searchsorted(space, last + most, side="right")) - 1
+        if k < 0 or space[k] <= last:
+            k += 1
+        if k == len(space):
+            break
+        last = int(space[k])
+        cuts.append(last)
+    return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def count_tokens(texts: list[bytes | None], own: TextTokens, batch_bytes: int = 1 << 22) -> np.ndarray:
+    """Tokens of each text, null as empty."""
+    parts: list[bytes] = []
     owner: list[int] = []
     for i, text in enumerate(texts):
-        for piece in split_safely(text, piece_chars) if text else ():
-            pieces.append(piece)
-            owner.append(i)
+        if text:
+            cut = split_safely(text, batch_bytes) if own.cut != "none" else [text]
+            parts += cut
+            owner += [i] * len(cut)
     counts = np.zeros(len(texts), np.int64)
-    for batch in pack_by_bytes([len(p) for p in pieces], batch_bytes):
-        got = tok.encode_batch_fast([pieces[i] for i in batch], add_special_tokens=False)
-        np.add.at(counts, [owner[i] for i in batch], [len(e) for e in got])
+    for start, end in by_bytes(np.fromiter(map(len, parts), np.int64, len(parts)), batch_bytes):
+        np.add.at(counts, owner[start:end], own.counts(parts[start:end]))
     return counts
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 2048, piece_chars: int = 16_384, batch_bytes: int = 1 << 20) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 2048, batch_bytes: int = 1 << 22) -> DataFrame:
     """keep, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row. No shuffle."""
     if set(keep) & set(ADDED):
         raise ValueError(f"columns {sorted(set(keep) & set(ADDED))} clash with those added")
@@ -93,12 +70,11 @@ def token_counts(df: DataFrame, tokenizer_path: str, text: str = "text", keep: t
     schema = T.StructType([*own.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(tokenizer_path)
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            n = count_tokens(texts, tok, piece_chars, batch_bytes)
-            sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes), pa.array(n), pa.array(n > limit)], names=[*keep, *ADDED])
+        tokens = text_tokens(tokenizer_path)
+        for b in sliced(batches):
+            texts = b.column(b.num_columns - 1).cast(pa.binary())
+            n = count_tokens(texts.to_pylist(), tokens, batch_bytes)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[*keep, *ADDED])
 
     return own.mapInArrow(run, schema)
 

@@ -12,108 +12,28 @@ files, so a lost executor leaves no partial file behind. Layout of a file:
 Reading back, the start of each document comes from the sums of its files (a row for each file) and a running sum within
 each file, from the metadata columns alone.
 
-Where the tokenizer drops white space and case, words are encoded apart (``WordIds``): each worker encodes a word once
-with the library and puts the ids of texts together again. Two words of a worker with one 64-bit hash would share ids;
-that has odds of about one in ten million for a full table.
+Where the tokenizer drops white space, each worker encodes a distinct piece once and puts the ids of texts together again
+(``pieces``); whether it does is told from the tokenizer itself, and others get whole texts.
 
 Defined results: a null text counts as empty and has the end id alone; null ids come first; rows of an equal id follow
-each other in order of their text, each with its own start; an empty table gives an empty result; other columns are not
-written.
+each other in order of a hash of their text (so many rows of one id, or without, spread over tasks), each with its own
+start; an empty table gives an empty result; other columns are not written.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import fresh_path, table
-from parsewarden.llm.shingles import SPACE, span_hashes
-from parsewarden.llm.token_counts import load_tokenizer
+from parsewarden.llm.common import checkpointed, shuffles_deleted, sliced, table, temporary
+from parsewarden.llm.pieces import by_bytes, text_tokens
 
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, ids array<int>"
-WORDS_A_CALL = 50_000
-LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
-STOP = np.isin(np.arange(256), [44, 46])
-
-
-class WordIds:
-    """Ids of the words that a worker has met, by 64-bit hash, for tokenizers that drop white space and case.
-
-    A word here ends at white space, or at a stop or comma behind an ASCII letter: no token of such a tokenizer reaches
-    across either. Begins anew beyond ``most`` words, so it takes a bounded amount of memory.
-    """
-
-    def __init__(self, tok, most: int = 1 << 20):
-        self.tok, self.most = tok, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.flat: list[np.ndarray] = []
-        self.total = 0
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        encoded = [e.ids for k in range(0, len(words), WORDS_A_CALL) for e in self.tok.encode_batch_fast(words[k : k + WORDS_A_CALL], add_special_tokens=False)]
-        n = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.flat.append(np.fromiter(chain.from_iterable(encoded), np.int32, int(n.sum())))
-        where = np.searchsorted(self.keys, keys)
-        at = self.total + np.cumsum(n) - n
-        self.total += int(n.sum())
-        self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the number of ids of each."""
-        whole = b" ".join([*texts, b""])
-        data = np.frombuffer(whole, np.uint8)
-        sizes = np.zeros(len(texts), np.int64)
-        if not len(data):
-            return np.empty(0, np.int32), sizes
-        space = SPACE[data]
-        begins = ~space
-        begins[1:] &= space[:-1] | (LETTER[data[:-1]] & STOP[data[1:]])
-        starts = np.flatnonzero(begins)
-        ends = np.flatnonzero(~space[:-1] & (space[1:] | begins[1:])) + 1
-        if not len(starts):
-            return np.empty(0, np.int32), sizes
-        keys, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        k = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[k] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(self.keys) + len(new) > self.most:
-            self.clear()
-            new = np.arange(len(keys))
-        if len(new):
-            self.learn(keys[new], [whole[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        k = np.searchsorted(self.keys, keys)[of]
-        flat = self.flat = [np.concatenate(self.flat)]
-        n, at = self.n[k], self.at[k]
-        stop = np.cumsum(n)
-        ids = flat[0][np.repeat(at - (stop - n), n) + np.arange(stop[-1])]
-        bound = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
-        return ids, np.diff(np.concatenate([[0], stop])[bound])
-
-
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(load_tokenizer(path))
-
-
-def encode_texts(texts: list[bytes], path: str, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of ids of each.
-
-    by_words is for tokenizers that drop white space and case; texts that may hold a special string go whole even then.
-    """
-    if by_words and not any(b"<|" in t for t in texts):
-        return word_ids(path).encode(texts)
-    encoded = [e.ids for e in load_tokenizer(path).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-    n = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    return np.fromiter(chain.from_iterable(encoded), np.int32, int(n.sum())), n
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,36 +47,28 @@ def crc32_of(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
-def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
-    """Ranges of rows of about most bytes each, in order."""
-    out, start, total = [], 0, 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= most:
-            out.append((start, i + 1))
-            start, total = i + 1, 0
-    return [*out, (start, len(sizes))] if start < len(sizes) else out
-
-
-def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text: str = "text", encoding: str = "dictionary", row_group_rows: int = 20_000, page_rows: int = 2_000, batch_bytes: int = 1 << 22, by_words: bool = True) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text: str = "text", encoding: str = "dictionary", row_group_rows: int = 20_000, page_rows: int = 2_000, batch_bytes: int = 1 << 22) -> None:
     """Write the table of df's token ids to path; see the module for its layout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        tokens = text_tokens(tokenizer_path)
+        for b in sliced(batches):
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for start, end in slices([len(t) for t in texts], batch_bytes):
-                ids, at = with_end(*encode_texts(texts[start:end], tokenizer_path, by_words), end_id)
+            for start, end in by_bytes(np.fromiter(map(len, texts), np.int64, len(texts)), batch_bytes):
+                ids, at = with_end(*tokens.ids(texts[start:end]), end_id)
                 crc = np.fromiter((crc32_of(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)), np.int64, end - start)
                 yield pa.RecordBatch.from_arrays([b.column(0)[start:end], pa.array(np.diff(at)), pa.array(crc), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "n_tokens", "ids_crc32", "ids"])
 
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
     own = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    own = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spread = F.xxhash64("text")
+    own = own.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, "text")
     writer = own.mapInArrow(run, SCHEMA).write.option("parquet.block.row.count.limit", row_group_rows).option("parquet.page.row.count.limit", page_rows)
     if encoding == "delta":
         writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2")
-    writer.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        writer.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -171,7 +83,7 @@ def verified(df: DataFrame) -> DataFrame:
     """doc_id, n_tokens and ids_crc32 as they follow from the ids that were read, with the file and row they stand in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             lists = b.column(1)
             at, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             crc = np.fromiter((crc32_of(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)), np.int64, b.num_rows)
@@ -194,8 +106,8 @@ def with_starts(rows: DataFrame) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = fresh_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    meta = spark.read.schema(SCHEMA).parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    starts = with_starts(meta).select("file", "at", "start")
-    return verified(read_tokens(spark, path)).join(starts, ["file", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    with temporary(spark, "tokens") as path:
+        write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+        meta = spark.read.schema(SCHEMA).parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+        starts = with_starts(meta).select("file", "at", "start")
+        return checkpointed(verified(read_tokens(spark, path)).join(starts, ["file", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsewarden.llm.common import table
+from parsewarden.llm.common import sliced, table
 
 ADDED = ("host", "path", "rule", "verdict", "pattern")
 UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,7 +121,7 @@ def filter_urls(df: DataFrame, rules=RULES, patterns=PATTERNS, url: str = "url",
 
         def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
             index, n = RuleIndex(own), len(keep)
-            for b in batches:
+            for b in sliced(batches):
                 urls, rule, verdict, pattern = (b.column(i).to_pylist() for i in (n, n + 3, n + 4, n + 5))
                 split = [parts(u) for u in urls]
                 for i, (host, path) in enumerate(split):

@@ -10,6 +10,7 @@ import pytest
 from parsewarden.llm import chunk_dedup as cd
 from parsewarden.llm import ngram_join as nj
 from parsewarden.llm import suffix_dedup as sd
+from parsewarden.llm.common import checkpointed
 from parsewarden.llm.components import components
 from parsewarden.llm.spans import merged, without_spans
 from parsewarden.llm.suffix_groups import suffix_array
@@ -130,13 +131,45 @@ def repeats(seed):
     return [(i, " ".join(r.choice(parts) for _ in range(r.randint(0, 6))) + cases.words(seed * 991 + i, 20)) for i in range(40)] + [(40, None), (41, ""), (42, "short")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_after": 1}, {"hot_after": 1, "most_contexts": 1}, {"hot_after": 8}])
-def test_exact_spans_match_brute_force(spark, limits):
-    for seed in (1, 2):
-        docs = repeats(seed)
-        df = spark.createDataFrame(docs, "doc_id long, text string")
-        got = sorted(map(tuple, without_spans(df, sd.repeated_spans(df, **limits), "text", "doc_id").collect()))
-        assert got == brute_spans(docs)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_exact_spans_match_brute_force(spark, monkeypatch, seed):
+    docs = repeats(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, without_spans(df, sd.repeated_spans(df), "text", "doc_id").collect())) == brute_spans(docs)
+
+
+def test_pieces_of_long_texts_miss_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sd, "PIECE", 64)
+    docs = repeats(4)
+    out = []
+    column = __import__("pyarrow").array([t for _, t in docs])
+    for at, offset, own in sd.batches_of_bytes(column, 50):
+        for i, k, t in zip(at.tolist(), offset.tolist(), own, strict=True):
+            assert docs[i][1].encode()[k : k + 64 + 49] == t
+            out += [(i, k + j) for j in range(len(t) - 49)]
+    assert len(out) == len(set(out)) and set(out) == {(i, j) for i, (_, t) in enumerate(docs) for j in range(len((t or "").encode()) - 49)}
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 9])
+def test_classes_hold_across_partitions_and_batches(spark, tasks):
+    """A hot anchor and a hot class that span partitions: what is covered, and what is left to look into."""
+    r = random.Random(tasks)
+    rows = [(r.choice([1, 5, 5, 5, 9]), r.choice([1, 2, 2, 2, 3]), r.randrange(60), 0, k, k, 0) for k in range(400)]
+    rows += [(100 + k, 1, k, 0, 1000 + k, 0, 0) for k in range(20)] + [(200, 1, k, 0, 2000 + k, 0, 0) for k in range(20)]
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        found = sd.settled(checkpointed(sd.classes(spark.createDataFrame(rows, sd.OCCURRENCES).repartition(4)))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    least = {}
+    for fp, ctx, i, *_ in rows:
+        least[fp, ctx] = min(i, least.get((fp, ctx), i))
+    several = {fp for fp, _ in least if sum(x == fp for x, _ in least) > 1}
+    assert sorted(x["s"] for x in found if x["kind"] == sd.COVERED) == sorted(x[4] for x in rows if x[2] > least[x[0], x[1]])
+    open_ = {x["s"] for x in found if x["kind"] == sd.OPEN}
+    must = {x[4] for x in rows if x[2] == least[x[0], x[1]] and x[0] in several}
+    may = {x[4] for x in rows if x[2] == least[x[0], x[1]]}
+    assert must <= open_ <= may and len(open_ - must) <= 2 * tasks
 
 
 @pytest.mark.parametrize("dedup", [sd.suffix_dedup, cd.chunk_dedup])
@@ -196,15 +229,15 @@ def test_short_copies_are_cut(spark, tmp_path):
 
 
 def test_every_string_has_an_anchor_where_hashes_begin_with_zeros(monkeypatch):
-    hashes = sd.window_hashes
+    hashes = sd.gram_hashes
 
     def with_zeros(*how):
         h = hashes(*how)
         return np.where(h % np.uint64(7) == 0, h & np.uint64(2**32 - 1), h)
 
-    monkeypatch.setattr(sd, "window_hashes", with_zeros)
+    monkeypatch.setattr(sd, "gram_hashes", with_zeros)
     texts = [cases.words(i, 60).encode() for i in range(5)]
-    _, begin, places, _, h, _ = sd.anchors(texts, 50)
+    begin, places, _, h, _ = sd.anchors(texts, 50)
     assert (h >> np.uint64(32) == 0).any()
     for k, t in enumerate(texts):
         for i in range(begin[k], begin[k] + len(t) - 49):
