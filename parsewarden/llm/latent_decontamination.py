@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import row_key, table
-from parsewarden.llm.ngram_join import few_tasks
+from parsewarden.llm.common import row_key, sliced, table
 from parsewarden.llm.shingles import SLICE, mix, word_hashes
 
 ROWS_A_BLOCK = 256
@@ -151,14 +150,14 @@ def over_corpus(docs: DataFrame, rows: int, width: int, step) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(((rows + ROWS_A_BLOCK - 1) // ROWS_A_BLOCK * ROWS_A_BLOCK, width))
-        for b in batches:
+        for b in sliced(batches):
             for _, words, offsets in words_of(b.column(0)):
                 step(words, offsets, total)
         blocks = total.reshape(-1, ROWS_A_BLOCK * width)
         used = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
 
-    return summed_rows(few_tasks(docs.select("text")).mapInArrow(run, "block int, data binary"), rows, width)
+    return summed_rows(docs.select("text").mapInArrow(run, "block int, data binary"), rows, width)
 
 
 def signs(passage: np.ndarray, width: int) -> np.ndarray:
@@ -325,7 +324,7 @@ def search(docs: DataFrame, items: Items, space: Space, s: Settings) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*sent.value)
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for at, words, offsets in words_of(b.column(2)):
                 out += [(at[t], i, *x) for (t, i), x in searcher.leaks(words, offsets).items()]
