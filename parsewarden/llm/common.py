@@ -71,7 +71,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, path: str) -> DataFrame:
     """df, written to path as Parquet and read again."""
     with shuffles_deleted(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

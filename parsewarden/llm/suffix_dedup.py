@@ -129,7 +129,8 @@ def batches_of_bytes(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray
         yield np.array(at), np.array(offset), own
 
 
-OCCURRENCES = "fp long, ctx long, id long, row long, s int, e int, at int"
+#: where: start of the context, its length and the anchor's place in it, in one number.
+OCCURRENCES = "fp long, ctx long, id long, row long, where long"
 NAMES = [x.split()[0] for x in OCCURRENCES.split(", ")]
 FOUND = f"kind int, part int, {OCCURRENCES}"
 #: Kinds of FOUND: a span that is covered, a context to look into, a row of the class that a partition begins with, and
@@ -138,7 +139,7 @@ COVERED, OPEN, PENDING, FIRST, LAST = range(5)
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """OCCURRENCES: hashes of each anchor and its context, id and row, s and e of the context, and the anchor's place in it."""
+    """OCCURRENCES: hashes of each anchor and its context, id and row of the text, and where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -146,9 +147,9 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 begin, place, text, h, (sums, inverse) = anchors(own, length)
                 s, e = np.maximum(begin[text], place - (length - GRAM)), np.minimum(begin[text + 1] - 1, place + length)
                 ctx = window_hashes(sums, inverse, s, e) ^ mix((place - s).astype(np.uint64))
-                rows, shift = pa.array(at[text]), offset[text] - begin[text]
-                numbers = [pa.array(x.astype(np.int32)) for x in (s + shift, e + shift, place - s)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), *numbers], names=NAMES)
+                rows, start = pa.array(at[text]), s + offset[text] - begin[text]
+                where = start << 32 | (e - s) << 16 | (place - s)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(where)], names=NAMES)
 
     return docs.mapInArrow(run, OCCURRENCES)
 
@@ -217,16 +218,24 @@ def settled(found: DataFrame) -> DataFrame:
     """found, with each PENDING row COVERED or OPEN. What partitions hand on is a row each."""
     spark = found.sparkSession
     ends = found.filter(F.col("kind") >= FIRST).select("part", "kind", "fp", "ctx", "id").orderBy("part", "kind").collect()
-    handed, before = [], None
+    handed, before = {}, None
     for first, last in zip(ends[::2], ends[1::2], strict=True):
         name = first["fp"], first["ctx"]
         least = before[1] if before and before[0] == name else first["id"]
-        handed.append((first["part"], least))
+        handed[first["part"]] = least
         own = last["fp"], last["ctx"]
         before = own, least if own == name else last["id"]
-    handed = F.broadcast(spark.createDataFrame(handed, "part int, least long"))
-    rest = found.filter(F.col("kind") == PENDING).join(handed, "part")
-    rest = rest.withColumn("kind", F.when(F.col("id") > F.col("least"), COVERED).otherwise(OPEN)).select(found.columns)
+    sent = spark.sparkContext.broadcast(handed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = sent.value
+        for b in batches:
+            parts, of = np.unique(b.column(1).to_numpy(), return_inverse=True)
+            own = np.array([least[p] for p in parts.tolist()], np.int64)[of]
+            kind = np.where(b.column(2 + NAMES.index("id")).to_numpy() > own, COVERED, OPEN).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *b.columns[1:]], names=b.schema.names)
+
+    rest = found.filter(F.col("kind") == PENDING).mapInArrow(run, FOUND)
     return found.filter(F.col("kind") < PENDING).union(rest)
 
 
@@ -380,13 +389,16 @@ def partial_repeats(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50) -> DataFrame:
     """__id, __row and __spans (byte offsets, may overlap) of each row that has any."""
-    if length < GRAM + 2:
-        raise ValueError(f"strings must have {GRAM + 2} bytes at least")
+    if not GRAM + 2 <= length < 1 << 14:
+        raise ValueError(f"strings must have {GRAM + 2} bytes at least, and less than {1 << 14}")
     spark = df.sparkSession
     docs = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(text).alias("row"), F.col(f"`{text}`").alias("t"))
     with temporary(spark, "classes") as path:
         found = settled(written(classes(occurrences(docs, length)), path))
-        open_ = found.filter(F.col("kind") == OPEN).select("id", "row", "s", "e", "at")
+        start = F.shiftright("where", 32)
+        end = start + F.shiftright("where", 16).bitwiseAND(F.lit(0xFFFF))
+        found = found.select("kind", "id", "row", start.cast("int").alias("s"), end.cast("int").alias("e"), F.col("where").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at"))
+        open_ = found.filter(F.col("kind") == OPEN).drop("kind")
         spans = found.filter(F.col("kind") == COVERED).select("id", "row", "s", "e").union(partial_repeats(contexts(docs, open_, length), length))
         spans = spans.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
         return checkpointed(spans)

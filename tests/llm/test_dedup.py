@@ -154,8 +154,8 @@ def test_pieces_of_long_texts_miss_nothing(spark, monkeypatch):
 def test_classes_hold_across_partitions_and_batches(spark, tasks):
     """A hot anchor and a hot class that span partitions: what is covered, and what is left to look into."""
     r = random.Random(tasks)
-    rows = [(r.choice([1, 5, 5, 5, 9]), r.choice([1, 2, 2, 2, 3]), r.randrange(60), 0, k, k, 0) for k in range(400)]
-    rows += [(100 + k, 1, k, 0, 1000 + k, 0, 0) for k in range(20)] + [(200, 1, k, 0, 2000 + k, 0, 0) for k in range(20)]
+    rows = [(r.choice([1, 5, 5, 5, 9]), r.choice([1, 2, 2, 2, 3]), r.randrange(60), 0, k) for k in range(400)]
+    rows += [(100 + k, 1, k, 0, 1000 + k) for k in range(20)] + [(200, 1, k, 0, 2000 + k) for k in range(20)]
     spark.conf.set("spark.sql.shuffle.partitions", tasks)
     try:
         found = sd.settled(checkpointed(sd.classes(spark.createDataFrame(rows, sd.OCCURRENCES).repartition(4)))).collect()
@@ -165,8 +165,8 @@ def test_classes_hold_across_partitions_and_batches(spark, tasks):
     for fp, ctx, i, *_ in rows:
         least[fp, ctx] = min(i, least.get((fp, ctx), i))
     several = {fp for fp, _ in least if sum(x == fp for x, _ in least) > 1}
-    assert sorted(x["s"] for x in found if x["kind"] == sd.COVERED) == sorted(x[4] for x in rows if x[2] > least[x[0], x[1]])
-    open_ = {x["s"] for x in found if x["kind"] == sd.OPEN}
+    assert sorted(x["where"] for x in found if x["kind"] == sd.COVERED) == sorted(x[4] for x in rows if x[2] > least[x[0], x[1]])
+    open_ = {x["where"] for x in found if x["kind"] == sd.OPEN}
     must = {x[4] for x in rows if x[2] == least[x[0], x[1]] and x[0] in several}
     may = {x[4] for x in rows if x[2] == least[x[0], x[1]]}
     assert must <= open_ <= may and len(open_ - must) <= 2 * tasks
