@@ -60,7 +60,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     with shuffles_deleted(spark):
-        return df.checkpoint(eager=True)
+        # the setting is read where a DataFrame is made
+        return df.select("*").checkpoint(eager=True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

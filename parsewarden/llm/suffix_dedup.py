@@ -215,7 +215,7 @@ def classes(occ: DataFrame) -> DataFrame:
 
 
 def settled(found: DataFrame) -> DataFrame:
-    """found, with each PENDING row COVERED or OPEN. What partitions hand on is a row each."""
+    """found, with each PENDING row COVERED or OPEN. What partitions hand on is a row each, so it may be broadcast."""
     spark = found.sparkSession
     ends = found.filter(F.col("kind") >= FIRST).select("part", "kind", "fp", "ctx", "id").orderBy("part", "kind").collect()
     handed, before = {}, None
@@ -225,18 +225,9 @@ def settled(found: DataFrame) -> DataFrame:
         handed[first["part"]] = least
         own = last["fp"], last["ctx"]
         before = own, least if own == name else last["id"]
-    sent = spark.sparkContext.broadcast(handed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = sent.value
-        for b in batches:
-            parts, of = np.unique(b.column(1).to_numpy(), return_inverse=True)
-            own = np.array([least[p] for p in parts.tolist()], np.int64)[of]
-            kind = np.where(b.column(2 + NAMES.index("id")).to_numpy() > own, COVERED, OPEN).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *b.columns[1:]], names=b.schema.names)
-
-    rest = found.filter(F.col("kind") == PENDING).mapInArrow(run, FOUND)
-    return found.filter(F.col("kind") < PENDING).union(rest)
+    handed = F.broadcast(spark.createDataFrame(list(handed.items()), "part int, least long"))
+    kind = F.when(F.col("kind") != PENDING, F.col("kind")).when(F.col("id") > F.col("least"), COVERED).otherwise(OPEN)
+    return found.filter(F.col("kind") <= PENDING).join(handed, "part").withColumn("kind", kind).select(found.columns)
 
 
 CORES = "core binary, id long, row long, s int, at int, part binary"
