@@ -1,23 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval, then word checks.
 
-An item longer than a window is looked for by its parts: overlapping stretches of at most a window, so that each has the
-length of what it is compared with. Benchmark items are taken in blocks of at most ``block_items`` parts (an item of more
-is a block of its own, whose rank is the number of its parts); a block's vocabulary (the words of its items) bounds
-everything that is kept in memory, sent to the driver or to executors. For each block three passes over all documents,
-row by row and without a shuffle of texts:
-
-1. Document frequencies of the vocabulary over all passages (stretches of ``half`` words) of all documents. Words in
-   more than ``common`` of the passages get no weight, but for the rarest few of each part.
-2. Randomised SVD of the TF-IDF matrix A of all passages, with the parts as further rows of ``item_weight`` times the
-   total weight, in one pass: B = A'G for random signs G drawn from each passage. As BB' is A'A in expectation but for a factor, the left
-   singular vectors of B stand for the right ones of A. B is one array a task, summed by blocks of rows.
-3. Windows of two neighbouring passages against all parts of the block by cosine, between the images in the latent
-   space, over the norm of the window before projection, so that one shared rare word isn't enough. For each candidate
-   the longest common subsequence of the whole item's words with the window, widened by the item's length on either side.
+1. ``word_table``: one read of all texts. Words become 32-bit numbers (hashes of their lower-case form), kept as a binary
+   column; their top bits are the feature that a word counts as. The same pass counts the passages (stretches of ``half``
+   words) that each feature is in. Features in more than ``common`` of the passages get no weight, but for the rarest few
+   of each item's parts.
+2. ``fit``: distributed randomised SVD of the TF-IDF matrix A of all passages, in one pass over those numbers: the sketch
+   B = A'G, with a few random signs for each passage in G, spans what A's leading right singular vectors do; those of B
+   stand for them. ``rank`` is fixed, and well below the number of items of a benchmark; items take no part in the fit, so
+   words that stand together in the corpus come together in the space. A task's sketch is of fixed size.
+3. ``search``: windows of two neighbouring passages, and single passages, against all items by cosine in the latent space.
+   An item longer than a window is looked for by its parts: overlapping stretches of at most a window. For each candidate
+   whose surroundings hold enough of the item's words at all, the longest common subsequence of the whole item's words
+   with the window, widened by the item's length on either side.
+
+Items are searched ``block_parts`` parts at a time, so what goes to the executors is bounded; further blocks read the
+table of numbers again, never the texts.
 
 An item has leaked into a document if ``strong`` of its words are in common in order, or ``weak`` of them and all of its
 answer: the words of the column ``answer``, else of the last sentence of the item, or the last ``answer_words`` words if
-it has fewer. This finds paraphrases that keep the answer.
+it has fewer. This finds paraphrases that keep the answer. Two words of one number count as equal: odds of some one in a
+million for a candidate.
 
 Defined results: null or empty texts and items without words match nothing; repeated rows are each searched; rows are
 told apart by id and text; null ids are returned as null; an empty table on either side gives an empty result; other
@@ -29,34 +31,46 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import row_key, sliced, table
+from parsewarden.llm.common import checkpointed, row_key, sliced, table, temporary, written
+from parsewarden.llm.pieces import by_bytes
 from parsewarden.llm.shingles import SLICE, mix, word_hashes
 
+#: Features, and rows of an array that are summed together.
+FEATURE_BITS = 15
+FEATURES = 1 << FEATURE_BITS
 ROWS_A_BLOCK = 256
+#: Random columns of the sketch that a passage counts in.
+SIGNS = 4
+#: Words of a task that are sketched at once.
+WORDS_AT_ONCE = 1 << 20
+#: Bits of an item's signature, which bounds the words that a stretch has in common with it.
+SIGNATURE = 2048
 #: Punctuation of ASCII, to white space. Words have their A-Z lower-cased where they are hashed, other letters before.
 PLAIN = bytes(32 if 33 <= i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 127 else i for i in range(256))
 RESULT = "doc_id long, item_id long, cosine double, lcs int, n_item_words int, answer_found boolean"
+WORDS = "doc_id long, __row long, words binary, block int, data binary"
 
 
 @dataclass(frozen=True)
 class Settings:
     half: int = 32
-    rank: int = 224
-    oversample: int = 16
+    rank: int = 40
+    width: int = 64
     common: float = 0.002
+    always: int = 20
     rarest: int = 8
-    cosine: float = 0.2
+    cosine: float = 0.4
     strong: float = 0.7
     weak: float = 0.6
-    item_weight: float = 16.0
     answer_words: int = 5
-    block_items: int = 224
+    block_parts: int = 20_000
 
 
 def plain(text: str | bytes) -> bytes:
@@ -90,38 +104,29 @@ def stretches(n: int, half: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[2:], strict=False))
 
 
+def numbers_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def features_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint32(32 - FEATURE_BITS)).astype(np.int64)
+
+
 @dataclass
 class Items:
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
-    terms: np.ndarray  # sorted word hashes
     parts: list[tuple[int, list[int]]]  # number of the item, words
 
     @staticmethod
     def of(rows: list[tuple[int, str, str | None]], answer_words: int, half: int) -> Items:
         answer = [a if a else next((x for x in reversed(re.split(r"[.!?\n]+", t)) if plain(x).split()), "") for _, t, a in rows]
-        hashed = lambda texts: (lambda h, at: [h[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)])(*word_hashes([plain(t) for t in texts]))
+        hashed = lambda texts: (lambda h, at: [numbers_of(h[i:j]).tolist() for i, j in zip(at[:-1], at[1:], strict=True)])(*word_hashes([plain(t) for t in texts]))
         words = hashed([t for _, t, _ in rows])
         answers = [a if len(a) >= answer_words or given else w[-answer_words:] for a, w, (_, _, given) in zip(hashed(answer), words, rows, strict=True)]
-        parts = [(k, x[i:j]) for k, x in enumerate(words) for i, j in stretches(len(x), half)]
-        return Items([i for i, _, _ in rows], words, answers, np.unique(np.array([w for x in words for w in x], np.uint64)), parts)
-
-
-class Lookup:
-    """Numbers of terms by word hash; a table by the top 16 bits sorts out most other words."""
-
-    def __init__(self, terms: np.ndarray):
-        self.terms = terms
-        self.hit = np.zeros(1 << 16, bool)
-        self.hit[(terms >> np.uint64(48)).astype(np.int64)] = True
-
-    def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that are terms, and their numbers."""
-        at = np.flatnonzero(self.hit[(words >> np.uint64(48)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.terms, words[at]), len(self.terms) - 1)
-        same = self.terms[k] == words[at]
-        return at[same], k[same]
+        parts = [(k, x[i:j]) for k, x in enumerate(words) if x for i, j in stretches(len(x), half)]
+        return Items([i for i, _, _ in rows], words, answers, parts)
 
 
 def passages(offsets: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,115 +137,115 @@ def passages(offsets: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.repeat(first[:-1], sizes) + within // half
 
 
-def summed_rows(parts: DataFrame, rows: int, width: int) -> np.ndarray:
-    """Sum of the arrays of doubles whose blocks of rows (block int, data binary) are the rows of parts."""
+def blocks_of(total: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    blocks = np.ascontiguousarray(total).reshape(len(total) // ROWS_A_BLOCK, -1)
+    used = np.flatnonzero(blocks.any(axis=1))
+    return used.astype(np.int32), [blocks[i].tobytes() for i in used]
 
-    def add(t: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x.as_py(), np.float64) for x in t.column("data")]
-        return pa.table({"block": t.column("block")[:1], "data": pa.array([np.sum(own, axis=0).tobytes()], pa.binary())})
 
-    out = np.zeros(((rows + ROWS_A_BLOCK - 1) // ROWS_A_BLOCK * ROWS_A_BLOCK, width))
-    for r in parts.groupBy("block").applyInArrow(add, "block int, data binary").collect():
-        out[r["block"] * ROWS_A_BLOCK : (r["block"] + 1) * ROWS_A_BLOCK] = np.frombuffer(r["data"], np.float64).reshape(ROWS_A_BLOCK, width)
-    return out[:rows]
+def summed_rows(parts: DataFrame, dtype, width: int) -> np.ndarray:
+    """Sum of the arrays of FEATURES rows whose blocks (block int, data binary) are the rows of parts; its size is fixed.
 
+    Blocks are added up as they come, so a task holds one of each.
+    """
 
-def over_corpus(docs: DataFrame, rows: int, width: int, step) -> np.ndarray:
-    """Sum over all documents of step(words, offsets, total): it adds to the array total (rows x width)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(((rows + ROWS_A_BLOCK - 1) // ROWS_A_BLOCK * ROWS_A_BLOCK, width))
-        for b in sliced(batches):
-            for _, words, offsets in words_of(b.column(0)):
-                step(words, offsets, total)
-        blocks = total.reshape(-1, ROWS_A_BLOCK * width)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
-
-    return summed_rows(docs.select("text").mapInArrow(run, "block int, data binary"), rows, width)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.frombuffer(x.as_buffer(), dtype)
+                if k in sums:
+                    sums[k] += own
+                else:
+                    sums[k] = own.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
 
+    out = np.zeros((FEATURES, width), np.float32)
+    for r in parts.select("block", "data").repartition("block").mapInArrow(add, "block int, data binary").collect():
+        out[r["block"] * ROWS_A_BLOCK : (r["block"] + 1) * ROWS_A_BLOCK] = np.frombuffer(r["data"], np.float32).reshape(ROWS_A_BLOCK, width)
+    return out
 
-def signs(passage: np.ndarray, width: int) -> np.ndarray:
-    """Rows of random signs, drawn from the hash of each passage."""
-    bits = [mix(passage * np.uint64(2 * k + 1) + np.uint64(k)) for k in range((width + 63) // 64)]
-    raw = np.stack(bits, axis=1).view(np.uint8).reshape(len(passage), -1)
-    return np.unpackbits(raw, axis=1)[:, :width].astype(np.float32) * 2 - 1
 
+def word_table(docs: DataFrame, half: int) -> DataFrame:
+    """WORDS: a row for each text that has words, and rows (block, data) of counts: passages by feature, and all of them."""
 
-def add_by_term(total: np.ndarray, term: np.ndarray, rows: np.ndarray) -> None:
-    if len(term):
-        order = np.argsort(term, kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) != 0]))
-        total[term[order][begin], : rows.shape[1]] += np.add.reduceat(rows[order], begin, axis=0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((FEATURES, 2), np.float32)
+        for b in sliced(batches):
+            for at, hashes, offsets in words_of(b.column(2)):
+                words = numbers_of(hashes)
+                first, of = passages(offsets, half)
+                pairs = np.unique(of * FEATURES + features_of(words))
+                seen[:, 0] += np.bincount(pairs & (FEATURES - 1), minlength=FEATURES)
+                seen[0, 1] += first[-1]
+                rows = pa.array(at, pa.int64())
+                data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(words)])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), data, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=WORD_NAMES)
+        used, data = blocks_of(seen)
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(data, pa.binary())], names=WORD_NAMES)
+
+    return docs.mapInArrow(run, WORDS)
+
+
+WORD_NAMES = [x.split()[0] for x in WORDS.split(", ")]
+
+
+def read_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, words and offsets of a number of texts, about WORDS_AT_ONCE words at a time."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint32)
+    for start, end in by_bytes(np.diff(ends), WORDS_AT_ONCE):
+        yield start, data[ends[start] : ends[end]], ends[start : end + 1] - ends[start]
+
+
+def weights(table_: DataFrame, items: list[Items], s: Settings) -> np.ndarray:
+    """Weight of each feature: inverse document frequency over all passages, 0 for those that are common."""
+    seen = summed_rows(table_.filter("block is not null"), np.float32, 2)
+    df, every = seen[:, 0].astype(np.float64), float(seen[0, 1])
+    keep = df <= max(s.always, s.common * every)
+    for block in items:
+        for _, x in block.parts:
+            own = np.unique(features_of(np.array(x, np.uint32)))
+            keep[own[np.argsort(df[own], kind="stable")[: s.rarest]]] = True
+    return np.where(keep, np.log((1 + every) / (1 + df)) + 1e-3, 0).astype(np.float32)
+
+
+def sketched(words: np.ndarray, offsets: np.ndarray, weight: np.ndarray, half: int, width: int, total: np.ndarray) -> None:
+    """Add the passages of some texts to total, the array A'G laid flat."""
+    feature = features_of(words)
+    w = weight[feature]
+    at = np.flatnonzero(w)
+    if not len(at):
+        return
+    first, of = passages(offsets, half)
+    feature, w, of = feature[at], w[at], of[at]
+    norm = np.sqrt(np.bincount(of, w.astype(np.float64) ** 2, minlength=first[-1]))
+    w = w / norm[of]
+    name = np.zeros(first[-1], np.uint64)
+    np.add.at(name, of, mix(words[at].astype(np.uint64)))
+    for k in range(SIGNS):
+        h = mix(name * np.uint64(2 * k + 3) + np.uint64(k))
+        column, sign = (h % np.uint64(width)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+        total += np.bincount(feature * width + column[of], w * sign[of], minlength=FEATURES * width).astype(np.float32)
 
 
-def weighted(words: np.ndarray, offsets: np.ndarray, look: Lookup, weight: np.ndarray, half: int):
-    """First passages of texts; of the words with weight the passage, the term, the weight and the place."""
-    first, of = passages(offsets, half)
-    at, term = look(words)
-    return first, of[at], term, weight[term], at
+def fit(table_: DataFrame, weight: np.ndarray, s: Settings) -> np.ndarray:
+    """Latent vectors of all features (FEATURES x rank), times their weights."""
+    sent = table_.sparkSession.sparkContext.broadcast(weight)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES * s.width, np.float32)
+        for b in batches:
+            for _, words, offsets in read_words(b.column(0)):
+                sketched(words, offsets, sent.value, s.half, s.width, total)
+        used, data = blocks_of(total.reshape(FEATURES, s.width))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(data, pa.binary())], names=["block", "data"])
 
-@dataclass
-class Space:
-    """Terms with weight (sorted hashes), their weights and latent vectors (terms x rank)."""
-
-    terms: np.ndarray
-    weight: np.ndarray
-    latent: np.ndarray
-
-    def numbers(self, words: list[int]) -> np.ndarray:
-        """Distinct numbers of those words that are terms."""
-        return np.unique(Lookup(self.terms)(np.array(words, np.uint64))[1])
-
-
-def weights(docs: DataFrame, items: Items, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Terms that get a weight, and it: inverse document frequency over all passages."""
-    look, n = Lookup(items.terms), len(items.terms)
-
-    def count(words, offsets, total):
-        first, of = passages(offsets, s.half)
-        at, term = look(words)
-        pairs = np.unique(of[at] * n + term)
-        total[:n, 0] += np.bincount(pairs % n, minlength=n)
-        total[0, 1] += first[-1]
-
-    seen = over_corpus(docs, n, 2, count)
-    df, every = seen[:, 0], seen[0, 1]
-    keep = df <= s.common * every
-    for _, x in items.parts:
-        own = np.unique(np.searchsorted(items.terms, np.array(x, np.uint64)))
-        keep[own[np.argsort(df[own], kind="stable")[: s.rarest]]] = True
-    return items.terms[keep], (np.log((1 + every) / (1 + df)) + 1e-3)[keep]
-
-
-def fit(docs: DataFrame, items: Items, s: Settings) -> Space:
-    terms, weight = weights(docs, items, s)
-    look, n = Lookup(terms), len(terms)
-    rank = max(s.rank, len(items.parts))
-    width = min(rank + s.oversample, n)
-
-    def project(words, offsets, total):
-        _, of, term, w, at = weighted(words, offsets, look, weight, s.half)
-        used, passage = np.unique(of, return_inverse=True)
-        if len(used):
-            norm = np.sqrt(np.bincount(passage, w * w, minlength=len(used)))
-            name = np.zeros(len(used), np.uint64)
-            np.add.at(name, passage, mix(words[at]))
-            add_by_term(total, term, signs(mix(name), width)[passage] * (w / norm[passage]).astype(np.float32)[:, None])
-            total[0, width] += len(used)
-
-    seen = over_corpus(docs, n, width + 1, project)
-    space = Space(terms, weight, np.empty(0))
-    own = [x for x in (space.numbers(words) for _, words in items.parts) if len(x)]
-    rows = np.zeros((len(own), n))
-    for i, x in enumerate(own):
-        rows[i, x] = weight[x] / np.sqrt((weight[x] ** 2).sum())
-    share = max(1.0, seen[0, width]) / max(1, len(own))  # squared weight of a part's row, if all parts weigh as all passages
-    g = np.random.default_rng(1).choice([-1.0, 1.0], (len(own), width))
-    left, _, _ = np.linalg.svd(seen[:, :width] + np.sqrt(s.item_weight * share) * rows.T @ g, full_matrices=False)
-    space.latent = left[:, :rank].astype(np.float32)
-    return space
+    sketch = summed_rows(table_.filter("block is null").select("words").mapInArrow(run, "block int, data binary"), np.float32, s.width).astype(np.float64)
+    value, vector = np.linalg.eigh(sketch.T @ sketch)
+    order = [k for k in np.argsort(-value)[: s.rank] if value[k] > 1e-9 * max(1e-30, value.max())]
+    return (sketch @ (vector[:, order] / np.sqrt(value[order])) * weight[:, None]).astype(np.float32)
 
 
 def common_length(item: list[int], text: list[int]) -> int:
@@ -257,109 +262,117 @@ def common_length(item: list[int], text: list[int]) -> int:
 
 
 class Searcher:
-    def __init__(self, items: Items, space: Space, s: Settings):
-        self.items, self.weight, self.latent, self.s = items, space.weight, space.latent, s
-        self.look = Lookup(space.terms)
+    def __init__(self, items: Items, latent: np.ndarray, s: Settings):
+        self.items, self.latent, self.s = items, latent, s
         self.of = np.array([k for k, _ in items.parts])
-        image = np.zeros((len(items.parts), space.latent.shape[1]), np.float32)
-        self.least = np.zeros(len(items.parts), np.int64)
-        for i, (_, x) in enumerate(items.parts):
-            t = space.numbers(x)
-            image[i] = space.weight[t] @ space.latent[t]
-            # words with weight that a common subsequence long enough must hold; half of them in one window
-            kept = len(self.look(np.array(x, np.uint64))[0])
-            self.least[i] = max(0, int(np.ceil(s.weak * len(x))) - (len(x) - kept)) // 2
+        image = np.stack([latent[features_of(np.array(x, np.uint32))].sum(axis=0) for _, x in items.parts])
         norm = np.linalg.norm(image, axis=1, keepdims=True)
-        self.image = (image / np.where(norm > 0, norm, 1)).astype(np.float32)
-
-    def candidates(self, words: np.ndarray, offsets: np.ndarray):
-        """Text, number of its window's first passage, its passages, item and cosine (of the item's nearest part) of each candidate."""
-        first, of, term, w, _ = weighted(words, offsets, self.look, self.weight, self.s.half)
-        if not len(of):
-            return
+        self.image = (image / np.where(norm > 0, norm, 1)).T.astype(np.float32)
+        # a short part is a small share of a window
+        self.least = np.array([min(s.cosine, 0.55 * np.sqrt(len(x) / (2 * s.half))) for _, x in items.parts], np.float32)
+        self.sizes = np.array([len(x) for x in items.words])
+        self.signature = np.zeros((len(items.ids), SIGNATURE), bool)
+        for k, x in enumerate(items.words):
+            self.signature[k, np.array(x, np.int64) & (SIGNATURE - 1)] = True
+
+    def candidates(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, first and last word of the window's surroundings, item and cosine of candidates, some windows at a time."""
+        first, of = passages(offsets, self.s.half)
+        feature = features_of(words)
         begin = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
-        used = of[begin]
-        vector = np.add.reduceat(self.latent[term] * w[:, None].astype(np.float32), begin, axis=0)
-        square = np.add.reduceat(w * w, begin)
-        count = np.diff([*begin, len(of)])
-        text = np.searchsorted(first, used, side="right") - 1
-        # a window is a passage and the next, or the one before and a passage where only one of them has words with weight
-        follows = np.concatenate([(np.diff(used) == 1) & (np.diff(text) == 0), [False]])
-        pair = np.flatnonzero(follows)
-        vector, square = np.concatenate([vector, vector[pair] + vector[pair + 1]]), np.concatenate([square, square[pair] + square[pair + 1]])
-        count = np.concatenate([count, count[pair] + count[pair + 1]])
-        start, text = np.concatenate([used, used[pair]]), np.concatenate([text, text[pair]])
-        long = np.concatenate([np.ones(len(used), np.int64), np.full(len(pair), 2)])
-        for k in range(0, len(start), 8192):
-            cosine = vector[k : k + 8192] @ self.image.T / np.sqrt(square[k : k + 8192])[:, None]
-            nearest: dict[tuple[int, int], float] = {}
-            for i, j in zip(*np.nonzero((cosine >= self.s.cosine) & (count[k : k + 8192, None] >= self.least)), strict=True):
-                at = int(i), int(self.of[j])
-                nearest[at] = max(nearest.get(at, -1.0), float(cosine[i, j]))
-            for (i, item), c in nearest.items():
-                yield int(text[k + i]), int(start[k + i] - first[text[k + i]]), int(long[k + i]), item, c
+        vector = np.add.reduceat(self.latent[feature], begin, axis=0)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        pair = np.flatnonzero(text[1:] == text[:-1])
+        vector = np.concatenate([vector, vector[pair] + vector[pair + 1]])
+        start, long = np.concatenate([np.arange(len(text)), pair]), np.concatenate([np.ones(len(text), np.int64), np.full(len(pair), 2)])
+        norm = np.linalg.norm(vector, axis=1)
+        some = np.flatnonzero(norm > 0)
+        rows = max(1, (1 << 22) // self.image.shape[1])
+        for k in range(0, len(some), rows):
+            own = some[k : k + rows]
+            cosine = (vector[own] / norm[own, None]) @ self.image
+            i, part = np.nonzero(cosine >= self.least)
+            if not len(i):
+                continue
+            c, item = cosine[i, part], self.of[part]
+            at, passages_ = own[i], long[own[i]]
+            t = text[start[at]]
+            lo = offsets[t] + (start[at] - first[t]) * self.s.half
+            n = self.sizes[item]
+            hi = np.minimum(offsets[t + 1], lo + passages_ * self.s.half + n)
+            lo = np.maximum(offsets[t], lo - n)
+            # of the words around the window at least so many must be words of the item
+            size = hi - lo
+            ends = np.cumsum(size)
+            place = np.repeat(lo - (ends - size), size) + np.arange(ends[-1])
+            hits = np.add.reduceat(self.signature[np.repeat(item, size), words[place] & np.uint32(SIGNATURE - 1)].astype(np.int32), ends - size)
+            enough = hits >= self.s.weak * n
+            yield t[enough], lo[enough], hi[enough], item[enough], c[enough]
 
     def leaks(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, int, bool]]:
         """By text and item: cosine, common length and whether the answer is there, of its best window."""
         found: dict[tuple[int, int], tuple[float, int, bool]] = {}
-        for text, passage, long, item, cosine in self.candidates(words, offsets):
-            own, n = self.items.words[item], len(self.items.words[item])
-            if found.get((text, item), (0, 0, False))[1:] == (n, True):
-                continue
-            lo = max(offsets[text], offsets[text] + passage * self.s.half - n)
-            hi = min(offsets[text + 1], offsets[text] + (passage + long) * self.s.half + n)
-            near = words[lo:hi].tolist()
-            common = common_length(own, near)
-            if common < self.s.weak * n:
-                continue
-            answer = self.items.answers[item]
-            there = bool(answer) and common_length(answer, near) == len(answer)
-            if (common >= self.s.strong * n or there) and found.get((text, item), (0, 0, False))[1:] < (common, there):
-                found[text, item] = (cosine, common, there)
+        for some in self.candidates(words, offsets):
+            for text, lo, hi, item, cosine in zip(*(x.tolist() for x in some), strict=True):
+                own, n = self.items.words[item], len(self.items.words[item])
+                if found.get((text, item), (0, 0, False))[1:] == (n, True):
+                    continue
+                near = words[lo:hi].tolist()
+                common = common_length(own, near)
+                if common < self.s.weak * n:
+                    continue
+                answer = self.items.answers[item]
+                there = bool(answer) and common_length(answer, near) == len(answer)
+                if (common >= self.s.strong * n or there) and found.get((text, item), (0, 0, False))[1:] < (common, there):
+                    found[text, item] = (cosine, common, there)
         return found
 
 
-def search(docs: DataFrame, items: Items, space: Space, s: Settings) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((items, space, s))
+def search(table_: DataFrame, items: Items, latent: np.ndarray, s: Settings) -> DataFrame:
+    sent = table_.sparkSession.sparkContext.broadcast((items, latent, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*sent.value)
-        for b in sliced(batches):
-            out = []
-            for at, words, offsets in words_of(b.column(2)):
-                out += [(at[t], i, *x) for (t, i), x in searcher.leaks(words, offsets).items()]
+        own = searcher.items
+        for b in batches:
+            out = [(start + t, i, *x) for start, words, offsets in read_words(b.column(2)) for (t, i), x in searcher.leaks(words, offsets).items()]
             rows = pa.array([x[0] for x in out], pa.int64())
-            own = searcher.items
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([own.ids[x[1]] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int32()), pa.array([len(own.words[x[1]]) for x in out], pa.int32()), pa.array([x[4] for x in out], pa.bool_())], names=["doc_id", "__row", "item_id", "cosine", "lcs", "n_item_words", "answer_found"])
 
-    return docs.mapInArrow(run, RESULT.replace("item_id", "__row long, item_id", 1))
+    return table_.filter("block is null").select("doc_id", "__row", "words").mapInArrow(run, FOUND)
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """RESULT and __row (row_key of the text): a row for each document and each item that has leaked into it."""
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(text).alias("__row"), F.col(f"`{text}`").alias("text"))
-    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), "text", answer.alias("a")).orderBy("i", "text")
-    out, block, size = None, [], 0
+FOUND = RESULT.replace("item_id", "__row long, item_id", 1)
 
-    def searched() -> DataFrame | None:
-        items = Items.of(block, settings.answer_words, settings.half)
-        if not len(items.terms):
-            return out
-        found = search(docs, items, fit(docs, items, settings), settings)
-        return out.union(found) if out is not None else found
 
+def blocks_of_items(benchmark: DataFrame, s: Settings) -> Iterator[Items]:
+    """Items in the order of their ids, about block_parts parts at a time."""
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    rows = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), "text", answer.alias("a")).orderBy("i", "text")
+    block, size = [], 0
     for r in rows.toLocalIterator():
-        n = len(stretches(len(plain(r["text"]).split()), settings.half))
-        if block and size + n > settings.block_items:
-            out, block, size = searched(), [], 0
         block.append((r["i"], r["text"], r["a"]))
-        size += n
+        size += len(stretches(len(plain(r["text"]).split()), s.half))
+        if size >= s.block_parts:
+            yield Items.of(block, s.answer_words, s.half)
+            block, size = [], 0
     if block:
-        out = searched()
-    if out is None:
-        return docs.select("doc_id", "__row").limit(0).selectExpr("doc_id", "__row", "doc_id as item_id", "0d as cosine", "0 as lcs", "0 as n_item_words", "false as answer_found")
-    return out
+        yield Items.of(block, s.answer_words, s.half)
+
+
+def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
+    """RESULT and __row (row_key of the text): a row for each document and each item that has leaked into it."""
+    spark = df.sparkSession
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_key(text).alias("__row"), F.col(f"`{text}`").alias("text"))
+    blocks = [x for x in blocks_of_items(benchmark, settings) if x.parts]
+    if not blocks:
+        return spark.createDataFrame([], FOUND)
+    with temporary(spark, "words") as path:
+        table_ = written(word_table(docs, settings.half), path)
+        latent = fit(table_, weights(table_, blocks, settings), settings)
+        if not latent.shape[1]:
+            return spark.createDataFrame([], FOUND)
+        return checkpointed(reduce(DataFrame.union, [search(table_, x, latent, settings) for x in blocks]))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", settings: Settings = Settings()) -> DataFrame:

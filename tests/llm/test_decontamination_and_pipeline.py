@@ -3,6 +3,7 @@ from __future__ import annotations
 import importlib
 import sys
 
+import numpy as np
 import pytest
 
 from parsewarden.llm import latent_decontamination as ld
@@ -37,6 +38,61 @@ def rare(seed, n):
     return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
 
 
+def brute(docs, items, s=ld.Settings()):
+    """Pairs whose whole texts have enough in common, by the table of longest common subsequences over each stretch."""
+    out = set()
+    for i, t in docs:
+        w = ld.plain(t).decode().lower().split()
+        for k, x in items:
+            own = ld.plain(x).decode().lower().split()
+            n = len(own)
+            for at in range(0, max(1, len(w)), max(1, n // 4)):
+                if ld.common_length([hash(y) for y in own], [hash(y) for y in w[at : at + 2 * n]]) >= s.strong * n:
+                    out.add((i, k))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("n", [10, 20, 64, 65, 130, 300, 1000])
+def test_recall_by_length_against_brute_force(spark, n):
+    import random
+
+    r = random.Random(n)
+    items = [(k, cases.words(70_000 + 100 * n + k, n)) for k in range(8)]
+    docs = [(i, cases.words(80_000 + i, 300)) for i in range(80)]
+    for k, x in items:
+        w = x.split()
+        gone = set(r.sample(range(n), int(0.28 * n)))
+        for j, own in enumerate((w, ["another" if i in gone else y for i, y in enumerate(w)])):
+            docs.append((1000 + 10 * k + j, " ".join([cases.words(90_000 + 10 * k + j, r.randint(0, 90)), " ".join(own), cases.words(95_000 + 10 * k + j, r.randint(0, 90))])))
+    want = brute(docs, items)
+    assert len(want) >= 14
+    found = ld.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]) for x in found.collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert not {i for i, _ in got} & set(range(1000))
+
+
+def test_words_that_stand_together_come_together(spark):
+    """A paraphrase that has none of the item's weighty words, but words that stand with them elsewhere, is a candidate."""
+    import random
+
+    r = random.Random(3)
+    topics = [[f"topic{t}word{k}" for k in range(40)] for t in range(6)]
+    docs = []
+    for i in range(600):
+        docs.append((i, " ".join(r.choice(topics[i % 6]) for _ in range(64))))
+    words = ld.word_table(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "0L as __row", "text"), 32).persist()
+    s = ld.Settings(rank=6, common=1.0)
+    own, other, far = topics[0][:20], topics[0][20:], topics[1][20:]
+    items = ld.Items.of([(1, " ".join(own), None)], 5, 32)
+    latent = ld.fit(words, ld.weights(words, [items], s), s)
+    vector = lambda x: latent[ld.features_of(np.array(ld.Items.of([(1, " ".join(x), None)], 5, 32).words[0], np.uint32))].sum(axis=0)
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    assert not set(own) & set(other) and cosine(vector(own), vector(other)) > 0.8 > 0.3 > cosine(vector(own), vector(far))
+    assert latent.shape[1] <= 6
+
+
 @pytest.mark.parametrize("n", [65, 300, 2000])
 def test_long_items_of_rare_words_are_found(spark, n):
     own = rare(n, n)
@@ -62,14 +118,14 @@ def test_an_item_of_more_parts_than_a_block_is_found(spark):
     own = rare(5, 1000)
     docs = [(0, " ".join(own))] + [(100 + i, cases.words(200 + i, 150)) for i in range(20)]
     items = [(1, cases.words(9001, 20)), (7, " ".join(own)), (8, cases.words(9002, 20))]
-    found = ld.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), settings=ld.Settings(block_items=5))
+    found = ld.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), settings=ld.Settings(block_parts=5))
     assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(0, 7)]
 
 
 def test_blocks_of_items_find_the_same(spark):
     items, docs, leaks = planted(spark)
     df = spark.createDataFrame(docs + leaks, "doc_id long, text string")
-    found = ld.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), settings=ld.Settings(block_items=5))
+    found = ld.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), settings=ld.Settings(block_parts=5))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, (i - 1000) // 10) for i, _ in leaks}
 
 
