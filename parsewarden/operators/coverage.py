@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parsewarden.functions.text import tokens_of
+from parsewarden.operators.barrier import barrier
 
 
-def common_tokens(primary: Column, reference: Column) -> Column:
-    """Size of the intersection of two multisets of tokens, each a sorted array.
+def _runs(tokens: Column) -> Column:
+    """Where the runs of equal tokens of a sorted array begin."""
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    return F.when(F.size(tokens) > 0, F.filter(places, lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))).otherwise(F.array().cast("array<int>"))
 
-    An occurrence is a token with its number among equal ones, the distance from the first of them.
-    """
-
-    def occurrences(sorted_tokens: Column) -> Column:
-        return F.transform(sorted_tokens, lambda t, i: F.concat(t, F.lit(" "), (i - F.array_position(sorted_tokens, t)).cast("string")))
 
-    return F.size(F.array_intersect(occurrences(primary), occurrences(reference)))
+def _occurrences(tokens: Column, runs: Column) -> Column:
+    """Each token with its number among equal ones. Every place is looked at once: time is linear in tokens."""
+    size = lambda i, start: F.coalesce(F.get(runs, i + 1), F.size(tokens)) - start
+    return F.flatten(F.transform(runs, lambda start, i: F.transform(F.sequence(F.lit(1), size(i, start)), lambda k: F.concat(F.get(tokens, start), F.lit(" "), k.cast("string")))))
 
 
 def with_token_coverage(pages: DataFrame, primary: str = "norm_primary", reference: str = "norm_reference") -> DataFrame:
     """pages with token_coverage; null where the reference has no tokens. Texts are normalised.
 
-    A page's tokens meet in its own row: no shuffle, and no page is lost for having no tokens.
+    A page's tokens meet in its own row, as the intersection of two sets of numbered occurrences: no shuffle, and no page
+    is lost for having no tokens. Arrays are columns behind barriers, as an expression within a lambda would be computed
+    anew for each element.
     """
-    out = pages.withColumn("__p", F.sort_array(tokens_of(F.col(primary)))).withColumn("__r", F.sort_array(tokens_of(F.col(reference))))
-    common = common_tokens(F.col("__p"), F.col("__r"))
-    return out.withColumn("token_coverage", F.try_divide(common.cast("double"), F.size("__r").cast("double"))).drop("__p", "__r")
+    out = barrier(pages.withColumn("__p", F.sort_array(tokens_of(F.col(primary)))).withColumn("__r", F.sort_array(tokens_of(F.col(reference)))))
+    out = barrier(out.withColumn("__pr", _runs(F.col("__p"))).withColumn("__rr", _runs(F.col("__r"))))
+    common = F.size(F.array_intersect(_occurrences(F.col("__p"), F.col("__pr")), _occurrences(F.col("__r"), F.col("__rr"))))
+    return out.withColumn("token_coverage", F.try_divide(common.cast("double"), F.size("__r").cast("double"))).drop("__p", "__r", "__pr", "__rr")
 
 
 def token_coverage_by_shuffle(pages: DataFrame, keys: list[str], primary: str = "norm_primary", reference: str = "norm_reference") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The parts of a stored document that are read: page numbers, and the provenance of tables.
@@ -22,10 +22,21 @@ def table_provenance(documents: DataFrame, key: str = "directory") -> DataFrame:
 
 
 def dedupe_chars(chars: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:
-    """One glyph of those of equal text and font whose corner, in steps of tolerance, is the same on a page."""
-    step = lambda c: F.round(F.col(c) / F.lit(tolerance)).cast("long")
-    own = [*keys, "text", "fontname", "size", "__x", "__y"]
-    return chars.withColumn("__x", step("x0")).withColumn("__y", step("top")).dropDuplicates(own).drop("__x", "__y")
+    """One glyph, the first, of each cluster of those of equal text, font and size on a page.
+
+    Clusters are chains: sorted by the upper edge, a step of more than tolerance parts them; within those, the same by the
+    left edge. Windows by page and glyph, so no group is held as one row.
+    """
+    alike = [*keys, "text", "fontname", "size"]
+
+    def clusters(df: DataFrame, within: list[str], by: str, name: str) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy(by, "x0" if by == "top" else "top")
+        parted = F.coalesce((F.col(by) - F.lag(by).over(order) > tolerance).cast("int"), F.lit(0))
+        return df.withColumn("__parted", parted).withColumn(name, F.sum("__parted").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__parted")
+
+    out = clusters(clusters(chars, alike, "top", "__y"), [*alike, "__y"], "x0", "__x")
+    first = F.row_number().over(Window.partitionBy(*alike, "__y", "__x").orderBy("top", "x0"))
+    return out.withColumn("__first", first).filter("__first = 1").drop("__x", "__y", "__first")
 
 
 def graphics_counts(graphics: DataFrame, keys: list[str]) -> DataFrame:

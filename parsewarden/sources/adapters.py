@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parsewarden.functions.geometry import points_to_bbox, xywh_to_bbox
@@ -59,6 +59,12 @@ def joined(pages: DataFrame, column: str = "text") -> DataFrame:
     return full_text(pages, "source_file", column).select("source_file", F.col("full_text").alias(column))
 
 
+def last_of_pages(parts: DataFrame, column: str) -> DataFrame:
+    """One row for each page number: of several the last by seq, if the parts have it."""
+    seq = F.col("seq") if "seq" in parts.columns else F.lit(0)
+    return parts.groupBy("source_file", "page_number").agg(F.max(F.struct(seq.alias("seq"), F.col(column))).getField(column).alias(column))
+
+
 def counted(files: DataFrame, pages: DataFrame) -> DataFrame:
     counts = pages.groupBy("source_file").agg(F.count("*").alias("page_count"))
     return files.join(counts, "source_file", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0).cast("long")))
@@ -118,16 +124,20 @@ def adapt_unstructured(files: DataFrame, raw: DataFrame) -> Parsed:
 def adapt_llamaparse(files: DataFrame, text: DataFrame, markdown: DataFrame, items: DataFrame, page_metadata: DataFrame) -> Parsed:
     """Saved results of the service; nothing is uploaded. files: tier, uploaded_file_id, job, usage (JSON strings).
 
-    text, markdown and page_metadata (column metadata, a map): page_number and maybe seq; items: page_number, item_index,
-    type, md, value, bbox (struct x, y, w, h), level, rows, html.
+    text, markdown and page_metadata (column metadata, a map): page_number and maybe seq, the order of the parts; items:
+    page_number, item_index, type, md, value, bbox (struct x, y, w, h), level, rows, html and maybe seq, that of their page.
+    Of parts of one page number the last counts.
     """
+    # of several parts of one page number the last counts, with all of its items
+    if "seq" in items.columns:
+        items = items.withColumn("__last", F.max("seq").over(Window.partitionBy("source_file", "page_number"))).filter(F.col("seq").eqNullSafe(F.col("__last"))).drop("__last", "seq")
     seen = items.groupBy("source_file", "page_number").agg(F.lit(True).alias("items"))
     pages = four_way_pages(text, markdown, seen, page_metadata.withColumn("metadata", to_json(F.col("metadata"))), "source_file")
     pages = pages.withColumn("metadata", F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")))
     box = xywh_to_bbox(F.col("bbox"))
     elements = items.select("source_file", F.col("item_index").alias("element_index"), "type", first_truthy(F.col("value"), F.col("md")).alias("text"), "page_number", box.alias("bbox"), metadata(item_index="item_index", level="level").alias("metadata"))
     tables = items.filter("type = 'table'").select("source_file", F.col("item_index").alias("table_index"), normalize_rows(F.col("rows")).alias("rows"), "page_number", box.alias("bbox"), F.col("md").alias("markdown"), "html", metadata(item_index="item_index").alias("metadata"))
-    texts = joined(text).join(joined(markdown, "markdown"), "source_file", "full")
+    texts = joined(last_of_pages(text, "text")).join(joined(last_of_pages(markdown, "markdown"), "markdown"), "source_file", "full")
     info = metadata(page_count="page_count", tier="tier", uploaded_file_id="uploaded_file_id", job="job", usage="usage")
     return parsed("llamaparse", counted(files, pages), pages, elements, tables, texts, info)
 
