@@ -39,6 +39,17 @@ def dedupe_chars(chars: DataFrame, keys: list[str], tolerance: float = 1.0) -> D
     return out.withColumn("__first", first).filter("__first = 1").drop("__x", "__y", "__first")
 
 
+def reading_order(parts: DataFrame, keys: list[str], name: str = "order") -> DataFrame:
+    """parts (x0, top) with their number on the page, from the top, then from the left, as sorted text is read; from 0."""
+    order = Window.partitionBy(*keys).orderBy("top", "x0")
+    return parts.withColumn(name, F.row_number().over(order) - 1)
+
+
+def previews(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group, for people to look at."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
+
+
 def graphics_counts(graphics: DataFrame, keys: list[str]) -> DataFrame:
     """Lines, rectangles and curves of each page."""
     return graphics.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("line", "rect", "curve")])

@@ -40,7 +40,7 @@ def every_parser(spark: SparkSession, sf_dir: str) -> Parsed:
     fields = F.when(k % 4 == 3, F.array(F.lit("1"))).otherwise(F.array(F.lit("1"), F.lit("2"), F.lit("3"), F.lit("x"), F.when(k % 4 == 2, " \n").otherwise(F.col("text")), k.cast("string"), F.lit("0")))
     blocks = t.select("source_file", "page_number", k.alias("block_index"), fields.alias("fields"))
     provenance = F.when(k % 5 != 0, F.array(F.struct(F.col("page_number").alias("page_no"), box(0, 0, 9, 9).alias("bbox"))))
-    items = t.select("source_file", k.alias("item_index"), F.col("role").alias("label"), F.when(k % 4 == 0, "").otherwise(F.substring("text", 1, 20)).alias("text"), k.alias("level"), provenance.alias("provenance"))
+    items = t.select("source_file", k.alias("item_index"), F.col("role").alias("label"), F.when(k % 4 == 0, "").otherwise(F.col("text")).alias("text"), k.alias("level"), provenance.alias("provenance"))
     primary = t.filter(k % 2 == 0).select("source_file", k.alias("table_index"), F.array(F.lit("h"), F.lit("i")).alias("header"), rows.alias("rows"), provenance.alias("provenance"), F.lit("<table/>").alias("html"), F.lit("|h|").alias("markdown"))
     docling = adapters.adapt_docling(f.withColumn("text", F.lit("whole")).withColumn("markdown", F.lit("# whole")), pages.select("source_file", "page_number", "text", F.concat(F.lit("# "), "text").alias("markdown")), items, primary)
     html = F.when(k % 4 == 1, F.concat(F.lit("<table><tr><td>"), "role", F.lit("</td><td>x|y</td></tr></table>")))
@@ -50,5 +50,10 @@ def every_parser(spark: SparkSession, sf_dir: str) -> Parsed:
     boxed = F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.when(k % 5 != 2, F.lit(3.0)).alias("w"), F.lit(4.0).alias("h"))
     saved = t.select("source_file", "page_number", F.lit(0).alias("item_index"), F.when(k % 3 == 1, "table").otherwise("text").alias("type"), F.col("role").alias("md"), F.when(k % 2 == 0, F.col("text")).otherwise("").alias("value"), boxed.alias("bbox"), F.when(k % 2 == 1, k).alias("level"), rows.alias("rows"), F.lit(None).cast("string").alias("html"))
     part = lambda r, name, value: t.filter(k % 4 != r).select("source_file", "page_number", value.alias(name))
-    llama = adapters.adapt_llamaparse(f, part(0, "text", F.col("text")), part(1, "markdown", F.col("role")), saved.filter("page_number % 4 <> 0"), part(3, "metadata", F.create_map(F.lit("n"), k.cast("string"))))
+    # every seventh page has been saved twice: an older part comes first
+    older, newer = F.lit(0).alias("seq"), F.lit(1).alias("seq")
+    text = part(0, "text", F.col("text")).select("*", newer).unionByName(t.filter((k % 7 == 0) & (k % 4 != 0)).select("source_file", "page_number", F.lit("older").alias("text"), older))
+    again = saved.filter("page_number % 4 <> 0 and (page_number - 1) % 7 = 0").withColumn("type", F.lit("older"))
+    saved = saved.filter("page_number % 4 <> 0").select("*", newer).unionByName(again.select("*", older))
+    llama = adapters.adapt_llamaparse(f, text, part(1, "markdown", F.col("role")), saved, part(3, "metadata", F.create_map(F.lit("n"), k.cast("string"))))
     return adapters.union([docling, adapters.adapt_pdfplumber(f, pages, words, found), adapters.adapt_pymupdf(f, pages, blocks, found), adapters.adapt_unstructured(f, raw), llama])

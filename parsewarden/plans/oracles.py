@@ -1,9 +1,19 @@
-"""SQL of the queries, for an independent engine. NFKC changes no text of the test tables, so it is left out here."""
+"""SQL of the queries, for an independent engine. NFKC changes no text of the test tables, so it is left out here but for str_nfkc."""
 
 from __future__ import annotations
 
-from parsewarden.functions.text import TOK
-from parsewarden.operators.rules import MESSAGES
+# Fixed values, stated again so that they don't follow the code under test: what a token is, and the texts of issues.
+TOK = r"[\p{L}\p{N}_]+(?:[./%-][\p{L}\p{N}_]+)*"
+MESSAGES = {
+    "OCR_CROSS_VALIDATION_UNAVAILABLE": "The page appears to be scanned or image-based. pdfplumber does not provide a usable native text layer, so Docling OCR output cannot be cross-validated with pdfplumber.",
+    "DOCLING_OCR_OUTPUT_EMPTY": "Docling produced no text for an image-based page. Manual review may be required.",
+    "REFERENCE_TEXT_INSUFFICIENT": "The page does not contain enough native PDF text for reliable pdfplumber cross-validation. Manual review may be required.",
+    "LOW_TOKEN_COVERAGE": "Low token agreement between Docling and pdfplumber.",
+    "MODERATE_TOKEN_COVERAGE": "Moderate token disagreement between Docling and pdfplumber.",
+    "TEXT_LENGTH_MISMATCH": "Large difference between Docling and pdfplumber text lengths.",
+    "REPLACEMENT_CHARACTERS": "Docling output contains suspicious Unicode replacement characters.",
+    "CROSS_PARSER_UNAVAILABLE": "pdfplumber could not enumerate the PDF pages. Docling output cannot be cross-validated using pdfplumber for this document.",
+}
 
 NORM = r"trim(regexp_replace(lower({}), '[\x09-\x0d\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 PAGE_COUNT = "((length(text) + 1499) // 1500)"
@@ -158,7 +168,7 @@ ORACLES = {
     "agg_table_counts": _with(P, T) + "SELECT doc_id, page_number, n AS primary_tables FROM table_count",
     "agg_tables_unassigned": _with(P, T) + "SELECT doc_id, total_tables, tables_without_page FROM table_total",
     "jon_page_alignment": _with(P, T) + "SELECT doc_id, page_number, length(primary_text) AS primary_length, length(reference_text) AS reference_length, coalesce(n, 0) AS primary_tables FROM pairs JOIN page_counts USING (doc_id) LEFT JOIN table_count USING (doc_id, page_number) WHERE page_number <= least(primary_pages, reference_pages)",
-    "jon_fourway_pages": "SELECT * FROM (SELECT conv_id AS doc_id, turn + 1 AS page_number, CASE WHEN (turn + 1) % 5 <> 0 THEN substr(text, 1, 10) ELSE '' END AS text, CASE WHEN (turn + 1) % 5 <> 1 THEN substr(text, 1, 20) END AS markdown, CASE WHEN (turn + 1) % 5 <> 2 THEN substr(text, 1, 30) END AS items, CASE WHEN (turn + 1) % 5 <> 3 THEN role END AS metadata FROM conversations)",
+    "jon_fourway_pages": "SELECT * FROM (SELECT conv_id AS doc_id, turn + 1 AS page_number, CASE WHEN (turn + 1) % 5 <> 0 THEN text ELSE '' END AS text, CASE WHEN (turn + 1) % 5 <> 1 THEN '# ' || text END AS markdown, CASE WHEN (turn + 1) % 5 <> 2 THEN role || ': ' || text END AS items, CASE WHEN (turn + 1) % 5 <> 3 THEN role END AS metadata FROM conversations)",
     "agg_doc_status": _with(P, C, V, T, D) + "SELECT doc_id, page_count_match, pass_pages, review_pages, failed_pages, status FROM doc",
     "agg_doc_type": _with(P, C, V, T, D) + "SELECT doc_id, CASE WHEN reference_pages = 0 THEN 'UNKNOWN' ELSE document_type END AS document_type FROM doc",
     "agg_doc_summary": _with(P, C, V, T, D) + "SELECT doc_id, average_token_coverage, average_character_length_ratio, total_tables, tables_without_page FROM doc",
@@ -181,7 +191,7 @@ ORACLES |= {
     " UNION ALL SELECT 'pymupdf', source_file, page_number, text, NULL, 'height=792.0,image_count=1,width=612.0' FROM t"
     " UNION ALL SELECT 'unstructured', s.source_file, s.p::INT, CASE WHEN trim(text) <> '' THEN text ELSE '' END, NULL, '' FROM (SELECT source_file, unnest(range(1, max(page_number) FILTER (turn % 6 <> 5) + 1)) AS p FROM t GROUP BY 1) s LEFT JOIN (FROM t WHERE turn % 6 <> 5) u ON u.source_file = s.source_file AND u.page_number = s.p"
     " UNION ALL SELECT 'llamaparse', source_file, page_number, CASE WHEN turn % 4 <> 0 THEN text ELSE '' END, CASE WHEN turn % 4 <> 1 THEN role END, CASE WHEN turn % 4 <> 3 THEN 'n=' || turn ELSE '' END FROM t",
-    "adp_elements_union": f"WITH {TURNS} SELECT 'docling' AS parser_name, source_file, turn AS element_index, role AS type, substr(text, 1, 20) AS text, CASE WHEN turn % 5 <> 0 THEN page_number END AS page_number, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS x0, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS y0, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS x1, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS y1, 'hierarchy_level=' || turn AS metadata FROM t WHERE turn % 4 <> 0 AND length(text) > 0"
+    "adp_elements_union": f"WITH {TURNS} SELECT 'docling' AS parser_name, source_file, turn AS element_index, role AS type, text, CASE WHEN turn % 5 <> 0 THEN page_number END AS page_number, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS x0, CASE WHEN turn % 5 <> 0 THEN 0.0::DOUBLE END AS y0, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS x1, CASE WHEN turn % 5 <> 0 THEN 9.0::DOUBLE END AS y1, 'hierarchy_level=' || turn AS metadata FROM t WHERE turn % 4 <> 0 AND length(text) > 0"
     " UNION ALL SELECT 'pdfplumber', source_file, turn, 'word', role, page_number, 1, 2, 3, 4, '' FROM t"
     " UNION ALL SELECT 'pymupdf', source_file, turn, 'text_block', text, page_number, 1, 2, 3, NULL, 'block_number=' || turn || ',block_type=0' FROM t WHERE turn % 4 < 2 AND trim(text) <> ''"
     " UNION ALL SELECT 'unstructured', source_file, turn, CASE WHEN turn % 4 = 1 THEN 'Table' ELSE 'NarrativeText' END, text, CASE WHEN turn % 6 <> 5 THEN page_number END, CASE WHEN turn % 2 = 0 THEN 1 END, CASE WHEN turn % 2 = 0 THEN 6 END, CASE WHEN turn % 2 = 0 THEN 5 END, CASE WHEN turn % 2 = 0 THEN 8 END, 'lang=eng' FROM t"
@@ -193,3 +203,47 @@ ORACLES |= {
     " UNION ALL SELECT 'unstructured', source_file, turn, role || '¦x|y', CASE WHEN turn % 6 <> 5 THEN page_number END, NULL, NULL, NULL, NULL, '| ' || role || ' | x\\|y |' || chr(10) || '| --- | --- |', '<table><tr><td>' || role || '</td><td>x|y</td></tr></table>' FROM r WHERE turn % 4 = 1"
     " UNION ALL SELECT 'llamaparse', source_file, 0, rows, page_number, CASE WHEN turn % 5 <> 2 THEN 1 END, CASE WHEN turn % 5 <> 2 THEN 2 END, CASE WHEN turn % 5 <> 2 THEN 4 END, CASE WHEN turn % 5 <> 2 THEN 6 END, role, NULL FROM r WHERE turn % 3 = 1 AND page_number % 4 <> 0",
 }
+
+LENGTHS = (
+    f"WITH {TURNS.replace(' WHERE conv_id % 10 <> 7', '')}, f AS (SELECT source_file, NOT ends_with(source_file, '7') AS ok, count(*) AS n, sum(length(text)) + 2 * (count(*) - 1) AS whole,"
+    " coalesce(sum(length(text)) FILTER (length(text) > 0) + 2 * (count(*) FILTER (length(text) > 0) - 1), 0) AS filled, max(page_number) FILTER (turn % 6 <> 5) AS last,"
+    " sum(length(text)) FILTER (turn % 4 <> 0) + 2 * (count(*) FILTER (turn % 4 <> 0) - 1) AS saved, sum(length(role)) FILTER (turn % 4 <> 1) + 2 * (count(*) FILTER (turn % 4 <> 1) - 1) AS marked FROM t GROUP BY 1)"
+)
+COUNTED = {
+    "docling": ("n", "count(*) FILTER (turn % 4 <> 0 AND length(text) > 0)", "count(*) FILTER (turn % 2 = 0)", "text", "turn = 0"),
+    "pdfplumber": ("n", "count(*)", "count(*) FILTER (turn % 3 = 0)", "text", "turn = 0"),
+    "pymupdf": ("n", "count(*) FILTER (turn % 4 < 2 AND trim(text) <> '')", "count(*) FILTER (turn % 3 = 0)", "text", "turn = 0"),
+    "unstructured": ("max(page_number) FILTER (turn % 6 <> 5)", "count(*)", "count(*) FILTER (turn % 4 = 1)", "CASE WHEN trim(text) <> '' AND turn % 6 <> 5 THEN text ELSE '' END", "turn = 0"),
+    "llamaparse": ("n", "count(*) FILTER (page_number % 4 <> 0)", "count(*) FILTER (turn % 3 = 1 AND page_number % 4 <> 0)", "CASE WHEN turn % 4 <> 0 THEN text ELSE '' END", "turn = 0"),
+}
+
+
+def _counted(name: str, pages: str, elements: str, tables: str, text: str, first: str) -> str:
+    pages = "count(*)" if pages == "n" else f"coalesce({pages}, 0)"
+    return (
+        f"SELECT '{name}' AS parser_name, source_file, ok AS success, CASE WHEN NOT ok THEN 'ValueError: broken' END AS error, CASE WHEN ok THEN {pages} ELSE 0 END AS pages, CASE WHEN ok THEN {elements} ELSE 0 END AS elements, CASE WHEN ok THEN {tables} ELSE 0 END AS tables,"
+        f" CASE WHEN ok THEN max(CASE WHEN {first} THEN {text} END) END AS first, CASE WHEN ok THEN sum(length({text}))::BIGINT ELSE 0 END AS characters FROM (SELECT *, NOT ends_with(source_file, '7') AS ok FROM t) GROUP BY source_file, ok"
+    )
+
+
+_FAILED = "CASE WHEN NOT ok THEN 'ValueError: broken' END AS error FROM f"
+ORACLES |= {
+    "adp_results": LENGTHS
+    + " SELECT 'docling' AS parser_name, source_file, ok AS success, CASE WHEN ok THEN 5 ELSE 0 END AS text_length, CASE WHEN ok THEN 7 END AS markdown_length, CASE WHEN ok THEN 'conversion_status=success,document_name=doc,page_count=' || n ELSE '' END AS metadata, " + _FAILED
+    + " UNION ALL SELECT 'pdfplumber', source_file, ok, CASE WHEN ok THEN whole::BIGINT ELSE 0 END, NULL, CASE WHEN ok THEN 'page_count=' || n ELSE '' END, " + _FAILED
+    + " UNION ALL SELECT 'pymupdf', source_file, ok, CASE WHEN ok THEN whole::BIGINT ELSE 0 END, NULL, CASE WHEN ok THEN 'page_count=' || n ELSE '' END, " + _FAILED
+    + " UNION ALL SELECT 'unstructured', source_file, ok, CASE WHEN ok THEN filled::BIGINT ELSE 0 END, NULL, CASE WHEN ok THEN 'element_count=' || n || ',languages=eng,page_count=' || coalesce(last, 0) || ',strategy=hi_res' ELSE '' END, " + _FAILED
+    + " UNION ALL SELECT 'llamaparse', source_file, ok, CASE WHEN ok THEN coalesce(saved, 0)::BIGINT ELSE 0 END, CASE WHEN ok THEN marked::BIGINT END, CASE WHEN ok THEN 'page_count=' || n || ',tier=agentic' ELSE '' END, " + _FAILED,
+    "adp_results_json": f"WITH {TURNS.replace(' WHERE conv_id % 10 <> 7', '')} " + " UNION ALL ".join(_counted(k, *v) for k, v in COUNTED.items()),
+    "json_report_export": _with(P, C, V, T, D, "listed_pages AS (SELECT doc_id, string_agg(page_number || ':' || status || ':' || replace(codes, ',', '+'), ',' ORDER BY page_number) AS pages FROM page GROUP BY doc_id)")
+    + "SELECT d.doc_id, d.doc_id::VARCHAR AS source_file, CASE WHEN c.reference_pages = 0 THEN 'UNKNOWN' ELSE document_type END AS document_type, status, c.primary_pages AS docling, c.reference_pages AS pdfplumber, page_count_match AS match, pass_pages, failed_pages, average_token_coverage, total_tables AS docling_total_tables, CASE WHEN c.reference_pages = 0 THEN 'CROSS_PARSER_UNAVAILABLE' ELSE '' END AS issues, coalesce(pages, '') AS pages, average_token_coverage IS NULL AS null_coverage FROM doc d JOIN page_counts c USING (doc_id) LEFT JOIN listed_pages USING (doc_id)",
+    "pip_validation": _with(P, T, C, V.replace("primary_tables = 0", "NOT EXISTS (FROM table_count k WHERE k.doc_id = metric.doc_id AND k.page_number = metric.page_number)"), D, "s AS (SELECT *, CASE WHEN doc_id % 31 = 5 THEN 'Source PDF not found: d/' || doc_id || '.pdf' WHEN doc_id % 29 = 7 THEN 'Parsed document not found: d/' || doc_id WHEN doc_id % 37 = 11 THEN 'ValueError: torn' END AS e FROM doc LEFT JOIN (SELECT doc_id, pages FROM sums) USING (doc_id))")
+    + "SELECT 'd/' || doc_id AS directory, CASE WHEN e IS NOT NULL THEN 'FAIL' ELSE status END AS status, e AS error_message, CASE WHEN e IS NULL THEN CASE WHEN reference_pages = 0 THEN 'UNKNOWN' ELSE document_type END END AS document_type, CASE WHEN e IS NULL AND pages > 0 THEN pages END AS pages, CASE WHEN e IS NULL THEN pass_pages END AS pass_pages, CASE WHEN e IS NULL THEN total_tables END AS total_tables FROM s",
+    "src_check_sources": "SELECT 'raw/' || doc_id AS directory, CASE WHEN doc_id % 5 = 1 OR doc_id % 7 = 2 THEN 'FAIL' END AS early_status, CASE WHEN doc_id % 5 = 1 THEN 'Source PDF not found: raw/' || doc_id || '.pdf' WHEN doc_id % 7 = 2 THEN 'Parsed document not found: raw/' || doc_id END AS error_message FROM documents WHERE doc_id % 3 <> 0",
+    "src_new_files": "SELECT doc_id::VARCHAR AS relative_path, length(text) AS length, sha256(text) AS sha256 FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "snk_artifacts": "SELECT doc_id::VARCHAR AS directory, f AS file_name, CASE f WHEN 'document.json' THEN '' WHEN 'document.md' THEN sha256('# ' || text) WHEN 'document.txt' THEN sha256(text) WHEN 'metadata.json' THEN doc_id || '.pdf|' || sha256(text) || '|docling|2' ELSE doc_id || '.pdf|docling|failed|ValueError|torn' END AS kept FROM (SELECT doc_id, text, unnest(CASE WHEN doc_id % 6 = 1 THEN ['error.json'] ELSE ['document.json', 'document.md', 'document.txt', 'metadata.json'] END) AS f FROM documents)",
+    "set_dedupe_glyphs": "WITH g AS (SELECT l_orderkey % 50 AS page, l_returnflag AS t, l_linestatus AS f, floor(l_quantity::DOUBLE * 3 + l_discount::DOUBLE * 10) AS x0, (l_linenumber * 2)::DOUBLE AS top FROM lineitem), s AS (SELECT *, coalesce(x0 - lag(x0) OVER (PARTITION BY page, t, f, top ORDER BY x0) > 1, true) AS opens FROM g) SELECT page, count(*) AS glyphs, sum(x0) AS x0 FROM s WHERE opens GROUP BY page",
+    "ord_reading": "SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_quantity::DOUBLE + l_linenumber / 100) - 1)::INT AS \"order\" FROM lineitem",
+    "lim_previews": "SELECT doc_id, (i - 1)::INT AS word_index, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 20) + 1)) AS i FROM (SELECT doc_id, string_split(" + NORM.format("text").replace("lower(text)", "text") + ", ' ') AS w FROM documents))",
+    "str_nfkc": "SELECT * FROM (VALUES (1, 'file 1'), (2, 'ab c'), (3, chr(233)), (4, '1' || chr(8260) || '2 ' || chr(969)), (5, 'plain'), (6, ''), (7, chr(7785) || ' ' || chr(229))) AS v(k, normalized)",
+}
