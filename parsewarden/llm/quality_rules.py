@@ -12,7 +12,7 @@ of their id. Statistics and verdicts cover every row. All of it is DataFrame exp
 Defined results: a null text has no words, so it fails the base tests; labels of an id that disagree count as the
 lower; null labels are left out; without labels of both classes the list is empty and keeps what the base tests keep;
 repeated rows are each judged; an empty table gives an empty result; further columns of the input stay unless a name
-clashes with a statistic, which raises ValueError.
+clashes with a statistic or a verdict, which raises ValueError.
 """
 
 from __future__ import annotations
@@ -200,6 +200,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, label_
 
 def quality_rules(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 10_000, **how) -> tuple[DataFrame, list[list[Test]]]:
     """df with BASE, rule (number of the rule that rejects, 0 for none) and kept; and the rules."""
+    if clash := {"rule", "kept"} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} clash with those added")
     sample = labelled_sample(df.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")), labels, id_col, label_col, max_labelled)
     stats = with_statistics(sample, text).filter(~F.col("base_failed")).select("id_hash", "bad", *FEATURES)
     rules = learn_rules(stats, **how)

@@ -1,9 +1,9 @@
 """URL filters: rules indexed by their rarest literal token; the tokens of a URL fetch the rules worth trying.
 
 A rule is a host with a path (it fits the host and its subdomains, where the path of the URL starts with the rule's),
-or a pattern with the literal tokens that any match must contain. Each rule stands in the index under the one of its
-tokens that fewest rules have. A URL looks up its own tokens, and only the rules found there run their regular
-expression. Rules are taken in blocks of at most ``block`` rules, so what goes to the executors is bounded; later blocks
+or a pattern for the host or the path with the literal tokens that any match must contain. Host and path are always
+compared apart. Each rule stands in the index under the one of its tokens that fewest rules have. A URL looks up its own tokens, and only the rules found there run their regular
+expression, which is compiled when it first does. Rules are taken in blocks of at most ``block`` rules, so what goes to the executors is bounded; later blocks
 see the best rule so far. Everything happens row by row: no shuffle, whatever share of the rows one host has.
 
 Of the host rules that fit, the longest decides. Else a pattern that fits blocks, else the URL is allowed.
@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,9 @@ from parsewarden.llm.common import sliced, table
 
 ADDED = ("host", "path", "rule", "verdict", "pattern")
 UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TOKEN = re.compile(r"[^/?#.:@&=+\-_%~]+")
+#: Characters that part the tokens of a URL.
+SEPARATORS = r"/?#.:@&=+\-_%~"
+TOKEN = re.compile(rf"[^{SEPARATORS}]+")
 
 
 @dataclass(frozen=True)
@@ -48,18 +51,25 @@ class HostRule:
         whole = TOKEN.findall(self.path[: max(i + 1 for i in range(-1, len(self.path)) if i < 0 or not TOKEN.match(self.path[i]))])
         return TOKEN.findall(self.host) + whole
 
-    @property
-    def regex(self) -> str:
-        return rf"(?:.*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+    def fits(self, host: str, path: str) -> bool:
+        return (host == self.host or host.endswith(f".{self.host}")) and path.startswith(self.path)
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """regex is searched in host, a line feed, and path; tokens: literal tokens of every match."""
+    """regex is searched in the host, or the path; tokens: literal tokens of every match."""
 
     name: str
     regex: str
     tokens: tuple[str, ...]
+    where: str = "host"
+
+    @cached_property
+    def compiled(self) -> re.Pattern[str]:
+        return re.compile(self.regex, re.S)
+
+    def fits(self, host: str, path: str) -> bool:
+        return self.compiled.search(host if self.where == "host" else path) is not None
 
 
 #: Rules of the contract.
@@ -70,11 +80,14 @@ RULES = (
     HostRule("block", "net", "/es/"),
     HostRule("block", "net", "/fr/"),
 )
-#: For URLs that no such rule fits: hosts whose labels name spam.
-PATTERNS = (
-    Pattern("cheap-pills.", r"\A(?:[^\n]*\.)?cheap-pills\.", ("cheap", "pills")),
-    Pattern("spam-farm.", r"\A(?:[^\n]*\.)?spam-farm\.", ("spam", "farm")),
-)
+#: For URLs that no such rule fits: words that, as a whole token of the host, name gambling, pills, adult sites,
+#: advertising and tracking, or spam.
+HOST_WORDS = (
+    "casino", "casinos", "poker", "slots", "jackpot", "roulette", "bets", "betting", "sportsbook", "lottery", "pills", "viagra", "cialis", "tramadol", "xanax",
+    "adult", "porn", "porno", "xxx", "escort", "escorts", "hentai", "camgirls", "ads", "adserver", "adservice", "adtrack", "adclick", "doubleclick", "popunder",
+    "spam", "spamfarm", "linkfarm", "phishing", "malware", "warez", "keygen", "payday", "getrichquick",
+)
+PATTERNS = tuple(Pattern(w, rf"(?:\A|[{SEPARATORS}]){w}(?:[{SEPARATORS}]|\Z)", (w,)) for w in HOST_WORDS)
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -92,15 +105,14 @@ class RuleIndex:
 
     def __init__(self, rules: list[HostRule | Pattern]):
         often = Counter(t for r in rules for t in set(r.tokens))
-        self.by_token: dict[str, list[tuple[int, HostRule | Pattern, re.Pattern[str]]]] = {}
+        self.by_token: dict[str, list[tuple[int, HostRule | Pattern]]] = {}
         for i, r in enumerate(rules):
             rarest = min(set(r.tokens), key=lambda t: (often[t], t), default="")
-            self.by_token.setdefault(rarest, []).append((i, r, re.compile(r.regex, re.S)))
+            self.by_token.setdefault(rarest, []).append((i, r))
 
     def fitting(self, host: str, path: str) -> list[tuple[int, HostRule | Pattern]]:
-        joined = f"{host}\n{path}"
         tokens = {"", *TOKEN.findall(host), *TOKEN.findall(path)}
-        return [(i, r) for t in tokens if t in self.by_token for i, r, x in self.by_token[t] if (x.match(joined) if isinstance(r, HostRule) else x.search(joined))]
+        return [(i, r) for t in tokens if t in self.by_token for i, r in self.by_token[t] if r.fits(host, path)]
 
     def judge(self, host: str, path: str) -> tuple[str | None, str | None, str | None]:
         """Longest host rule with its action, and first pattern; each null if there is none."""
@@ -148,10 +160,12 @@ WITH u AS (
     regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '^$', '') AS path FROM u
 ), r(action, rhost, rpath) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), words AS (
+  SELECT unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT string_split('casino casinos poker slots jackpot roulette bets betting sportsbook lottery pills viagra cialis tramadol xanax adult porn porno xxx escort escorts hentai camgirls ads adserver adservice adtrack adclick doubleclick popunder spam spamfarm linkfarm phishing malware warez keygen payday getrichquick', ' ') AS w)
 ), m AS (
   SELECT page_id, host, path, (SELECT max({'n': length(rhost || rpath), 'rule': rhost || rpath, 'action': action}) FROM r
     WHERE (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath)) AS best,
-    CASE WHEN regexp_matches(host, '^(.*\.)?cheap-pills\.') THEN 'cheap-pills.' WHEN regexp_matches(host, '^(.*\.)?spam-farm\.') THEN 'spam-farm.' END AS pattern FROM p
+    (SELECT min_by(w, i) FROM words WHERE regexp_matches(host, '(?:^|[/?#.:@&=+\-_%~])' || w || '(?:[/?#.:@&=+\-_%~]|$)')) AS pattern FROM p
 )
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern FROM m
 """

@@ -7,7 +7,7 @@ not-modified answer may update (``PERMITTED``).
 
 The join is no join: both kinds of record are sorted by (URL, date, id) over range partitions, so records of one hot URL
 spread over many tasks. Within a partition a window finds the latest response; what a URL's earlier partitions hand on is
-a row for each URL that spans partitions (two for each partition at most), checked to be as few before it is broadcast.
+a row for each URL that spans partitions (two for each partition at most), broadcast if they are ``max_broadcast`` bytes at most, else joined.
 Payloads never move: records carry a digest and a length.
 
 Defined results: a revisit without URL, date, or any earlier response is ``orphan``; one whose validators disagree or are
@@ -37,6 +37,14 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
 
 
+def lower_names(headers: Column) -> Column:
+    """headers with lower-case names; of names that differ in case alone the last counts."""
+    every = F.map_entries(headers)
+    names = F.transform(every, lambda e: F.lower(e["key"]))
+    last = F.filter(every, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), F.lower(e["key"])))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
 def merged_headers(stored: Column, update: Column) -> Column:
     """stored, with the permitted ones of update in place of its own. Both: map of lower-case names."""
     own = F.map_filter(F.coalesce(update, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
@@ -44,13 +52,13 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(kept, own)
 
 
-def resolve_revisits(records: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+def resolve_revisits(records: DataFrame, max_broadcast: int = 32 << 20) -> DataFrame:
     """One row for each revisit.
 
-    records: record_id, kind (response or revisit), url, date, headers (map of lower-case names), digest, length.
+    records: record_id, kind (response or revisit), url, date, headers (map, names in any case), digest, length.
     Returns record_id, url_key, date, status, response_id, response_date, digest, length, headers.
     """
-    own = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url_key"), "date", "headers", "digest", "length")
+    own = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url_key"), "date", lower_names(F.col("headers")).alias("headers"), "digest", "length")
     lost = own.filter((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("date").isNull()))
     own = own.filter(F.col("url_key").isNotNull() & F.col("date").isNotNull() & F.col("kind").isin("response", "revisit"))
     order = ("date", "kind", "record_id")
@@ -61,7 +69,8 @@ def resolve_revisits(records: DataFrame, max_broadcast: int = 1_000_000) -> Data
     spans = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("carried", F.last("last", ignorenulls=True).over(spans)).filter(F.col("carried").isNotNull()).select("url_key", "part", "carried")
     carried = checkpointed(carried)
-    if carried.count() <= max_broadcast:
+    size = F.coalesce(F.sum(F.length(F.to_json(F.struct("url_key", "carried")))), F.lit(0))
+    if carried.agg(size).first()[0] <= max_broadcast:
         carried = F.broadcast(carried)
     within = Window.partitionBy("url_key", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = parts.withColumn("latest", F.last(response, ignorenulls=True).over(within)).filter(F.col("kind") == "revisit")
@@ -78,7 +87,7 @@ def resolve_revisits(records: DataFrame, max_broadcast: int = 1_000_000) -> Data
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A crawl of the pages: each is a response; two of three are visited again, under another spelling of the URL.
+    """A crawl of the pages: each is a response, and visited again under another spelling of the URL.
 
     Times are seconds. Every fifth later visit has another entity tag, every seventh none but a modification date, and
     every eleventh precedes its page, so that it finds an earlier page of that URL or none.
@@ -91,7 +100,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     full = F.struct(F.concat(F.lit("page-"), k.cast("string")).alias("record_id"), F.lit("response").alias("kind"), F.col("url").alias("url"), date.alias("date"), headers(content_type=F.lit("text/html"), etag=tag, last_modified=modified, cache_control=F.lit("max-age=60"), server=F.lit("one")).alias("headers"), F.sha2("html", 256).alias("digest"), F.length("html").cast("long").alias("length"))
     other = F.when(k % 5 == 0, F.lit('"other"')).when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("W/"), tag))
     again = F.struct(F.concat(F.lit("visit-"), k.cast("string")).alias("record_id"), F.lit("revisit").alias("kind"), F.concat("url", F.lit("#again")).alias("url"), (date + F.when(k % 11 == 0, -50).otherwise(50)).alias("date"), headers(etag=other, last_modified=modified, cache_control=F.lit("no-cache"), server=F.lit("two")).alias("headers"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("length"))
-    return pages.select(F.explode(F.when(k % 3 == 0, F.array(full)).otherwise(F.array(full, again))).alias("r")).select("r.*")
+    return pages.select(F.explode(F.array(full, again)).alias("r")).select("r.*")
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ WITH p AS (
     '"' || digest[1:16] || '"' AS tag, 'day ' || (page_id % 365) AS modified FROM k
 ), v AS (
   SELECT page_id, url_key, date + CASE WHEN page_id % 11 = 0 THEN -50 ELSE 50 END AS date, modified,
-    CASE WHEN page_id % 5 = 0 THEN '"other"' WHEN page_id % 7 = 0 THEN NULL ELSE 'W/' || tag END AS tag FROM r WHERE page_id % 3 <> 0
+    CASE WHEN page_id % 5 = 0 THEN '"other"' WHEN page_id % 7 = 0 THEN NULL ELSE 'W/' || tag END AS tag FROM r
 ), j AS (
   SELECT v.*, r.page_id AS rid, r.date AS rdate, r.digest, r.length, r.tag AS rtag, r.modified AS rmod
   FROM v ASOF LEFT JOIN r ON v.url_key = r.url_key AND v.date >= r.date

@@ -64,5 +64,16 @@ def test_no_python_on_the_main_path(spark):
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError):
         q.with_statistics(spark.createDataFrame([("a", 1)], "text string, n_words int"))
+    for name in ("rule", "kept"):
+        with pytest.raises(ValueError):
+            q.quality_rules(spark.createDataFrame([(1, "a", 1)], f"doc_id long, text string, {name} int"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     wide = spark.createDataFrame([("a b", 1)], "text string, quality int")
     assert q.with_statistics(wide).first()["quality"] == 1
+
+
+def test_query_over_whole_tables(spark, tmp_path):
+    docs, labels = labelled(spark)
+    d = cases.write(spark, tmp_path, documents=docs, labels=labels)
+    got = {r["doc_id"]: r for r in q.op1_quality_rules(spark, d).collect()}
+    assert {i: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for i, r in got.items()} == {r["doc_id"]: brute(r["text"]) for r in docs.collect()}
+    assert not any(r["kept"] and r["base_failed"] for r in got.values())
