@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 #: A word is a longest run of other characters than these six.
 WORD = r"[^\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For actions whose result is kept elsewhere at their end: Spark deletes their shuffle files then. Arrow batches are
+#: small, as whole texts can be long.
+EAGER = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -43,14 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Have Spark delete the shuffle files of each action within at its end: its result is kept elsewhere by then."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def eager(spark: SparkSession) -> Iterator[None]:
+    """Settings of the actions within, undone at the end: see EAGER."""
+    before = {name: spark.conf.get(name, None) for name in EAGER}
+    for name, value in EAGER.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    with shuffles_deleted(spark):
+    with eager(spark):
         # the setting is read where a DataFrame is made
         return df.select("*").checkpoint(eager=True)
 
@@ -71,7 +75,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """df, written to path as Parquet and read again."""
-    with shuffles_deleted(df.sparkSession):
+    with eager(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

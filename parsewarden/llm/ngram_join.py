@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, sliced, table, temporary, written
+from parsewarden.llm.common import checkpointed, eager, sliced, table, temporary, written
 from parsewarden.llm.components import components, merged_components
 from parsewarden.llm.shingles import shingle_sets
 
@@ -49,13 +49,20 @@ SHARED = "token long, gid long, n int, pos int, hub long, hub_n int, hub_pos int
 
 
 def summed_blocks(counts: DataFrame) -> dict[int, np.ndarray]:
-    """The sum of the arrays whose blocks (block int, data binary of int64) are the rows of counts; fixed in size."""
+    """The sum of the arrays whose blocks (block int, data binary of int64) are the rows of counts; fixed in size.
 
-    def add(batch: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("data")]
-        return pa.table({"block": batch.column("block")[:1], "data": pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())})
+    Blocks are added up as they come, so a task holds one of each.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.int64)
+                sums[k] = sums[k] + own if k in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
 
-    rows = counts.groupBy("block").applyInArrow(add, "block int, data binary").collect()
+    rows = counts.repartition("block").mapInArrow(add, "block int, data binary").collect()
     return {r["block"]: np.frombuffer(r["data"], np.int64) for r in rows}
 
 
@@ -73,8 +80,9 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
 
     cells = np.zeros((1 << CELL_BITS) // BLOCK_CELLS * BLOCK_CELLS, np.int64)
-    for block, data in summed_blocks(docs.select("text").mapInArrow(run, "block int, data binary")).items():
-        cells[block * BLOCK_CELLS : (block + 1) * BLOCK_CELLS] = data
+    with eager(docs.sparkSession):
+        for block, data in summed_blocks(docs.select("text").mapInArrow(run, "block int, data binary")).items():
+            cells[block * BLOCK_CELLS : (block + 1) * BLOCK_CELLS] = data
     return (16 * np.log2(cells + 1)).astype(np.uint16)
 
 

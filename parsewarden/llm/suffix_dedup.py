@@ -44,7 +44,7 @@ SLICE = 1 << 17
 #: Pieces of a longer text.
 PIECE = 1 << 22
 #: Contexts that go into one suffix array, besides the rest of a core's.
-ROWS_A_CALL = 20_000
+ROWS_A_CALL = 4_000
 
 
 def sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, shuffles_deleted, sliced, table, temporary
+from parsewarden.llm.common import checkpointed, eager, sliced, table, temporary
 from parsewarden.llm.pieces import by_bytes, text_tokens
 
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, ids array<int>"
@@ -67,7 +67,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
     writer = own.mapInArrow(run, SCHEMA).write.option("parquet.block.row.count.limit", row_group_rows).option("parquet.page.row.count.limit", page_rows)
     if encoding == "delta":
         writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2")
-    with shuffles_deleted(df.sparkSession):
+    with eager(df.sparkSession):
         writer.option("compression", "zstd").parquet(path)
 
 
