@@ -36,7 +36,7 @@ GAP = b"\xff" * LOOK_BACK
 BATCH_BYTES = 1 << 22
 #: A digest is hot if it holds more than one in so many repeated chunks; there are fewer than so many.
 HOT = 1000
-#: Of the query and the pipeline: a passage of 51 words loses the chunks at its edges, and what is left is often under 100.
+#: Shorter runs of repeated chunks stay, unless they are a whole text: chance repeats of a phrase, see README.
 MIN_RUN_BYTES = 50
 
 
@@ -131,7 +131,7 @@ def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max
     return own.mapInArrow(run, "__id long, __row long, s int, e int, digest binary")
 
 
-def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", bits: int = 5, min_bytes: int = 16, max_bytes: int = 256, min_run_bytes: int = 100) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", bits: int = 5, min_bytes: int = 16, max_bytes: int = 256, min_run_bytes: int = MIN_RUN_BYTES) -> DataFrame:
     """__id, __row and __spans (runs of repeated chunks, as byte offsets) of each row that has any."""
     every = chunks(df, text, id_col, bits, min_bytes, max_bytes)
     first = every.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n")).filter("first < last").select("digest", "first", "n")
@@ -153,10 +153,10 @@ def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", bi
 
 def chunk_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """df with the repeats cut out of its texts."""
-    return without_spans(df, repeated_spans(df, text, id_col, **{"min_run_bytes": MIN_RUN_BYTES, **how}), text, id_col, replace=True)
+    return without_spans(df, repeated_spans(df, text, id_col, **how), text, id_col, replace=True)
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_spans(docs, repeated_spans(docs, min_run_bytes=MIN_RUN_BYTES), "text", "doc_id")
+    return without_spans(docs, repeated_spans(docs), "text", "doc_id")

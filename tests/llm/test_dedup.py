@@ -12,7 +12,7 @@ from parsewarden.llm import ngram_join as nj
 from parsewarden.llm import suffix_dedup as sd
 from parsewarden.llm.common import checkpointed
 from parsewarden.llm.components import components
-from parsewarden.llm.spans import merged, without_spans
+from parsewarden.llm.spans import without_spans
 from parsewarden.llm.suffix_groups import suffix_array
 from tests.llm import cases
 
@@ -194,19 +194,54 @@ def test_chunks_resist_insertions():
         assert len(at) == len(digests) + 1 and max(np.diff(at)) <= 256 + 16
 
 
-def test_chunk_spans_match_brute_force(spark):
-    docs = [(i, t) for i, t in repeats(3) if t]
+def slow_chunks(data, bits=5, least=16, most=256):
+    """Ends of chunks by the definition: a rolling gear hash byte by byte, cuts at starts of characters."""
+    h, may = 0, set()
+    for i, x in enumerate(data):
+        h = (2 * h + int(cd.GEAR[x])) % (1 << 16)
+        if h >> (16 - bits) == 0:
+            k = i + 1
+            while k < len(data) and data[k] & 0xC0 == 0x80:
+                k += 1
+            may.add(k)
+    ends, last = [], 0
+    for cut in [*sorted(k for k in may if k < len(data)), len(data)]:
+        while cut - last > most:
+            k = last + most
+            while data[k] & 0xC0 == 0x80:
+                k -= 1
+            ends.append(k)
+            last = k
+        if cut - last >= least or cut == len(data):
+            if cut > last:
+                ends.append(cut)
+            last = cut
+    return ends
+
+
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_chunk_spans_match_brute_force(spark, monkeypatch, hot):
+    """Chunks, repeats and runs from their definitions; with hot digests looked up and with none."""
+    monkeypatch.setattr(cd, "HOT", hot)
+    docs = [(i, t) for i, t in repeats(3) if t] + [(500 + i, cases.words(5000, 60) + " " + cases.words(600 + i, 30)) for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    first, want = {}, {}
-    rows = list(cd.chunk_rows([t for _, t in docs], 5, 16, 256))
-    for k, _, digests in rows:
-        for d in digests:
-            first.setdefault(d, docs[k][0])
-    for k, at, digests in rows:
-        i = docs[k][0]
-        s = np.array([at[j] for j, d in enumerate(digests) if first[d] < i], np.int64)
-        e = np.array([at[j + 1] for j, d in enumerate(digests) if first[d] < i], np.int64)
-        runs = [(a, b) for a, b in zip(*(x.tolist() for x in merged(s, e)), strict=True) if b - a >= 100]
+    own, first = {}, {}
+    for i, t in docs:
+        data = t.encode()
+        ends = slow_chunks(data)
+        own[i] = [(a, b, data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for *_, piece in own[i]:
+            first[piece] = min(i, first.get(piece, i))
+    want = {}
+    for i, pieces in own.items():
+        runs = []
+        for a, b, piece in pieces:
+            if first[piece] < i:
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+        runs = [(a, b) for a, b in runs if b - a >= 50 or (a == 0 and b == pieces[-1][1])]
         if runs:
             want[i] = runs
     assert {r["__id"]: [tuple(x) for x in r["__spans"]] for r in cd.repeated_spans(df).collect()} == want
