@@ -8,7 +8,7 @@
    B = A'G, with a few random signs for each passage in G, spans what A's leading right singular vectors do; those of B
    stand for them. ``rank`` is fixed, and well below the number of items of a benchmark; items take no part in the fit, so
    words that stand together in the corpus come together in the space. A task's sketch is of fixed size.
-3. ``search``: windows of two neighbouring passages, and single passages, against all items by cosine in the latent space.
+3. ``search``: each passage, and each with the next, against all items by cosine in the latent space.
    An item longer than a window is looked for by its parts: overlapping stretches of at most a window. For each candidate
    whose surroundings hold enough of the item's words at all, the longest common subsequence of the whole item's words
    with the window, widened by the item's length on either side.
@@ -50,8 +50,10 @@ ROWS_A_BLOCK = 256
 SIGNS = 4
 #: Words of a task that are sketched at once.
 WORDS_AT_ONCE = 1 << 20
-#: Bits of an item's signature, which bounds the words that a stretch has in common with it.
+#: Bits of the bitmap of a stretch, which bounds the words that an item has in common with it.
 SIGNATURE = 2048
+#: Stretches whose bitmaps are held at once.
+STRETCHES = 4096
 #: Punctuation of ASCII, to white space. Words have their A-Z lower-cased where they are hashed, other letters before.
 PLAIN = bytes(32 if 33 <= i < 48 or 58 <= i < 65 or 91 <= i < 97 or 123 <= i < 127 else i for i in range(256))
 RESULT = "doc_id long, item_id long, cosine double, lcs int, n_item_words int, answer_found boolean"
@@ -66,7 +68,8 @@ class Settings:
     common: float = 0.002
     always: int = 20
     rarest: int = 8
-    cosine: float = 0.4
+    cosine: float = 0.45
+    lowest: float = 0.2
     strong: float = 0.7
     weak: float = 0.6
     answer_words: int = 5
@@ -175,8 +178,10 @@ def word_table(docs: DataFrame, half: int) -> DataFrame:
             for at, hashes, offsets in words_of(b.column(2)):
                 words = numbers_of(hashes)
                 first, of = passages(offsets, half)
-                pairs = np.unique(of * FEATURES + features_of(words))
-                seen[:, 0] += np.bincount(pairs & (FEATURES - 1), minlength=FEATURES)
+                # the passages of a batch are few enough for a number of 64 bits, mostly for one of 32, which sorts faster
+                pairs = (of << FEATURE_BITS) + features_of(words)
+                pairs = np.sort(pairs.astype(np.uint32) if first[-1] < 1 << (32 - FEATURE_BITS) else pairs)
+                seen[:, 0] += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] & (FEATURES - 1), minlength=FEATURES)
                 seen[0, 1] += first[-1]
                 rows = pa.array(at, pa.int64())
                 data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(words)])
@@ -269,46 +274,77 @@ class Searcher:
         norm = np.linalg.norm(image, axis=1, keepdims=True)
         self.image = (image / np.where(norm > 0, norm, 1)).T.astype(np.float32)
         # a short part is a small share of a window
-        self.least = np.array([min(s.cosine, 0.55 * np.sqrt(len(x) / (2 * s.half))) for _, x in items.parts], np.float32)
+        self.least = np.array([min(s.cosine, max(s.lowest, 0.77 * len(x) / (2 * s.half))) for _, x in items.parts], np.float32)
         self.sizes = np.array([len(x) for x in items.words])
-        self.signature = np.zeros((len(items.ids), SIGNATURE), bool)
-        for k, x in enumerate(items.words):
-            self.signature[k, np.array(x, np.int64) & (SIGNATURE - 1)] = True
+        self.weighty = latent.any(axis=1)
+        # the items' words, one item after another
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.bits = np.array([w & (SIGNATURE - 1) for x in items.words for w in x], np.int64)
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Text, first and last word of the window's surroundings, item and cosine of candidates, some windows at a time."""
         first, of = passages(offsets, self.s.half)
         feature = features_of(words)
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
-        vector = np.add.reduceat(self.latent[feature], begin, axis=0)
+        some = np.flatnonzero(self.weighty[feature])
+        if not len(some):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(of[some]) != 0]))
+        vector = np.zeros((first[-1], self.latent.shape[1]), np.float32)
+        vector[of[some][begin]] = np.add.reduceat(self.latent[feature[some]], begin, axis=0)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-        pair = np.flatnonzero(text[1:] == text[:-1])
-        vector = np.concatenate([vector, vector[pair] + vector[pair + 1]])
-        start, long = np.concatenate([np.arange(len(text)), pair]), np.concatenate([np.ones(len(text), np.int64), np.full(len(pair), 2)])
         norm = np.linalg.norm(vector, axis=1)
-        some = np.flatnonzero(norm > 0)
+        # of each passage with the next; the last of a text has none
+        two = np.zeros(len(text), np.float32)
+        two[:-1] = np.where(text[1:] == text[:-1], np.linalg.norm(vector[:-1] + vector[1:], axis=1), 0)
         rows = max(1, (1 << 22) // self.image.shape[1])
-        for k in range(0, len(some), rows):
-            own = some[k : k + rows]
-            cosine = (vector[own] / norm[own, None]) @ self.image
-            i, part = np.nonzero(cosine >= self.least)
+        for k in range(0, len(text), rows):
+            end = min(k + rows, len(text))
+            dot = vector[k : end + 1] @ self.image
+            one, both = dot[: end - k], dot[: end - k].copy()
+            both[: len(dot) - 1] += dot[1 : end - k + 1]
+            alone, paired = norm[k:end, None], two[k:end, None]
+            i, part = np.nonzero(((one >= self.least * alone) & (alone > 0)) | ((both >= self.least * paired) & (paired > 0)))
             if not len(i):
                 continue
-            c, item = cosine[i, part], self.of[part]
-            at, passages_ = own[i], long[own[i]]
-            t = text[start[at]]
-            lo = offsets[t] + (start[at] - first[t]) * self.s.half
-            n = self.sizes[item]
-            hi = np.minimum(offsets[t + 1], lo + passages_ * self.s.half + n)
-            lo = np.maximum(offsets[t], lo - n)
-            # of the words around the window at least so many must be words of the item
-            size = hi - lo
-            ends = np.cumsum(size)
-            place = np.repeat(lo - (ends - size), size) + np.arange(ends[-1])
-            hits = np.add.reduceat(self.signature[np.repeat(item, size), words[place] & np.uint32(SIGNATURE - 1)].astype(np.int32), ends - size)
-            enough = hits >= self.s.weak * n
+            c = np.maximum(one[i, part] / np.maximum(alone[i, 0], 1e-9), np.where(paired[i, 0] > 0, both[i, part] / np.maximum(paired[i, 0], 1e-9), 0))
+            item, at = self.of[part], k + i
+            t = text[at]
+            lo = offsets[t] + (at - first[t]) * self.s.half
+            hi = lo + 2 * self.s.half
+            around = lambda n, lo=lo, hi=hi, t=t: (np.maximum(offsets[t], lo - n), np.minimum(offsets[t + 1], hi + n))
+            # for the bound, items of like length share a stretch
+            enough = self.enough(words, *around(-(-self.sizes[item] // self.s.half) * self.s.half), item)
+            lo, hi = around(self.sizes[item])
             yield t[enough], lo[enough], hi[enough], item[enough], c[enough]
 
+    def enough(self, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether so many of the item's words stand between lo and hi at all that enough can be in common, in any order.
+
+        Words are looked up in a bitmap of each stretch, by some of their bits, so no stretch is ruled out wrongly.
+        """
+        out = np.zeros(len(lo), bool)
+        # windows of one stretch share its bitmap
+        key, of = np.unique(lo * (len(words) + 1) + hi, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(0, len(key) + STRETCHES, STRETCHES))
+        low = (words & np.uint32(SIGNATURE - 1)).astype(np.int64)
+        for k in range(0, len(key), STRETCHES):
+            a, b = np.divmod(key[k : k + STRETCHES], len(words) + 1)
+            size = b - a
+            ends = np.cumsum(size)
+            place = np.repeat(a - (ends - size), size) + np.arange(ends[-1])
+            bitmap = np.zeros((len(a), SIGNATURE), bool)
+            bitmap[np.repeat(np.arange(len(a)), size), low[place]] = True
+            own = order[edges[k // STRETCHES] : edges[k // STRETCHES + 1]]
+            for start in range(0, len(own), STRETCHES):
+                mine = own[start : start + STRETCHES]
+                n = self.sizes[item[mine]]
+                ends = np.cumsum(n)
+                bit = self.bits[np.repeat(self.at[item[mine]] - (ends - n), n) + np.arange(ends[-1])]
+                hits = np.add.reduceat(bitmap[np.repeat(of[mine] - k, n), bit].astype(np.int32), ends - n)
+                out[mine] = hits >= self.s.weak * n
+        return out
+
     def leaks(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, int, bool]]:
         """By text and item: cosine, common length and whether the answer is there, of its best window."""
         found: dict[tuple[int, int], tuple[float, int, bool]] = {}
