@@ -43,6 +43,8 @@ BLOCK_CELLS = 1024
 BITMAP_BITS = 24
 #: Pairs for which a text is copied once more.
 PAIRS_A_COPY = 1000
+#: Rows of classes and groups, and pairs with texts, for which one task more is taken than the session has cores.
+ROWS_A_TASK, TEXTS_A_TASK = 20_000, 1000
 #: 64-bit words of the parity bitmap of a set.
 PARITY_WORDS = 16
 SHARED = "token long, gid long, n int, pos int, hub long, hub_n int, hub_pos int, big boolean, doc_id long, hi long, lo long, bits array<long>"
@@ -183,24 +185,38 @@ def passes(n: str, pos: str, m: str, at: str):
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * (1 + F.least(n - pos - 1, m - at - 1)) >= 3 * (n + m))
 
 
+def few(df: DataFrame, rows: int, a_task: int) -> DataFrame:
+    """df in no more tasks than so many rows need: else each of the many small steps takes a task for each partition."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // a_task))
+
+
+def may_link(both, bits: str, other: str):
+    """Whether the parity bitmaps of two sets allow them to link, given the sum of their sizes; sets that link pass."""
+    unlike = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return F.coalesce(unlike <= both - 2 * F.floor((3 * both + 6) / 7), F.lit(True))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b: ids) whose texts link.
+    """The pairs (a, b: ids) whose texts link. pairs is stored already.
 
     Texts of ids in no pair are left out before the shuffle by a bitmap of 2^24 hashed ids: 2^18 rows at most, however
     many pairs there are, so it may be broadcast.
     """
-    words = 1 << (BITMAP_BITS - 6)
+    words, count = 1 << (BITMAP_BITS - 6), pairs.count()
+    own_few = lambda df: few(df, count, TEXTS_A_TASK)
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit("id").alias("h"))
     bitmap = ids.groupBy((F.col("h") % words).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(h div {words} as int)))").alias("bits"))
+    bitmap = few(bitmap, min(count, words), ROWS_A_TASK)
     own = docs.filter(F.col("doc_id").isNotNull()).withColumn("h", bit("doc_id"))
     own = own.join(F.broadcast(bitmap), (F.col("h") % words) == F.col("w")).filter(F.expr(f"(shiftright(bits, cast(h div {words} as int)) & 1L) = 1L")).select("doc_id", "text")
     # a hub that very many pairs have is dealt out: its text is copied once for each PAIRS_A_COPY of them
-    copies = checkpointed(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies")))
-    salted = pairs.join(copies, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies"))).drop("copies")
-    both = salted.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    right = own.join(copies, own["doc_id"] == copies["b"]).select("b", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    both = both.join(right, ["b", "salt"]).select("a", "b", "ta", "tb")
+    copies = checkpointed(few(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_COPY).alias("copies")), count, ROWS_A_TASK))
+    salted = few(pairs.join(copies, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies"))).drop("copies"), count, ROWS_A_TASK)
+    # both sides read texts by doc_id, so that exchange runs once
+    both = own_few(salted.join(own, F.col("a") == F.col("doc_id")).select("a", "b", "salt", F.col("text").alias("ta")))
+    right = own_few(own.join(copies, own["doc_id"] == copies["b"]).select("b", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")))
+    both = own_few(both.join(right, ["b", "salt"]).select("a", "b", "ta", "tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.uint64)
@@ -218,11 +234,11 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def labels_of(classes: DataFrame, found: DataFrame) -> DataFrame:
+def labels_of(classes: DataFrame, found: DataFrame, rows: int) -> DataFrame:
     """gid and label: the component of the classes of each group; null if they are in several."""
-    own = classes.join(found, classes["class_id"] == found["node"], "left").select("gid", F.coalesce("component", "class_id").alias("c"))
+    own = few(classes.join(found, classes["class_id"] == found["node"], "left").select("gid", F.coalesce("component", "class_id").alias("c")), rows, ROWS_A_TASK)
     label = F.when(F.min("c") == F.max("c"), F.min("c"))
-    return checkpointed(own.groupBy("gid").agg(label.alias("label")))
+    return checkpointed(few(own.groupBy("gid").agg(label.alias("label")), rows, ROWS_A_TASK))
 
 
 def differ(a: str, b: str):
@@ -279,34 +295,43 @@ def _link(docs: DataFrame, n: int, star_rounds: int, path: str) -> DataFrame:
     rows = every.filter("hub is null").select("doc_id", "n", "hi", "lo", "gid", "bits")
     shared = every.filter("hub is not null")
     classes = checkpointed(rows.filter("gid is not null").groupBy("n", "hi", "lo", "gid").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits")))
-    groups = checkpointed(classes.groupBy("gid").agg(F.min("class_id").alias("rep"), F.count("*").alias("size"), F.first("bits").alias("bits")))
-    rep = lambda gid, name: groups.select(F.col("gid").alias(gid), F.col("rep").alias(name))
+    count = classes.count()
+    slim = lambda df: few(df, count, ROWS_A_TASK)
+    classes = slim(classes)
+    groups = checkpointed(slim(classes.groupBy("gid").agg(F.min("class_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.min_by("bits", "class_id").alias("bits"))))
+
+    def between(pairs: DataFrame, gid: str, hub: str) -> DataFrame:
+        """Pairs (a, b) of the first classes of two groups, without those whose bitmaps tell that they don't link."""
+        x, y = (groups.select(F.col("gid").alias(g), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for g, c in ((gid, "a"), (hub, "b")))
+        both = slim(pairs.join(x, gid)).join(y, hub)
+        return slim(both.filter(may_link(F.col("na") + F.col("nb"), "bitsa", "bitsb")).select("a", "b"))
 
     met = checkpointed(shared.groupBy("gid", "hub").agg(F.count_if(passes("n", "pos", "hub_n", "hub_pos")).alias("c"), F.count_if(passes("n", "pos", "hub_n", "hub_pos") & ~F.col("big")).alias("alone"), F.bool_or("big").alias("big")))
+    met = few(met, met.count(), ROWS_A_TASK)
     best = met.filter("c > 0").groupBy("gid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     first = best.select("gid", "hub").union(met.filter("alone > 0").select("gid", "hub")).distinct()
-    pairs = first.join(rep("gid", "a"), "gid").join(rep("hub", "b"), "hub").select("a", "b")
-    inner = classes.join(groups.filter("size > 1"), "gid").filter("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))
-    links = checkpointed(verified(pairs.union(inner), docs, n))
+    inner = classes.alias("x").join(groups.filter("size > 1").alias("g"), "gid").filter("class_id <> rep").filter(may_link(2 * F.col("x.n"), "x.bits", "g.bits"))
+    pairs = between(slim(first), "gid", "hub").union(slim(inner.select(F.col("class_id").alias("a"), F.col("rep").alias("b"))))
+    links = checkpointed(verified(checkpointed(pairs), docs, n))
     found = checkpointed(components(links))
-    labels = labels_of(classes, found)
+    labels = labels_of(classes, found, count)
 
     # shingles of three groups or more, or of a group of several sets, that hold an open pair
     several = groups.filter("size > 1").select("gid")
     crowd = met.filter("big").select("gid", "hub").union(met.join(several, "gid", "left_semi").select("gid", "hub")).union(met.join(several.select(F.col("gid").alias("hub")), "hub", "left_semi").select("gid", "hub")).distinct()
     crowd = crowd.join(labels, "gid").join(labels.select(F.col("gid").alias("hub"), F.col("label").alias("hub_label")), "hub").filter(differ("label", "hub_label")).select("gid", "hub")
-    slim = shared.select("token", "gid", "n", "pos", "hub", "hub_n", "hub_pos")
-    tokens = slim.join(crowd, ["gid", "hub"], "left_semi").select("token").distinct()
+    index = shared.select("token", "gid", "n", "pos", "hub", "hub_n", "hub_pos")
+    tokens = index.join(crowd, ["gid", "hub"], "left_semi").select("token").distinct()
     both = F.array(F.struct("gid", "n", "pos"), F.struct(F.col("hub").alias("gid"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")))
-    members = written(slim.join(tokens, "token", "left_semi").select("token", F.explode(both).alias("x")).select("token", "x.*").distinct(), f"{path}/open")
+    members = written(index.join(tokens, "token", "left_semi").select("token", F.explode(both).alias("x")).select("token", "x.*").distinct(), f"{path}/open")
     for salt in range(star_rounds):
         stars = star_pairs(members.join(labels, "gid"), salt)
-        pairs = checkpointed(stars.join(rep("gid", "a"), "gid").join(rep("hub", "b"), "hub").select("a", "b"))
+        pairs = checkpointed(between(slim(stars), "gid", "hub"))
         if pairs.isEmpty():
             break
         links = checkpointed(verified(pairs, docs, n))
         found = checkpointed(merged_components(found, links))
-        labels = labels_of(classes, found)
+        labels = labels_of(classes, found, count)
 
     parity = groups.select("gid", F.when(F.col("size") == 1, F.col("bits")).alias("bits"))
     met = met_pairs(still_open(members, labels), parity)

@@ -79,6 +79,20 @@ def test_parity_bits_bound_the_difference():
         assert bits <= len(np.setxor1d(x, y))
 
 
+def test_texts_of_pairs_that_bitmaps_rule_out_stay(spark, monkeypatch):
+    rng = random.Random(3)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    # each shares two of its three passages with the next: half of all shingles of both
+    docs = [(i, " ".join(passages[(i + k) % 30] for k in range(3))) for i in range(30)]
+    docs += [(100 + i, docs[i][1] + " end") for i in range(3)]
+    compared, own = [], nj.verified
+    monkeypatch.setattr(nj, "verified", lambda pairs, *how: compared.append(pairs.count()) or own(pairs, *how))
+    out = nj.link(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i: i % 100 if i >= 100 else i for i, _ in docs}
+    assert sum(compared) == 3
+
+
+
 def test_connected_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)]
