@@ -318,7 +318,8 @@ def _link(docs: DataFrame, n: int, star_rounds: int, path: str) -> DataFrame:
 
     # shingles of three groups or more, or of a group of several sets, that hold an open pair
     several = groups.filter("size > 1").select("gid")
-    crowd = met.filter("big").select("gid", "hub").union(met.join(several, "gid", "left_semi").select("gid", "hub")).union(met.join(several.select(F.col("gid").alias("hub")), "hub", "left_semi").select("gid", "hub")).distinct()
+    crowd = met.filter("big").select("gid", "hub").union(met.join(several, "gid", "left_semi").select("gid", "hub")).union(met.join(several.select(F.col("gid").alias("hub")), "hub", "left_semi").select("gid", "hub"))
+    crowd = slim(slim(crowd).distinct())
     crowd = crowd.join(labels, "gid").join(labels.select(F.col("gid").alias("hub"), F.col("label").alias("hub_label")), "hub").filter(differ("label", "hub_label")).select("gid", "hub")
     index = shared.select("token", "gid", "n", "pos", "hub", "hub_n", "hub_pos")
     tokens = index.join(crowd, ["gid", "hub"], "left_semi").select("token").distinct()
@@ -330,22 +331,22 @@ def _link(docs: DataFrame, n: int, star_rounds: int, path: str) -> DataFrame:
         if pairs.isEmpty():
             break
         links = checkpointed(verified(pairs, docs, n))
-        found = checkpointed(merged_components(found, links))
+        found = checkpointed(slim(merged_components(found, links)))
         labels = labels_of(classes, found, count)
 
     parity = groups.select("gid", F.when(F.col("size") == 1, F.col("bits")).alias("bits"))
     met = met_pairs(still_open(members, labels), parity)
     side = lambda name: classes.select(F.col("gid").alias(f"gid{name}"), F.col("class_id").alias("b" if name else "a"))
-    pairs = met.join(side(""), "gid").join(side("_b"), "gid_b").select("a", "b")
+    pairs = slim(slim(slim(met).join(side(""), "gid")).join(side("_b"), "gid_b").select("a", "b"))
     # classes of one group whose pair with its first did not link
-    rest = classes.join(labels.filter("label is null"), "gid").select("gid", "class_id")
-    pairs = checkpointed(pairs.union(rest.select("gid", F.col("class_id").alias("a")).join(rest.select("gid", F.col("class_id").alias("b")), "gid").filter("a < b").select("a", "b")))
+    rest = slim(classes.join(labels.filter("label is null"), "gid").select("gid", "class_id"))
+    pairs = checkpointed(pairs.union(slim(rest.select("gid", F.col("class_id").alias("a")).join(rest.select("gid", F.col("class_id").alias("b")), "gid").filter("a < b").select("a", "b"))))
     if not pairs.isEmpty():
         found = merged_components(found, checkpointed(verified(pairs, docs, n)))
 
     out = rows.join(classes, (rows["n"] == classes["n"]) & (rows["hi"] == classes["hi"]) & (rows["lo"] == classes["lo"]), "left").select("doc_id", rows["n"].cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.join(found, out["class_id"] == found["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return checkpointed(out)
+    return checkpointed(slim(out))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

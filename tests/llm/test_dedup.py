@@ -92,6 +92,23 @@ def test_texts_of_pairs_that_bitmaps_rule_out_stay(spark, monkeypatch):
     assert sum(compared) == 3
 
 
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    cores, tasks, own = spark.sparkContext.defaultParallelism, [], nj.verified
+    monkeypatch.setattr(nj, "verified", lambda pairs, *how: tasks.append(pairs.rdd.getNumPartitions()) or own(pairs, *how))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = nj.link(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
+        assert [r["component_id"] for r in out.collect()] == [1, 1]
+        # three sources of pairs at most
+        assert out.rdd.getNumPartitions() <= cores and max(tasks) <= 3 * cores < 32
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 
 def test_connected_components(spark):
     r = random.Random(5)
