@@ -100,8 +100,9 @@ def test_few_rows_take_few_tasks(spark, monkeypatch):
     try:
         for k, v in held.items():
             spark.conf.set(k, v)
-        out = nj.link(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
-        assert [r["component_id"] for r in out.collect()] == [1, 1]
+        same = " ".join(f"w{i}" for i in range(40))
+        out = nj.link(spark.createDataFrame([(i, f"{same} {'x' * i}") for i in range(1, 9)], "doc_id long, text string"))
+        assert [r["component_id"] for r in out.collect()] == [1] * 8
         # three sources of pairs at most
         assert out.rdd.getNumPartitions() <= cores and max(tasks) <= 3 * cores < 32
     finally:
