@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsewarden.llm.common import checkpointed, eager, sliced, table, temporary, written
-from parsewarden.llm.components import components, merged_components
+from parsewarden.llm.components import components, few, merged_components
 from parsewarden.llm.shingles import shingle_sets
 
 CELL_BITS = 20
@@ -185,11 +185,6 @@ def passes(n: str, pos: str, m: str, at: str):
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * (1 + F.least(n - pos - 1, m - at - 1)) >= 3 * (n + m))
 
 
-def few(df: DataFrame, rows: int, a_task: int) -> DataFrame:
-    """df in no more tasks than so many rows need: else each of the many small steps takes a task for each partition."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // a_task))
-
-
 def may_link(both, bits: str, other: str):
     """Whether the parity bitmaps of two sets allow them to link, given the sum of their sizes; sets that link pass."""
     unlike = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
@@ -294,7 +289,9 @@ def _link(docs: DataFrame, n: int, star_rounds: int, path: str) -> DataFrame:
     every = shared_prefixes(docs, n, frequency_ranks(docs, n), f"{path}/all")
     rows = every.filter("hub is null").select("doc_id", "n", "hi", "lo", "gid", "bits")
     shared = every.filter("hub is not null")
-    classes = checkpointed(rows.filter("gid is not null").groupBy("n", "hi", "lo", "gid").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits")))
+    of_all = every.agg(F.count_if(F.expr("hub is null")).alias("rows"), F.count_if(F.expr("hub is not null")).alias("shared")).first()
+    classes = rows.filter("gid is not null").groupBy("n", "hi", "lo", "gid").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"))
+    classes = checkpointed(few(classes, of_all["rows"], ROWS_A_TASK))
     count = classes.count()
     slim = lambda df: few(df, count, ROWS_A_TASK)
     classes = slim(classes)
@@ -306,14 +303,15 @@ def _link(docs: DataFrame, n: int, star_rounds: int, path: str) -> DataFrame:
         both = slim(pairs.join(x, gid)).join(y, hub)
         return slim(both.filter(may_link(F.col("na") + F.col("nb"), "bitsa", "bitsb")).select("a", "b"))
 
-    met = checkpointed(shared.groupBy("gid", "hub").agg(F.count_if(passes("n", "pos", "hub_n", "hub_pos")).alias("c"), F.count_if(passes("n", "pos", "hub_n", "hub_pos") & ~F.col("big")).alias("alone"), F.bool_or("big").alias("big")))
+    met = shared.groupBy("gid", "hub").agg(F.count_if(passes("n", "pos", "hub_n", "hub_pos")).alias("c"), F.count_if(passes("n", "pos", "hub_n", "hub_pos") & ~F.col("big")).alias("alone"), F.bool_or("big").alias("big"))
+    met = checkpointed(few(met, of_all["shared"], ROWS_A_TASK))
     met = few(met, met.count(), ROWS_A_TASK)
     best = met.filter("c > 0").groupBy("gid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
     first = best.select("gid", "hub").union(met.filter("alone > 0").select("gid", "hub")).distinct()
     inner = classes.alias("x").join(groups.filter("size > 1").alias("g"), "gid").filter("class_id <> rep").filter(may_link(2 * F.col("x.n"), "x.bits", "g.bits"))
     pairs = between(slim(first), "gid", "hub").union(slim(inner.select(F.col("class_id").alias("a"), F.col("rep").alias("b"))))
     links = checkpointed(verified(checkpointed(pairs), docs, n))
-    found = checkpointed(components(links))
+    found = checkpointed(components(links, rows=links.count()))
     labels = labels_of(classes, found, count)
 
     # shingles of three groups or more, or of a group of several sets, that hold an open pair
@@ -324,7 +322,8 @@ def _link(docs: DataFrame, n: int, star_rounds: int, path: str) -> DataFrame:
     index = shared.select("token", "gid", "n", "pos", "hub", "hub_n", "hub_pos")
     tokens = index.join(crowd, ["gid", "hub"], "left_semi").select("token").distinct()
     both = F.array(F.struct("gid", "n", "pos"), F.struct(F.col("hub").alias("gid"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")))
-    members = written(index.join(tokens, "token", "left_semi").select("token", F.explode(both).alias("x")).select("token", "x.*").distinct(), f"{path}/open")
+    members = index.join(tokens, "token", "left_semi").select("token", F.explode(both).alias("x")).select("token", "x.*").distinct()
+    members = written(few(members, of_all["shared"], ROWS_A_TASK), f"{path}/open")
     for salt in range(star_rounds):
         stars = star_pairs(members.join(labels, "gid"), salt)
         pairs = checkpointed(between(slim(stars), "gid", "hub"))

@@ -110,6 +110,25 @@ def test_few_rows_take_few_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_few_edges_take_few_tasks_in_every_round(spark, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    cores, tasks, own = spark.sparkContext.defaultParallelism, [], nj.checkpointed
+    counted = lambda df: tasks.append(df.rdd.getNumPartitions()) or own(df)
+    monkeypatch.setattr("parsewarden.llm.components.checkpointed", counted)
+    monkeypatch.setattr(nj, "checkpointed", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        same = " ".join(f"w{i}" for i in range(40))
+        out = nj.link(spark.createDataFrame([(i, f"{same} {'x' * i}") for i in range(1, 9)], "doc_id long, text string"))
+        assert [r["component_id"] for r in out.collect()] == [1] * 8
+        # a checkpoint writes a file for each task; pairs of the first round come from three sources
+        assert len(tasks) > 8 and max(tasks) <= 3 * cores < 32
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
 def test_connected_components(spark):
     r = random.Random(5)
