@@ -7,8 +7,8 @@ comes from four shifts and additions of whole arrays.
 
 A chunk is a repeat if a document of smaller id has one of the same 128-bit digest. The smallest id of each digest comes
 from one aggregation that combines before its shuffle, so a chunk that a third of all documents share costs a row for
-each task. On the way back each of the fewer than ``HOT`` digests that hold more than one in ``HOT`` of all repeated chunks
-is looked up in a broadcast table, so that its rows don't meet in one task; the others are joined. Runs of repeats of at
+each task. On the way back the fewer than ``HOT`` digests that hold more than one in ``HOT`` of all repeated chunks are looked
+up where texts are cut again: their chunks don't meet in one task, and neighbours that repeat make one row; the others are joined. Runs of repeats of at
 least ``min_run_bytes`` are removed, so chance repeats of a phrase stay, and documents of nothing but repeats, however short.
 
 Defined results: a null text counts as empty; rows without id are never cut and never cut others; rows of one id never
@@ -113,17 +113,42 @@ def chunk_rows(texts: list[str | None], bits: int, min_bytes: int, max_bytes: in
         yield from flush()
 
 
-def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max_bytes: int) -> DataFrame:
-    """A row for each chunk: __id, __row, s, e (byte offsets; the end of a text is -e), digest."""
+def settled_runs(starts: list[int], ends: list[int], digests: list[bytes], id_: int, settled: dict[bytes, int]) -> tuple[list[int], list[int], list[bytes | None]]:
+    """The chunks of a text without those of settled digests; runs of those that a smaller id has are a row without digest."""
+    if settled.keys().isdisjoint(digests):
+        return starts, ends, digests
+    s, e, left = [], [], []
+    for start, end, d in zip(starts, ends, digests, strict=True):
+        first = settled.get(d)
+        if first is not None and first >= id_:
+            continue
+        if first is not None and left and left[-1] is None and e[-1] == start:
+            e[-1] = end
+            continue
+        s.append(start)
+        e.append(end)
+        left.append(d if first is None else None)
+    return s, e, left
+
+
+def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max_bytes: int, settled: dict[bytes, int] | None = None) -> DataFrame:
+    """A row for each chunk: __id, __row, s, e (byte offsets; the end of a text is -e), digest.
+
+    settled: smallest ids of some digests; see ``settled_runs`` for their chunks.
+    """
     own = df.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("__id"), row_key(text).alias("__row"), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             of, starts, ends, digests = [], [], [], []
+            ids = b.column(0).to_pylist()
             for i, at, own in chunk_rows(b.column(2).to_pylist(), bits, min_bytes, max_bytes):
+                s, e = at[:-1], [*at[1:-1], -at[-1]]
+                if settled:
+                    s, e, own = settled_runs(s, e, own, ids[i], settled)
                 of += [i] * len(own)
-                starts += at[:-1]
-                ends += [*at[1:-1], -at[-1]]
+                starts += s
+                ends += e
                 digests += own
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], names=["__id", "__row", "s", "e", "digest"])
@@ -137,10 +162,10 @@ def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", bi
     first = every.groupBy("digest").agg(F.min("__id").alias("first"), F.max("__id").alias("last"), F.count("*").alias("n")).filter("first < last").select("digest", "first", "n")
     first = checkpointed(first)
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = first.filter(F.col("n") * HOT > total)
-    looked_up = every.join(F.broadcast(hot.select("digest", F.col("first").alias("hot"))), "digest", "left")
-    own = looked_up.filter("hot is null").join(first.filter(F.col("n") * HOT <= total), "digest").filter("first < __id")
-    again = own.select("__id", "__row", "s", "e").union(looked_up.filter("hot < __id").select("__id", "__row", "s", "e"))
+    hot = {bytes(r["digest"]): r["first"] for r in first.filter(F.col("n") * HOT > total).select("digest", "first").collect()}
+    every = chunks(df, text, id_col, bits, min_bytes, max_bytes, hot)
+    own = every.filter("digest is not null").join(first.filter(F.col("n") * HOT <= total), "digest").filter("first < __id")
+    again = own.select("__id", "__row", "s", "e").union(every.filter("digest is null").select("__id", "__row", "s", "e"))
     own = again.groupBy("__id", "__row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("c"))
     c = F.col("c")
     # a run begins where no repeat ends, and ends where the last repeat before the next beginning does

@@ -328,3 +328,18 @@ def test_every_string_has_an_anchor_where_hashes_begin_with_zeros(monkeypatch):
     for k, t in enumerate(texts):
         for i in range(begin[k], begin[k] + len(t) - 49):
             assert ((places >= i) & (places <= i + 50 - sd.GRAM)).any()
+
+
+def test_neighbours_of_hot_chunks_make_one_row(spark, monkeypatch):
+    same, own = cases.words(1, 200), [cases.words(k, 40) for k in range(2, 32)]
+    df = spark.createDataFrame([(i, f"{x}\n{same}\n{x[::-1]}") for i, x in enumerate(own)], "doc_id long, text string")
+    how = {"bits": 5, "min_bytes": 16, "max_bytes": 256}
+    counts = []
+    chunks = cd.chunks
+    monkeypatch.setattr(cd, "chunks", lambda *a: counts.append(chunks(*a)) or counts[-1])
+    found = cd.repeated_spans(df, "text", "doc_id", **how)
+    assert sorted((r["__id"], len(r["__spans"])) for r in found.collect()) == [(i, 1) for i in range(1, 30)]
+    # chunks of the common stretch: one row for each text on the way back, not one for each chunk
+    assert counts[-1].filter("digest is null").count() == 29
+    rows = counts[0].groupBy("digest").count().filter("count > 1").agg({"count": "sum"}).first()[0]
+    assert rows > 10 * 29 and counts[0].count() - counts[-1].count() == rows - 29
