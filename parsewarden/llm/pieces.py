@@ -6,6 +6,9 @@ behind an ASCII letter is one too; where it can't be told, whole texts are encod
 
 Pieces are told apart by their bytes, by Arrow's dictionary encoding and a table of bytes: no hash decides. What a worker
 remembers is bounded: beyond ``most`` pieces, or as many times 16 bytes, it starts anew.
+
+New pieces go to the library ``TOGETHER`` in a text, apart by a mark of one id, as a text of its own costs more than its tokens. A
+text in which that id stands more often than the mark was put there is encoded again piece by piece, so this is exact.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from parsewarden.llm.shingles import SPACE
 THREADS = 2
 #: Bytes of pieces that go to the library in one call.
 BYTES_A_CALL = 1 << 20
+#: Pieces that make one text, and what stands between them.
+TOGETHER = 256
+MARK = "\x7f"
 LETTER = np.array([i < 128 and chr(i).isalpha() for i in range(256)])
 STOP = np.isin(np.arange(256), [44, 46])
 #: Patterns of words whose matches hold no white space, and none a letter next to a stop or comma.
@@ -105,10 +111,14 @@ def flat_ids(encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceTable:
-    """Numbers of the pieces that a worker has met, and their ids. encode: ids of each of a list of texts."""
+    """Numbers of the pieces that a worker has met, and their ids.
+
+    encode: ids of each of a list of texts; encode_flat: those of a list of pieces as flat_ids gives them, if there is a faster way.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1 << 20, encode_flat: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None):
         self.encode, self.most = encode, most
+        self.encode_flat = encode_flat or (lambda texts: flat_ids(encode(texts)))
         self.clear()
 
     def clear(self) -> None:
@@ -122,7 +132,7 @@ class PieceTable:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         # calls hold pieces of like length, so that threads get equal work
         order = np.argsort(lengths, kind="stable")
-        parts = [flat_ids(self.encode([pieces[k].decode() for k in order[i:j]])) for i, j in by_bytes(lengths[order], BYTES_A_CALL)]
+        parts = [self.encode_flat([pieces[k].decode() for k in order[i:j]]) for i, j in by_bytes(lengths[order], BYTES_A_CALL)]
         n = np.concatenate([p[1] for p in parts])
         starts = len(self.flat) + np.cumsum(n) - n
         base = len(self.sizes)
@@ -166,7 +176,22 @@ class TextTokens:
     def __init__(self, tok, most: int = 1 << 20):
         self.encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
         self.cut = boundaries(tok)
-        self.table = PieceTable(self.encode, most)
+        mark, unknown = self.encode([MARK, "\ue000"])
+        self.mark = mark[0] if len(mark) == 1 and mark != unknown else None
+        self.table = PieceTable(self.encode, most, self._together if self.mark is not None else None)
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """flat_ids of pieces, TOGETHER of them in a text."""
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        parts = []
+        for own, found in zip(groups, self.encode([f" {MARK} ".join(g) for g in groups]), strict=True):
+            ids = np.array(found, np.int32)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(own) - 1:
+                parts.append((np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1))
+            else:
+                parts.append(flat_ids(self.encode(own)))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and offsets of the texts among them."""

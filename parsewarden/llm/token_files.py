@@ -9,8 +9,8 @@ files, so a lost executor leaves no partial file behind. Layout of a file:
 - row groups of ``row_group_rows`` rows at most, pages of ``page_rows`` rows at most, each with column and offset index,
   so that a reader skips to the pages of an id range.
 
-Reading back, the start of each document comes from the sums of its files (a row for each file) and a running sum within
-each file, from the metadata columns alone.
+Reading back, the start of each document comes from the sums of its files (a row for each file), from the metadata column
+alone, and a running sum within each file of what was read.
 
 Where the tokenizer drops white space, each worker encodes a distinct piece once and puts the ids of texts together again
 (``pieces``); whether it does is told from the tokenizer itself, and others get whole texts.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, eager, sliced, table, temporary
+from parsewarden.llm.common import checkpointed, eager, give_back, sliced, table, temporary
 from parsewarden.llm.pieces import by_bytes, text_tokens
 
 SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, ids array<int>"
@@ -58,6 +58,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
                 ids, at = with_end(*tokens.ids(texts[start:end]), end_id)
                 crc = np.fromiter((crc32_of(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)), np.int64, end - start)
                 yield pa.RecordBatch.from_arrays([b.column(0)[start:end], pa.array(np.diff(at)), pa.array(crc), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "n_tokens", "ids_crc32", "ids"])
+        give_back()
 
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is dictionary or delta")
@@ -93,14 +94,17 @@ def verified(df: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, file string, at long")
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """rows (file, at, n_tokens) with start, the ids of all rows before. Sums by file go through one task: a row a file."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("__sum"))
+def with_starts(rows: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """rows (file, at, n_tokens) with start, the ids of all rows before. Sums by file go through one task: a row a file.
+
+    meta: the same file and n_tokens from elsewhere, if reading rows twice is dear.
+    """
+    files = (rows if meta is None else meta).groupBy("file").agg(F.sum("n_tokens").alias("__sum"))
     number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
     before = F.coalesce(F.sum("__sum").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", before.alias("__before"))
     own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__own", own).join(files, "file").withColumn("start", F.col("__before") + F.col("__own")).drop("__before", "__own")
+    return rows.withColumn("__own", own).join(F.broadcast(files), "file").withColumn("start", F.col("__before") + F.col("__own")).drop("__before", "__own")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +112,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with temporary(spark, "tokens") as path:
         write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-        meta = spark.read.schema(SCHEMA).parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-        starts = with_starts(meta).select("file", "at", "start")
-        return checkpointed(verified(read_tokens(spark, path)).join(starts, ["file", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32"))
+        meta = spark.read.schema(SCHEMA).parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("file"))
+        return checkpointed(with_starts(verified(read_tokens(spark, path)), meta).select("doc_id", "start", "n_tokens", "ids_crc32"))

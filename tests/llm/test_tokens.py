@@ -133,6 +133,19 @@ def test_piece_table_gives_the_ids_of_whole_texts():
         assert own.counts([t.encode() for t in texts]).tolist() == n.tolist()
 
 
+def test_pieces_go_to_the_library_many_in_a_text(monkeypatch):
+    own = pieces.TextTokens(pieces.load_tokenizer(PATH))
+    calls, encode = [], own.encode
+    own.encode = lambda texts: calls.append(len(texts)) or encode(texts)
+    own.table.encode = own.encode
+    # the mark is a piece, a part of one, and part of a long one; then pieces without it
+    for texts in (["a \x7f b", "x\x7fy it's \x7f\x7f.", cases.words(4, 400)], [cases.words(5, 2000), "́e <|endoftext|> Σ ½"]):
+        calls.clear()
+        ids, n = own.ids([t.encode() for t in texts])
+        assert ids.tolist() == [i for x in ids_of(texts) for i in x] and n.tolist() == [len(x) for x in ids_of(texts)]
+    assert 0 < sum(calls) <= 2000 // pieces.TOGETHER + 1
+
+
 def test_many_rows_of_one_id_spread_over_files(spark, tmp_path):
     df = spark.range(4000).selectExpr("if(id < 3000, null, 7) as doc_id", "concat('word ', id) as text")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
