@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,13 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], reach[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(starts) - 1]])]
 
 
+def unnested(lists: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Of a column of lists of structs the row that each struct stands in, and those of its fields, as longs."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return np.repeat(np.arange(len(lists)), counts), *[pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names]
+
+
 def without_spans(df: DataFrame, spans: DataFrame, text: str, id_col: str, replace: bool = False) -> DataFrame:
     """Cut spans out of the texts of df.
 
@@ -47,16 +55,20 @@ def without_spans(df: DataFrame, spans: DataFrame, text: str, id_col: str, repla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            texts, cuts = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
+            texts = b.column(len(keep)).cast(pa.binary()).to_pylist()
             numbers, hashes, left = [], [], b.column(at).to_pylist() if replace else []
-            for i, (t, c) in enumerate(zip(texts, cuts, strict=True)):
-                data = t.encode()
-                s, e = merged(*(np.array([x[k] for x in c or ()], np.int64) for k in ("s", "e")))
-                kept = b"".join(data[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(data)], strict=True))
+            # spans of all rows at once: the row is the upper half of a place, so those of different rows never touch
+            of, s, e = unnested(b.column(len(keep) + 1), "s", "e")
+            s, e = merged(of << 32 | s, of << 32 | e)
+            edge = np.searchsorted(s >> 32, np.arange(b.num_rows + 1)).tolist()
+            s, e = (s & 0xFFFFFFFF).tolist(), (e & 0xFFFFFFFF).tolist()
+            for i, data in enumerate(texts):
+                j, k = edge[i], edge[i + 1]
+                kept = b"".join([data[x:y] for x, y in zip([0, *e[j:k]], [*s[j:k], len(data)], strict=True)]) if j < k else data
                 if not replace:
-                    numbers.append((len(data), len(data) - len(kept), len(s)))
+                    numbers.append((len(data), len(data) - len(kept), k - j))
                     hashes.append(hashlib.sha256(kept).hexdigest())
-                elif len(s):
+                elif j < k:
                     left[i] = kept.decode(errors="ignore")
             if replace:
                 columns = [*b.columns[:at], pa.array(left, pa.string()), *b.columns[at + 1 : len(keep)]]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from parsewarden.llm.common import checkpointed, row_key, sliced, table, temporary, written
 from parsewarden.llm.shingles import BYTE_VALUE, mix, powers
-from parsewarden.llm.spans import merged, without_spans
+from parsewarden.llm.spans import merged, unnested, without_spans
 from parsewarden.llm.suffix_groups import suffix_array
 
 GRAM = 20
@@ -240,22 +240,22 @@ def contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            texts, spans = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()
-            of, core, starts, ats, parts = [], [], [], [], []
-            for i, (t, own) in enumerate(zip(texts, spans, strict=True)):
-                for x in own:
-                    s, e, a = x["s"], x["e"], x["s"] + x["at"]
-                    # strings with half of the rest or more before the anchor, then those with less
-                    for c, lo, hi in ((a - half, s, min(e, a + GRAM + rest)), (a, max(s, a - half + 1), e)):
-                        end = c + GRAM + (half if c < a else rest + 1)
-                        if c >= s and end <= e and hi - lo >= length:
-                            of.append(i)
-                            core.append(t[c:end])
-                            starts.append(lo)
-                            ats.append(c - lo)
-                            parts.append(t[lo:hi])
+            texts = b.column(2).cast(pa.binary()).to_pylist()
+            of, s, e, at = unnested(b.column(3), "s", "e", "at")
+            a = s + at
+            # strings with half of the rest or more before the anchor, then those with less
+            of, s, e = np.tile(of, 2), np.tile(s, 2), np.tile(e, 2)
+            c, end = np.concatenate([a - half, a]), np.concatenate([a + GRAM, a + GRAM + rest + 1])
+            lo, hi = s.copy(), e.copy()
+            hi[: len(a)] = np.minimum(hi[: len(a)], a + GRAM + rest)
+            lo[len(a) :] = np.maximum(lo[len(a) :], a - half + 1)
+            has = (c >= s) & (end <= e) & (hi - lo >= length)
+            of, c, end, lo, hi = of[has], c[has], end[has], lo[has], hi[has]
+            own = of.tolist()
+            core = [texts[i][x:y] for i, x, y in zip(own, c.tolist(), end.tolist(), strict=True)]
+            parts = [texts[i][x:y] for i, x, y in zip(own, lo.tolist(), hi.tolist(), strict=True)]
             rows = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(core, pa.binary()), b.column(0).take(rows), b.column(1).take(rows), pa.array(starts, pa.int32()), pa.array(ats, pa.int32()), pa.array(parts, pa.binary())], names=[x.split()[0] for x in CORES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.binary()), b.column(0).take(rows), b.column(1).take(rows), pa.array(lo.astype(np.int32)), pa.array((c - lo).astype(np.int32)), pa.array(parts, pa.binary())], names=[x.split()[0] for x in CORES.split(", ")])
 
     grouped = open_.groupBy("id", "row").agg(F.collect_set(F.struct("s", "e", "at")).alias("spans"))
     return docs.join(grouped, ["id", "row"]).select("id", "row", "t", "spans").mapInArrow(run, CORES)

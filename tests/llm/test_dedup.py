@@ -343,3 +343,19 @@ def test_neighbours_of_hot_chunks_make_one_row(spark, monkeypatch):
     assert counts[-1].filter("digest is null").count() == 29
     rows = counts[0].groupBy("digest").count().filter("count > 1").agg({"count": "sum"}).first()[0]
     assert rows > 10 * 29 and counts[0].count() - counts[-1].count() == rows - 29
+
+
+def test_spans_of_a_batch_are_merged_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from parsewarden.llm import spans
+
+    lists = pa.array([None, [{"s": 0, "e": 2}], [], [{"s": 5, "e": 9}, {"s": 1, "e": 5}]], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+    assert [x.tolist() for x in spans.unnested(lists, "s", "e")] == [[1, 3, 3], [0, 5, 1], [2, 9, 5]]
+    assert [x.tolist() for x in spans.unnested(lists[2:], "e", "s")] == [[1, 1], [9, 5], [5, 1]]
+    # a span up to the end of one row, and one from the beginning of the next, are two
+    df = spark.createDataFrame([(i, "0123456789") for i in range(4)], "doc_id long, text string").coalesce(1)
+    cuts = [(0, [(5, 10), (0, 2)]), (1, [(0, 3), (2, 5), (5, 6)]), (3, [(9, 10)])]
+    found = spark.createDataFrame(cuts, "__id long, __spans array<struct<s:int,e:int>>").withColumn("__row", spans.row_key(spans.F.lit("0123456789")))
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in without_spans(df, found, "text", "doc_id").collect()} == {0: (7, 2), 1: (6, 1), 2: (0, 0), 3: (1, 1)}
+    assert {r["doc_id"]: r["text"] for r in without_spans(df, found, "text", "doc_id", replace=True).collect()} == {0: "234", 1: "6789", 2: "0123456789", 3: "012345678"}
