@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, row_key, sliced, table
+from parsewarden.llm.common import checkpointed, handing_back, row_key, sliced, table
 from parsewarden.llm.spans import without_spans
 
 #: Bytes that the hash looks back on; it has as many bits.
@@ -153,7 +153,7 @@ def chunks(df: DataFrame, text: str, id_col: str, bits: int, min_bytes: int, max
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], names=["__id", "__row", "s", "e", "digest"])
 
-    return own.mapInArrow(run, "__id long, __row long, s int, e int, digest binary")
+    return own.mapInArrow(handing_back(run), "__id long, __row long, s int, e int, digest binary")
 
 
 def repeated_spans(df: DataFrame, text: str = "text", id_col: str = "doc_id", bits: int = 5, min_bytes: int = 16, max_bytes: int = 256, min_run_bytes: int = MIN_RUN_BYTES) -> DataFrame:

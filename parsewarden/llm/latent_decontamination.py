@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, row_key, sliced, table, temporary, written
+from parsewarden.llm.common import checkpointed, handing_back, row_key, sliced, table, temporary, written
 from parsewarden.llm.pieces import by_bytes
 from parsewarden.llm.shingles import SLICE, mix, word_hashes
 
@@ -190,7 +190,7 @@ def word_table(docs: DataFrame, half: int) -> DataFrame:
         none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(data, pa.binary())], names=WORD_NAMES)
 
-    return docs.mapInArrow(run, WORDS)
+    return docs.mapInArrow(handing_back(run), WORDS)
 
 
 WORD_NAMES = [x.split()[0] for x in WORDS.split(", ")]
@@ -247,7 +247,7 @@ def fit(table_: DataFrame, weight: np.ndarray, s: Settings) -> np.ndarray:
         used, data = blocks_of(total.reshape(FEATURES, s.width))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(data, pa.binary())], names=["block", "data"])
 
-    sketch = summed_rows(table_.filter("block is null").select("words").mapInArrow(run, "block int, data binary"), np.float32, s.width).astype(np.float64)
+    sketch = summed_rows(table_.filter("block is null").select("words").mapInArrow(handing_back(run), "block int, data binary"), np.float32, s.width).astype(np.float64)
     value, vector = np.linalg.eigh(sketch.T @ sketch)
     order = [k for k in np.argsort(-value)[: s.rank] if value[k] > 1e-9 * max(1e-30, value.max())]
     return (sketch @ (vector[:, order] / np.sqrt(value[order])) * weight[:, None]).astype(np.float32)
@@ -375,7 +375,7 @@ def search(table_: DataFrame, items: Items, latent: np.ndarray, s: Settings) ->
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([own.ids[x[1]] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int32()), pa.array([len(own.words[x[1]]) for x in out], pa.int32()), pa.array([x[4] for x in out], pa.bool_())], names=["doc_id", "__row", "item_id", "cosine", "lcs", "n_item_words", "answer_found"])
 
-    return table_.filter("block is null").select("doc_id", "__row", "words").mapInArrow(run, FOUND)
+    return table_.filter("block is null").select("doc_id", "__row", "words").mapInArrow(handing_back(run), FOUND)
 
 
 FOUND = RESULT.replace("item_id", "__row long, item_id", 1)

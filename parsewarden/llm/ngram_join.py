@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewarden.llm.common import checkpointed, eager, sliced, table, temporary, written
+from parsewarden.llm.common import checkpointed, eager, handing_back, sliced, table, temporary, written
 from parsewarden.llm.components import components, few, merged_components
 from parsewarden.llm.shingles import shingle_sets
 
@@ -83,7 +83,7 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
 
     cells = np.zeros((1 << CELL_BITS) // BLOCK_CELLS * BLOCK_CELLS, np.int64)
     with eager(docs.sparkSession):
-        for block, data in summed_blocks(docs.select("text").mapInArrow(run, "block int, data binary")).items():
+        for block, data in summed_blocks(docs.select("text").mapInArrow(handing_back(run), "block int, data binary")).items():
             cells[block * BLOCK_CELLS : (block + 1) * BLOCK_CELLS] = data
     return (16 * np.log2(cells + 1)).astype(np.uint16)
 
@@ -169,8 +169,8 @@ def shared_prefixes(docs: DataFrame, n: int, ranks: np.ndarray, path: str) -> Da
                 none = pa.nulls(len(other), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(token[other]), pa.array(gid[other]), pa.array((at[other] >> 32).astype(np.int32)), pa.array((at[other] & (2**31 - 1)).astype(np.int32)), pa.array(h), pa.array(n_.astype(np.int32)), pa.array(p_.astype(np.int32)), pa.array(big[run[other]]), none, none, none, pa.nulls(len(other), pa.list_(pa.int64()))], names=NAMES)
 
-    own = docs.mapInArrow(emit, ", ".join(f"{k} {t}" for k, t in INDEXED.items()))
-    every = written(own.repartition("token").sortWithinPartitions("token").mapInArrow(meet, SHARED), path)
+    own = docs.mapInArrow(handing_back(emit), ", ".join(f"{k} {t}" for k, t in INDEXED.items()))
+    every = written(own.repartition("token").sortWithinPartitions("token").mapInArrow(handing_back(meet), SHARED), path)
     sent.destroy()
     return every
 
@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
                 keep[i] = both > 0 and 7 * both >= 3 * (len(x) + len(y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(handing_back(run), "a long, b long")
 
 
 def labels_of(classes: DataFrame, found: DataFrame, rows: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parsewarden.llm.common import give_back, sliced, table
+from parsewarden.llm.common import handing_back, sliced, table
 from parsewarden.llm.pieces import PieceTable, by_bytes, flat_ids, library
 from parsewarden.llm.token_files import crc32_of
 
@@ -289,9 +289,10 @@ def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", keep:
                 decoded = c.decode(ids, at)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.diff(at)), pa.array([crc32_of(x) for x in cut], pa.int64()), pa.array(decoded, pa.string())], names=[*keep, *added])
-        give_back()
+        # an idle worker would keep its pieces beside all other work of its executor; the next task learns its own
+        c.table.clear()
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(handing_back(run), schema)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ import sys
 import numpy as np
 import pytest
 
+from parsewarden.llm import common
 from parsewarden.llm import latent_decontamination as ld
+from parsewarden.llm.chunk_dedup import chunks
+from parsewarden.llm.ngram_join import link
 from tests.llm import cases
 
 
@@ -203,3 +206,34 @@ def test_stages_take_odd_rows(spark, tmp_path, k):
     docs = cases.documents(spark)
     d = cases.write(spark, tmp_path, labels=spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([(1, cases.words(3, 60))], "item_id long, text string"))
     assert corpus_pipeline.STAGES[k][1](spark, docs, d).count() >= 0
+
+
+def test_memory_is_handed_back_when_a_task_holds_nothing_more(monkeypatch):
+    import weakref
+
+    class Held:
+        pass
+
+    seen, alive = [], []
+
+    def run(batches):
+        for b in batches:
+            x = Held()
+            seen.append(weakref.ref(x))
+            yield b
+
+    monkeypatch.setattr(common, "give_back", lambda: alive.append(seen[-1]() is not None))
+    assert list(common.handing_back(run)(iter("ab"))) == ["a", "b"] and alive == [False]
+
+
+def test_tasks_over_texts_hand_memory_back(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, cases.words(i % 9, 60)) for i in range(12)], "doc_id long, text string")
+    kind, runs = type(docs), []
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a: runs.append(run.__qualname__) or own(self, run, *a))
+    link(docs).count()
+    chunks(docs, "text", "doc_id", 5, 16, 256).count()
+    ld.find_leaks(docs, spark.createDataFrame([(1, cases.words(70, 20))], "item_id long, text string")).count()
+    # sums of fixed size are the only ones that needn't
+    assert len([r for r in runs if r.startswith("handing_back.")]) >= 8
+    assert {r for r in runs if not r.startswith("handing_back.")} == {"summed_blocks.<locals>.add", "summed_rows.<locals>.add"}

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -221,6 +222,17 @@ def test_sentencepiece_query(spark, tmp_path):
     assert cases.sorted_rows(sp.op9_sentencepiece(spark, d)) == sorted(want, key=repr)
 
 
+def test_a_worker_keeps_no_pieces_after_its_task(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(50)]
+    df, tasks = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: tasks.append(run) or self)
+    sp.encode_and_decode(df, MODEL)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], names=["doc_id", "__text"])
+    for _ in range(2):
+        assert [t for b in tasks[0](iter([batch])) for t in b.column(4).to_pylist()] == texts
+        assert not sp.codec(MODEL).table.number and not len(sp.codec(MODEL).table.flat)
+
+
 def test_encode_and_decode_rows(spark):
     docs = cases.documents(spark)
     out = sp.encode_and_decode(docs, MODEL, keep=("doc_id", "text", "lang"))
