@@ -266,8 +266,8 @@ def starts_again(parts: list[bytes], at: list[int], cores: list[bytes], ids: np.
 
     parts come sorted by their core, which is at the offset ``at``, and those strings hold it. Hashes of the strings pick
     the stretch of each part that may repeat, without deciding; equal stretches of a core are one, with the smallest id.
-    The suffix array of the distinct stretches decides, with the bytes of the core as a single one. Equal suffixes stand
-    in order of their strings, so those of one core stand together.
+    The suffix array of the distinct stretches decides, with the bytes of the core as a single one. Its order is kept
+    within each core, where suffixes that agree on a string stand together.
     """
     none = np.empty(0, np.int64)
     out = [none] * len(parts)
@@ -316,6 +316,9 @@ def starts_again(parts: list[bytes], at: list[int], cores: list[bytes], ids: np.
     values = np.frombuffer(text + b"\0" * length, np.uint8)
     number: dict[bytes, int] = {}
     name = np.array([number.setdefault(c, len(number)) for c, _, _ in keys], np.int64)
+    # strings of other cores stand between those of one, where what follows them differs
+    by_core = np.argsort(name[string], kind="stable")
+    array, string = array[by_core], string[by_core]
     same = name[string[1:]] == name[string[:-1]]
     for k in range(int(short.max())):
         same &= (values[array[1:] + k] == values[array[:-1] + k]) | (k >= short[string[1:]])

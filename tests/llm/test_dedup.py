@@ -359,3 +359,17 @@ def test_spans_of_a_batch_are_merged_at_once(spark, monkeypatch):
     found = spark.createDataFrame(cuts, "__id long, __spans array<struct<s:int,e:int>>").withColumn("__row", spans.row_key(spans.F.lit("0123456789")))
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in without_spans(df, found, "text", "doc_id").collect()} == {0: (7, 2), 1: (6, 1), 2: (0, 0), 3: (1, 1)}
     assert {r["doc_id"]: r["text"] for r in without_spans(df, found, "text", "doc_id", replace=True).collect()} == {0: "234", 1: "6789", 2: "0123456789", 3: "012345678"}
+
+
+def test_strings_of_other_cores_between_those_of_one():
+    r = random.Random(5)
+    cores = [bytes(r.choice(b"ab") for _ in range(35)) for _ in range(4)]
+    rows = sorted((c, i, bytes(r.choice(b"x" * 14 + b"y") for _ in range(15)), bytes(r.choice(b"x" * 14 + b"y") for _ in range(15))) for c in cores for i in range(8))
+    parts = [a + c + b for c, _, a, b in rows]
+    first = {}
+    for (c, i, _, _), p in zip(rows, parts, strict=True):
+        for k in range(len(p) - 49):
+            first[c, p[k : k + 50]] = min(first.get((c, p[k : k + 50]), i), i)
+    want = [[k for k in range(len(p) - 49) if first[c, p[k : k + 50]] < i] for (c, i, _, _), p in zip(rows, parts, strict=True)]
+    got = sd.starts_again(parts, [15] * len(parts), [x[0] for x in rows], np.array([x[1] for x in rows]), 50)
+    assert [x.tolist() for x in got] == want
