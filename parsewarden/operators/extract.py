@@ -25,7 +25,8 @@ def dedupe_chars(chars: DataFrame, keys: list[str], tolerance: float = 1.0) -> D
     """One glyph, the first, of each cluster of those of equal text, font and size on a page.
 
     Clusters are chains: sorted by the upper edge, a step of more than tolerance parts them; within those, the same by the
-    left edge. Windows by page and glyph, so no group is held as one row.
+    left edge. Windows by page and glyph, so no group is held as one row. Glyphs on the same spot are of one cluster, so one
+    of each spot goes into the windows: a group is as long as its spots, not as its glyphs.
     """
     alike = [*keys, "text", "fontname", "size"]
 
@@ -34,7 +35,8 @@ def dedupe_chars(chars: DataFrame, keys: list[str], tolerance: float = 1.0) -> D
         parted = F.coalesce((F.col(by) - F.lag(by).over(order) > tolerance).cast("int"), F.lit(0))
         return df.withColumn("__parted", parted).withColumn(name, F.sum("__parted").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__parted")
 
-    out = clusters(clusters(chars, alike, "top", "__y"), [*alike, "__y"], "x0", "__x")
+    spots = chars.dropDuplicates([*alike, "top", "x0"])
+    out = clusters(clusters(spots, alike, "top", "__y"), [*alike, "__y"], "x0", "__x")
     first = F.row_number().over(Window.partitionBy(*alike, "__y", "__x").orderBy("top", "x0"))
     return out.withColumn("__first", first).filter("__first = 1").drop("__x", "__y", "__first")
 

@@ -51,3 +51,11 @@ def test_glyphs_and_graphics(spark):
     graphics = spark.createDataFrame([(1, "line"), (1, "rect"), (1, "line")], "page int, kind string")
     assert tuple(extract.graphics_counts(graphics, ["page"]).first()) == (1, 2, 1, 0)
     assert extract.stored_documents(spark.createDataFrame([("d", None)], "directory string, json string")).select("primary_pages", F.size("tables")).first() == (0, 0)
+
+
+def test_glyphs_on_one_spot_enter_the_windows_once(spark):
+    glyphs = spark.range(900).selectExpr("1 as page", "'a' as text", "'f' as fontname", "9.0D as size", "cast(id % 3 * 5 as double) as x0", "0.0D as top")
+    out = extract.dedupe_chars(glyphs, ["page"])
+    assert sorted(r["x0"] for r in out.collect()) == [0.0, 5.0, 10.0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.rindex("Window") :]
