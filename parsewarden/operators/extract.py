@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The parts of a stored document that are read: page numbers, and the provenance of tables.
@@ -52,6 +52,14 @@ def previews(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Data
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
+def item_previews(rows: DataFrame, keys: list[str], items: Column, n: int, index: str, item: str) -> DataFrame:
+    """keys, index and item of the first n of each group's items, an array of each row, by their place in it.
+
+    A row has no more than its own first n in them, so the others aren't made into rows.
+    """
+    return previews(rows.select(*keys, F.posexplode(F.slice(items, 1, n)).alias(index, item)), keys, [index], n)
+
+
 def graphics_counts(graphics: DataFrame, keys: list[str]) -> DataFrame:
     """Lines, rectangles and curves of each page."""
     return graphics.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("line", "rect", "curve")])

@@ -326,8 +326,8 @@ def ord_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lim_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty words of each document, as a look at a page shows them."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.trim(text.collapse(F.col("text"))), " ")).alias("word_index", "word"))
-    return extract.previews(words, ["doc_id"], ["word_index"], 20)
+    words = F.split(F.trim(text.collapse(F.col("text"))), " ")
+    return extract.item_previews(table(spark, sf_dir, "documents"), ["doc_id"], words, 20, "word_index", "word")
 
 
 @query

@@ -59,3 +59,11 @@ def test_glyphs_on_one_spot_enter_the_windows_once(spark):
     assert sorted(r["x0"] for r in out.collect()) == [0.0, 5.0, 10.0]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.rindex("Window") :]
+
+
+def test_previews_make_rows_of_the_first_items_only(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (1, ["d", "e", "f"]), (2, ["g"]), (3, []), (4, None)], "doc_id long, words array<string>")
+    out = extract.item_previews(rows, ["doc_id"], F.col("words"), 2, "i", "w")
+    got = sorted((r["doc_id"], r["i"]) for r in out.collect())
+    assert got == [(1, 0), (1, 0), (2, 0)]
+    assert "slice(" in out._jdf.queryExecution().optimizedPlan().toString()
