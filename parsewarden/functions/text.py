@@ -2,39 +2,44 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The characters that Unicode counts as white space, and the tokens of a normalised text.
-WS = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TOK = r"[\p{L}\p{N}_]+(?:[./%-][\p{L}\p{N}_]+)*"
 REPLACEMENT = "�"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+#: All but printable ASCII and the blank: only texts that have it need composing, or have other white space.
+OTHER = r"[^\x20-\x7e]"
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC. ASCII stays as it is and isn't sent to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """NFKC of a text that isn't null, by the ICU library that Spark comes with, so within the JVM.
+
+    It knows Unicode 16; characters that are older come out as from Python's unicodedata.
+    """
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+
+
+def _single_blanks(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "  +", " "))
+
+
+def _blanks(text: Column) -> Column:
+    return F.translate(text, SPACES, " " * len(SPACES))
 
 
 def collapse(text: Column) -> Column:
     """White space collapsed to single blanks and trimmed."""
-    return F.trim(F.regexp_replace(text, WS, " "))
+    return _single_blanks(F.when(text.rlike(OTHER), _blanks(text)).otherwise(text))
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:
     text = F.coalesce(text, F.lit(""))
-    return collapse(F.lower(nfkc(text) if compose else text))
+    composed = nfkc(text) if compose else text
+    return _single_blanks(F.when(text.rlike(OTHER), _blanks(F.lower(composed))).otherwise(F.lower(text)))
 
 
 def tokens_of(normalized: Column) -> Column:

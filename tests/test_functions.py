@@ -105,3 +105,11 @@ def test_numbers_and_json(spark):
     assert one == '{"a":null,"b":1}'
     kept = df.limit(1).select(json_text.kept_metadata(F.create_map(F.lit("coordinates"), F.lit("x"), F.lit("k"), F.lit("v")))).first()[0]
     assert kept == {"k": "v"}
+
+
+def test_composing_stays_in_the_jvm(spark):
+    chars = [chr(i) for i in range(1, 0x3100) if unicodedata.category(chr(i)) != "Cn"] + [chr(i) for i in range(0xF900, 0xFFFE) if unicodedata.category(chr(i)) != "Cn"]
+    df = spark.createDataFrame([(c,) for c in chars], "t string")
+    out = df.select("t", text.nfkc(F.col("t")).alias("n"), text.normalize_text(F.col("t")).alias("all"))
+    assert all(r["n"] == unicodedata.normalize("NFKC", r["t"]) for r in out.collect())
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
