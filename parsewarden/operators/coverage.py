@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parsewarden.functions.text import tokens_of
+from parsewarden.functions.text import TOK, tokens_of
 from parsewarden.operators.barrier import barrier
 
 
@@ -21,17 +21,28 @@ def _occurrences(tokens: Column, runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda start, i: F.transform(F.sequence(F.lit(1), size(i, start)), lambda k: F.concat(F.get(tokens, start), F.lit(" "), k.cast("string")))))
 
 
+def _repeats(tokens: Column) -> Column:
+    """Of a sorted array each occurrence of a token but its first."""
+    return F.filter(tokens, lambda x, i: (i > 0) & (x == F.get(tokens, i - 1)))
+
+
 def with_token_coverage(pages: DataFrame, primary: str = "norm_primary", reference: str = "norm_reference") -> DataFrame:
     """pages with token_coverage; null where the reference has no tokens. Texts are normalised.
 
-    A page's tokens meet in its own row, as the intersection of two sets of numbered occurrences: no shuffle, and no page
-    is lost for having no tokens. Arrays are columns behind barriers, as an expression within a lambda would be computed
-    anew for each element.
+    A page's tokens meet in its own row: no shuffle, and no page is lost for having no tokens. Equal texts cover each other
+    and aren't cut into tokens. Else the common tokens are those of the two sets, and of what repeats, numbered by
+    occurrence. Arrays are columns behind barriers, as an expression within a lambda would be computed anew for each element.
     """
-    out = barrier(pages.withColumn("__p", F.sort_array(tokens_of(F.col(primary)))).withColumn("__r", F.sort_array(tokens_of(F.col(reference)))))
-    out = barrier(out.withColumn("__pr", _runs(F.col("__p"))).withColumn("__rr", _runs(F.col("__r"))))
-    common = F.size(F.array_intersect(_occurrences(F.col("__p"), F.col("__pr")), _occurrences(F.col("__r"), F.col("__rr"))))
-    return out.withColumn("token_coverage", F.try_divide(common.cast("double"), F.size("__r").cast("double"))).drop("__p", "__r", "__pr", "__rr")
+    p, r = F.col(primary), F.col(reference)
+    a, b = F.col("__tokens"), F.col("__reference_tokens")
+    out = barrier(pages.withColumns({"__tokens": F.when(p != r, F.sort_array(tokens_of(p))), "__reference_tokens": F.when(p != r, F.sort_array(tokens_of(r)))}))
+    out = barrier(out.withColumns({"__common": F.size(F.array_intersect(a, b)), "__size": F.size(b), "__tokens": _repeats(a), "__reference_tokens": _repeats(b)}))
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    out = barrier(out.withColumns({"__runs": F.when(both, _runs(a)), "__reference_runs": F.when(both, _runs(b))}))
+    again = F.size(F.array_intersect(_occurrences(a, F.col("__runs")), _occurrences(b, F.col("__reference_runs"))))
+    common = F.col("__common") + F.when(both, again).otherwise(0)
+    share = F.when(p == r, F.when(r.rlike(TOK), F.lit(1.0))).otherwise(F.try_divide(common.cast("double"), F.col("__size").cast("double")))
+    return out.withColumn("token_coverage", share).drop("__tokens", "__reference_tokens", "__common", "__size", "__runs", "__reference_runs")
 
 
 def token_coverage_by_shuffle(pages: DataFrame, keys: list[str], primary: str = "norm_primary", reference: str = "norm_reference") -> DataFrame:

@@ -113,3 +113,10 @@ def test_composing_stays_in_the_jvm(spark):
     out = df.select("t", text.nfkc(F.col("t")).alias("n"), text.normalize_text(F.col("t")).alias("all"))
     assert all(r["n"] == unicodedata.normalize("NFKC", r["t"]) for r in out.collect())
     assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_texts_are_not_cut_into_tokens(spark):
+    rows = [("a b a", "a b a"), ("a a a b", "b a a c"), ("...", "..."), ("", "a"), ("a", ""), (None, "a"), ("a a", "a")]
+    out = with_token_coverage(spark.createDataFrame(rows, "p string, r string"), "p", "r")
+    assert [r["token_coverage"] for r in out.collect()] == [1.0, 0.75, None, 0.0, None, None, 1.0]
+    assert "CASE WHEN NOT (p" in out._jdf.queryExecution().optimizedPlan().toString()
